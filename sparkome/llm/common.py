@@ -62,3 +62,8 @@ def stratified(df: DataFrame, by: str, key: str, per_class: int) -> DataFrame:
 
     w = Window.partitionBy(by).orderBy("__u", key)
     return picked.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_class).drop("__u", "__r", "__n")
+
+
+def once(col: Column) -> Column:
+    """col, marked as not deterministic, so that a filter on it isn't pushed below and computed anew from its inputs."""
+    return F.when(F.spark_partition_id() >= 0, col)
