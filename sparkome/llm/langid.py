@@ -44,6 +44,14 @@ def codes(text: str) -> np.ndarray:
     return raw[keep].astype(np.int64)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting beats np.unique's hashing for these."""
+    keys.sort()
+    keep = np.ones(len(keys), bool)
+    keep[1:] = keys[1:] != keys[:-1]
+    return keys[keep]
+
+
 def grams(code: np.ndarray, orders: int = 3) -> np.ndarray:
     """The distinct n-grams of 1 to `orders` (at most 3) code points, 21 bits a code point, sorted."""
     found: list[np.ndarray] = []
@@ -53,8 +61,8 @@ def grams(code: np.ndarray, orders: int = 3) -> np.ndarray:
         for n in range(1, orders):
             key = key[:-1] | c[n:] << (21 * n) if len(c) > n else c[:0]
             keys.append(key)
-        found.append(np.unique(np.concatenate(keys)))
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        found.append(_distinct(np.concatenate(keys)))
+    return found[0] if len(found) == 1 else _distinct(np.concatenate(found))
 
 
 @dataclass(frozen=True)

@@ -150,7 +150,7 @@ def _write(folder: str, dictionary: bytes, level: int, roll: int, date: str, lea
                 if out is None:
                     # a name of its own for each attempt: only files that a finished task reports are read
                     name = f"{base}/{uuid.uuid4().hex}.warc.zst"
-                    out, n, size = fs.open_output_stream(name), 0, 0
+                    out, n, size = fs.open_output_stream(name, compression=None), 0, 0
                     size += out.write(lead(dictionary)) or 0
                 is_first = page == first and (copy == 0 or bytes_ < least_bytes)
                 packed = zip_.compress(record(page, url, (html or "").encode() if is_first else None, bytes_, sha, first, copy, date))
@@ -233,7 +233,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
             for path in b.column(0).to_pylist():
                 fs, _ = _uri(store)
                 rows, held = [], 0
-                with fs.open_input_stream(path) as source:
+                with fs.open_input_stream(path, compression=None) as source:
                     for raw in frames(source):
                         fields, _, stated, payload = parse(raw)
                         sha, revisit = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"] == "revisit"
