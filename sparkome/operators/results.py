@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.special import hommel
+from ..plans.ids import numbered, running
 from ..types import RegressionResults
 
 METHODS = ("bonferroni", "fdr_bh", "fdr_by", "holm", "sidak", "hommel")
@@ -30,7 +31,8 @@ def corrected(df: DataFrame, p: str, method: str = "fdr_bh", by: list[str] | Non
 
         return df.groupBy(*by).applyInPandas(fix, schema)
     some = F.col(p).isNotNull()
-    # numbered along range partitions when all rows are one group is Spark's job for one sort; groups sort apart
+    if not by and method != "hommel":
+        return _corrected_all(df, p, method, out)
     w = Window.partitionBy(*by, some)
     m = F.count(F.lit(1)).over(w)
     up = w.orderBy(p)
@@ -50,6 +52,20 @@ def corrected(df: DataFrame, p: str, method: str = "fdr_bh", by: list[str] | Non
     return df.withColumn(out, F.when(some, value)).drop("__v", "__r")
 
 
+def _corrected_all(df: DataFrame, p: str, method: str, out: str) -> DataFrame:
+    """All rows as one family: ranks and running extremes over range partitions, so that no task holds them all."""
+    m = float(df.agg(F.count(p)).first()[0])
+    x = F.col(p)
+    if method in ("bonferroni", "sidak"):
+        return df.withColumn(out, F.least(F.lit(1.0), x * m) if method == "bonferroni" else 1 - F.pow(1 - x, F.lit(m)))
+    rows = numbered(df.where(x.isNotNull()), [p], "__rank", part="__range")
+    scale = sum(1.0 / k for k in range(1, int(m) + 1)) if method == "fdr_by" else 1.0
+    value = x * (m - F.col("__rank") + 1) if method == "holm" else x * m / F.col("__rank") * scale
+    rows = running(rows.withColumn("__v", value), "__v", out, rank="__rank", part="__range", largest=method == "holm")
+    rows = rows.withColumn(out, F.least(F.lit(1.0), F.col(out))).drop("__rank", "__range", "__v")
+    return rows.select(*df.columns, out).unionByName(df.where(x.isNull()).withColumn(out, F.lit(None).cast("double")))
+
+
 def with_correction(results: RegressionResults, method: str = "fdr_bh", groupby: list[str] | None = None) -> RegressionResults:
     return replace(results, df=corrected(results.df, results.p_column, method, groupby), metadata=results.metadata | {"correction": method})
 

@@ -5,19 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str, start: int = 1, part: str | None = None) -> DataFrame:
     """df with consecutive numbers from `start` in the order of `order` (which must tell rows apart for the numbers to be reproducible).
 
-    Rows are dealt by range; each range is numbered by itself and shifted by the sizes before it, so no task sorts all rows.
+    Rows are dealt by range; each range is numbered by itself and shifted by the sizes before it, so no task sorts all rows. With `part`, the number of the range stays as a column of that name.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).persist()
     sizes = sorted(ranged.groupBy("__part").agg(F.count(F.lit(1))).collect())
     shifts, total = [], start - 1
-    for part, n in sizes:
-        shifts.append((part, total))
+    for at, n in sizes:
+        shifts.append((at, total))
         total += n
     offsets = F.broadcast(spark.createDataFrame(shifts or [(0, start - 1)], "__part int, __shift long"))
     row = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn("__row", row).join(offsets, "__part").withColumn(name, F.col("__shift") + F.col("__row")).drop("__part", "__row", "__shift")
+    out = ranged.withColumn("__row", row).join(offsets, "__part").withColumn(name, F.col("__shift") + F.col("__row")).drop("__row", "__shift")
+    return out.withColumnRenamed("__part", part) if part else out.drop("__part")
+
+
+def running(df: DataFrame, value: str, out: str, *, rank: str, part: str, largest: bool) -> DataFrame:
+    """df with a running extreme of `value` along `rank`: the largest up to a row, or the smallest from a row on.
+
+    Each range runs by itself, and one number for each range before (or after) it is added: rows of df come from numbered() with `part`.
+    """
+    f = F.max if largest else F.min
+    ends = {r[0]: r[1] for r in df.groupBy(part).agg(f(value)).collect()}
+    seen, carry = None, []
+    for p in sorted(ends, reverse=not largest):
+        carry.append((p, seen))
+        seen = ends[p] if seen is None else max(seen, ends[p]) if largest else min(seen, ends[p])
+    beyond = F.broadcast(df.sparkSession.createDataFrame(carry or [(0, None)], f"`{part}` int, __beyond double"))
+    w = Window.partitionBy(part).orderBy(F.asc(rank) if largest else F.desc(rank)).rowsBetween(Window.unboundedPreceding, 0)
+    best = (F.greatest if largest else F.least)(f(value).over(w), F.col("__beyond"))
+    return df.join(beyond, part).withColumn(out, best).drop("__beyond")

@@ -327,7 +327,7 @@ def a9_lrt(spark, sf):
 @query()
 def a10_interaction_study(spark, sf):
     p = phenotypes(spark, sf)
-    return _rounded(A.interaction_study(p, ["total_price"], [("acctbal", "exposure"), ("acctbal", "segment")], min_n=20).df.drop("error"), 4)
+    return _rounded(A.interaction_study(p, ["total_price"], [("acctbal", "exposure"), ("acctbal", "segment")], covariates=[], min_n=20).df.drop("error"), 4)
 
 
 _PV = f"pv AS ({PVALUES.replace('STRING', 'VARCHAR')})"
