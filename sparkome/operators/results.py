@@ -57,7 +57,7 @@ def _corrected_all(df: DataFrame, p: str, method: str, out: str) -> DataFrame:
     m = float(df.agg(F.count(p)).first()[0])
     x = F.col(p)
     if method in ("bonferroni", "sidak"):
-        return df.withColumn(out, F.least(F.lit(1.0), x * m) if method == "bonferroni" else 1 - F.pow(1 - x, F.lit(m)))
+        return df.withColumn(out, F.when(x.isNotNull(), F.least(F.lit(1.0), x * m) if method == "bonferroni" else 1 - F.pow(1 - x, F.lit(m))))
     rows = numbered(df.where(x.isNotNull()), [p], "__rank", part="__range")
     scale = sum(1.0 / k for k in range(1, int(m) + 1)) if method == "fdr_by" else 1.0
     value = x * (m - F.col("__rank") + 1) if method == "holm" else x * m / F.col("__rank") * scale
