@@ -105,7 +105,11 @@ def protein_uniprot(spark: SparkSession, path: str) -> Frames:
     refs = lambda kind: F.expr(f"xpath(x, 'entry/dbReference[@type=\"{kind}\"]/@id')")
     d = d.select(text("entry/accession").alias("protein_id"), texts("entry/accession").alias("accessions"), text("entry/name").alias("name"), text("entry/protein/recommendedName/fullName").alias("full_name"), comment("function").alias("function"), F.concat_ws("; ", texts('entry/comment[@type="subcellular location"]/subcellularLocation/location')).alias("location"), comment("tissue specificity").alias("tissue_expression"), texts("entry/comment/isoform/id").alias("isoforms"), refs("Pfam").alias("pfam_ids"), *[refs(k).alias(k) for k in ("HGNC", "GO", "KEGG", "RefSeq")]).persist()
     kinds = (("HGNC", "encodes", "Genes"), ("GO", "part_of", "Gene Ontology"), ("KEGG", "in_pathway", "Pathways"), ("RefSeq", "has_transcript", "Transcriptomics"))
-    rel = d.select("protein_id", F.inline(F.flatten(F.array(*[F.transform(F.col(k), lambda t, r=r, y=y: F.struct(F.lit(r).alias("relation"), t.alias("target_id"), F.lit(y).alias("target_type"))) for k, r, y in kinds]))))
+
+    def target(relation: str, kind: str):
+        return lambda t: F.struct(F.lit(relation).alias("relation"), t.alias("target_id"), F.lit(kind).alias("target_type"))
+
+    rel = d.select("protein_id", F.inline(F.flatten(F.array(*[F.transform(F.col(k), target(r, y)) for k, r, y in kinds]))))
     return {"master": d.drop(*[k for k, _, _ in kinds]), "relations": rel.distinct()}
 
 
@@ -209,8 +213,8 @@ def chemical_chebi(spark: SparkSession, compounds: str, properties: str, seconda
     p = p.withColumn("prop", _map(F.col("TYPE"), names)).where("prop is not null")
     wide = p.groupBy("compound_id").pivot("prop", list(names.values())).agg(F.min("CHEMICAL_DATA"))
     s = tsv(spark, secondary).select(F.col("COMPOUND_ID").try_cast("long").alias("compound_id"), "SECONDARY_ID").groupBy("compound_id").agg(F.sort_array(F.collect_set("SECONDARY_ID")).alias("secondary_ids"))
-    src = tsv(spark, sources).select(F.col("ID").alias("source_id"), F.col("NAME").alias("source_name"))
-    x = tsv(spark, accessions).join(F.broadcast(src), F.col("SOURCE_ID") == F.col("source_id"), "left").select(F.col("COMPOUND_ID").try_cast("long").alias("compound_id"), F.struct(F.coalesce("source_name", "SOURCE_ID").alias("source"), F.col("ACCESSION_NUMBER").alias("value")).alias("x")).groupBy("compound_id").agg(F.sort_array(F.collect_set("x")).alias("xrefs"))
+    src = tsv(spark, sources).select(F.col("ID").alias("__source"), F.col("NAME").alias("source_name"))
+    x = tsv(spark, accessions).join(F.broadcast(src), F.col("SOURCE_ID") == F.col("__source"), "left").select(F.col("COMPOUND_ID").try_cast("long").alias("compound_id"), F.struct(F.coalesce("source_name", "SOURCE_ID").alias("source"), F.col("ACCESSION_NUMBER").alias("value")).alias("x")).groupBy("compound_id").agg(F.sort_array(F.collect_set("x")).alias("xrefs"))
     return {"master": c.join(wide, "compound_id", "left").join(s, "compound_id", "left").join(x, "compound_id", "left")}
 
 

@@ -81,10 +81,13 @@ def get_or_create_entities(kg: KnowledgeGraph, new: DataFrame, *, source: str, p
 
 def build_aliases(df: DataFrame, key: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """key, alias_value, alias_type, xref_source: every named column, lists element by element."""
+    def named(kind: str, src: str):
+        return lambda v: F.struct(v.alias("alias_value"), F.lit(kind).alias("alias_type"), F.lit(src).alias("xref_source"))
+
     parts = []
     for c, (kind, src) in fields.items():
         values = F.col(c).cast("array<string>") if dict(df.dtypes)[c].startswith("array") else F.array(F.col(c).cast("string"))
-        parts.append(F.transform(values, lambda v, kind=kind, src=src: F.struct(v.alias("alias_value"), F.lit(kind).alias("alias_type"), F.lit(src).alias("xref_source"))))
+        parts.append(F.transform(values, named(kind, src)))
     return df.select(key, F.inline(F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<struct<alias_value:string,alias_type:string,xref_source:string>>")) for p in parts])))).where("trim(alias_value) != ''")
 
 
