@@ -50,6 +50,12 @@ def uniform(*cols: Column) -> Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)).cast("double")
 
 
+def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n rows, chosen by a hash of `key`. Rows are counted first and thinned to about 2 n before they are ordered, so that tasks together don't send more of them, however many tasks there are."""
+    share = min(1.0, (2.0 * n + 100) / max(1, df.select(key).count()))
+    return df.where(uniform(F.col(key)) < share).orderBy(uniform(F.col(key)), key).limit(n)
+
+
 def stratified(df: DataFrame, by: str, key: str, per_class: int) -> DataFrame:
     """At most per_class rows of each value of `by`, chosen by a hash of `key`.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import new_path, written
+from .common import new_path, sampled, written
 
 SKIPPABLE = 0x184D2A5D
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -180,7 +180,7 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    picked = rows.where(F.length("html").between(1, sample_chars)).orderBy(F.xxhash64("page_id"), "page_id").limit(sample_rows)
+    picked = sampled(rows, "page_id", sample_rows).where(F.length("html").between(1, sample_chars))
     sample = [record(r[0], r[1], r[2].encode(), len(r[2].encode()), digest(r[2].encode()), r[0], 0, date) for r in picked.collect()]
     dictionary = train(sample, dictionary_bytes)
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key")
