@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.special import chi2_sf, norm_sf, t_two_sided
-from ..types import ASSOCIATION, INTERACTION, INTERACTION_TERMS, Genotypes, Phenotypes, RegressionResults, is_numeric, number
+from ..types import ASSOCIATION, INTERACTION, INTERACTION_TERMS, Genotypes, Phenotypes, RegressionResults, broadcast_if_small, is_numeric, number
 from .genotypes import dosage, encode
 
 MIN_N = 200
@@ -267,6 +267,7 @@ def association_study(phen: Phenotypes, outcomes: list[str] | None = None, regre
     if use_survey:
         complete = complete & F.col("w").isNotNull() & (F.col("cl").isNotNull() if phen.cluster else F.lit(True))
     base = base.where(complete)
+    k_cov = len(covariates)
     if geno is None:
         if not (regression_variables or phen.exposures):
             raise ValueError("no regression variables")
@@ -279,7 +280,7 @@ def association_study(phen: Phenotypes, outcomes: list[str] | None = None, regre
             calls = encode(geno, encoding, edge_encoding_info).select(F.col("sample_id").cast("string").alias("sid"), F.col("variant_id").cast("string").alias("variable"), F.col("x").cast("string").alias("x"))
         if regression_variables:
             calls = calls.where(F.col("variable").isin(list(regression_variables)))
-        long = calls.join(base, "sid").select("cov", "w", "cl", F.inline("o"), "variable", "x")
+        long = calls.join(broadcast_if_small(base, 2_000_000 // (k_cov + len(outcomes) + 4)), "sid").select("cov", "w", "cl", F.inline("o"), "variable", "x")
     # NaN as missing, as everywhere
     long = long.where(F.col("y").isNotNull() & ~F.isnan("y")).withColumn("x", F.when(F.col("x") != "NaN", F.col("x")))
     k = len(covariates)
@@ -330,7 +331,7 @@ def gwas(geno: Genotypes, phen: Phenotypes, outcome: str, covariates: list[str]
         raise ValueError(f"{n} aligned samples are too few")
     calls = geno.calls.select("variant_idx", F.col("sample_id").cast("string").alias("sid"), dosage(F.col("gt")).alias("g")).where("g is not null")
     z = [F.lit(1.0), *[F.col("cov")[j] for j in range(k)], F.col("g"), F.col("y")]
-    sums = sums_of_products(calls.join(rows, "sid"), ["variant_idx"], z)
+    sums = sums_of_products(calls.join(F.broadcast(rows) if n * (k + 4) <= 8_000_000 else rows, "sid"), ["variant_idx"], z)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -119,6 +119,17 @@ class Manager:
         return status(self.audit())
 
 
+def write_processed(frames: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """A program's frames as Parquet below its folder (rejects as CSV too), read back: loads start from files that stay."""
+    out = {}
+    for name, df in frames.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}_data.parquet")
+        out[name] = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}_data.parquet")
+        if name == "rejects":
+            out[name].write.mode("overwrite").option("header", True).csv(f"{folder}/skipped_relationships.csv")
+    return out
+
+
 def status(audit: DataFrame) -> DataFrame:
     """One row a source: status and package of the latest package of each step."""
     last = F.row_number().over(Window.partitionBy("source", "step").orderBy(F.desc("package_id")))

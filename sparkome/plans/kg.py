@@ -51,6 +51,21 @@ def truncation_counts(df: DataFrame, widths: dict[str, int]) -> DataFrame:
     return df.agg(*[F.count_if(F.length(F.trim(F.col(c).cast("string"))) > n).alias(c) for c, n in widths.items()])
 
 
+# Ranges that rows must keep.
+CHECKS = {
+    "relationships": "confidence is null or confidence between 0 and 1",
+    "locations": "chromosome between 1 and 25 and (end_position is null or start_position is null or end_position >= start_position)",
+    "variants": "(af is null or af between 0 and 1) and (ac is null or an is null or ac <= an)",
+    "associations": "p_value is null or p_value between 0 and 1",
+}
+
+
+def validate(df: DataFrame, check: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that keep a check (a name of CHECKS or a condition), and the rows in quarantine; a check that can't be decided fails."""
+    ok = F.coalesce(F.expr(CHECKS.get(check, check)), F.lit(False))
+    return df.where(ok), df.where(~ok)
+
+
 def seed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new by key over old ones, where they aren't null; rows whose key has a null are left out."""
     new = new.na.drop(subset=keys).dropDuplicates(keys)

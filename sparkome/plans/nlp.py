@@ -34,6 +34,15 @@ def dictionary(kg: KnowledgeGraph, *, types: list[int] | None = None, domain: st
     return kept.join(names, "entity_id", "left").select("alias_norm", "alias_id", "alias_value", "alias_type", "entity_id", "type_id", "is_primary", "primary_name")
 
 
+def version(kg: KnowledgeGraph) -> int:
+    """The largest package of the aliases: a dictionary that was built at another one is stale."""
+    return kg.aliases.agg(F.max("package_id")).first()[0] or 0
+
+
+def is_stale(kg: KnowledgeGraph, built_at: int) -> bool:
+    return version(kg) != built_at
+
+
 def _spans(text: str, automaton) -> list[tuple[int, int, str]]:
     """(start, last, name) of all occurrences that end and begin at word boundaries, overlapping ones included."""
     out = []

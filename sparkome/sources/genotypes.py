@@ -75,12 +75,12 @@ def read_vcf(spark: SparkSession, path: str, store: str | None = None, force: bo
     rows = numbered(rows, ["__line"], "variant_idx", 0)
     name = F.when(F.col("p")[2] != ".", F.col("p")[2]).otherwise(F.concat_ws(":", F.col("p")[0], F.col("p")[1], F.col("p")[3], F.col("p")[4]))
     variants = rows.select(F.col("variant_idx").cast("long"), name.alias("variant_id"), F.col("p")[0].alias("contig"), F.col("p")[1].cast("long").alias("position"), F.concat(F.array(F.col("p")[3]), F.split(F.col("p")[4], ",")).alias("alleles"))
-    names = F.array(*[F.lit(s) for s in samples]) if samples else F.array().cast("array<string>")
+    names = F.broadcast(spark.createDataFrame(list(enumerate(samples)) or [(-1, "")], "k int, sample_id string"))  # a row for each name of the header line
     at = F.array_position(F.split(F.col("p")[8], ":"), "GT").cast("int")
-    cells = rows.select(F.col("variant_idx").cast("long").alias("variant_idx"), at.alias("at"), F.explode(F.arrays_zip(names.alias("s"), F.slice("p", 10, 1 << 20).alias("c"))).alias("z"))
-    gt = F.when(F.col("at") > 0, F.get(F.split(F.col("z.c"), ":"), F.col("at") - 1))
+    cells = rows.select(F.col("variant_idx").cast("long").alias("variant_idx"), at.alias("at"), F.posexplode(F.slice("p", 10, 1 << 20)).alias("k", "c")).join(names, "k")
+    gt = F.when(F.col("at") > 0, F.get(F.split("c", ":"), F.col("at") - 1))
     slots = F.transform(F.split(F.coalesce(gt, F.lit("./.")), r"[/|]"), lambda a: F.coalesce(a.try_cast("int"), F.lit(-1)))
-    calls = cells.select("variant_idx", F.col("z.s").alias("sample_id"), F.when(F.size(slots) == 1, F.array_repeat(slots[0], 2)).otherwise(slots).alias("gt"))
+    calls = cells.select("variant_idx", "sample_id", F.when(F.size(slots) == 1, F.array_repeat(slots[0], 2)).otherwise(slots).alias("gt"))
     geno = Genotypes(variants, calls)
     if store:
         write_genotypes(geno, store)

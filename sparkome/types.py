@@ -24,6 +24,11 @@ def corr(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """df marked for broadcast if it has been counted to hold at most most_rows; else Spark joins it as its sizes say."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 @dataclass(frozen=True)
 class Phenotypes:
     """A wide samples x variables table with the roles of its columns. Every role must name a column."""

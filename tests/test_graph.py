@@ -241,3 +241,14 @@ def test_runs_are_gated_audited_and_reverted(spark, tmp_path):
     assert m.run(["second"]) == {"second": "completed"}  # what was reverted loads again
     (tmp_path / "f.txt").write_text("x")
     assert content_hash(spark, [str(tmp_path / "f.txt")]) == content_hash(spark, [str(tmp_path / "f.txt")])
+
+
+def test_checks_files_and_versions(spark, tmp_path, graph):
+    df = spark.createDataFrame([(1, 0.5), (2, 2.0), (3, None)], "id int, confidence double")
+    good, bad = K.validate(df, "relationships")
+    assert rows(good, "id") == [(1,), (3,)] and rows(bad, "id") == [(2,)]
+    assert N.version(graph) == 1 and N.is_stale(graph, 0) and not N.is_stale(graph, 1)
+    from sparkome.plans.etl.framework import write_processed
+
+    back = write_processed({"edges": df, "rejects": df.where("id = 2")}, str(tmp_path))
+    assert back["edges"].count() == 3 and (tmp_path / "skipped_relationships.csv").is_dir()
