@@ -1,4 +1,4 @@
-"""Command line: list and explain reports, run one over a snapshot, verify a snapshot, run a query of the catalog."""
+"""Command line: list and explain reports, run one over a snapshot, verify and describe a snapshot, run a query of the catalog."""
 
 from __future__ import annotations
 
@@ -17,6 +17,13 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("explain").add_argument("name")
     sub.add_parser("verify").add_argument("path")
     sub.add_parser("info").add_argument("path")
+    rep = sub.add_parser("report")
+    rep.add_argument("name")
+    rep.add_argument("path", help="a snapshot with the graph's tables and the report's own (master, isoforms, pfam, go_relations)")
+    rep.add_argument("values", nargs="*", help="identifiers, or @file with one a line; none for all entities")
+    rep.add_argument("--columns", nargs="*")
+    rep.add_argument("--option", action="append", default=[], metavar="NAME=VALUE")
+    rep.add_argument("--out")
     run = sub.add_parser("query")
     run.add_argument("name")
     run.add_argument("folder")
@@ -37,7 +44,17 @@ def main(argv: list[str] | None = None) -> int:
         for name, df in snapshot.open_snapshot(spark, a.path).items():
             print(f"{name}\t{df.count()}\t{', '.join(df.columns)}")
         return 0
-    df = catalog.queries()[a.name](spark, a.folder)
+    if a.command == "report":
+        t = snapshot.open_snapshot(spark, a.path)
+        graph = kg.KnowledgeGraph(*[t[n] for n in ("entity_types", "entities", "aliases", "relationships", "locations")])
+        files = [v[1:] for v in a.values if v.startswith("@")]
+        inputs = spark.createDataFrame([(v,) for v in a.values if not v.startswith("@")], "id string") if a.values else None
+        for f in files:
+            inputs = inputs.unionByName(tables.read_identifiers(spark, f))
+        own = {o: t[n] for o, n in (("master", f"{a.name.split('_')[0]}_master"), ("isoforms", "isoforms"), ("pfam", "pfam"), ("relations", "go_relations")) if n in t}
+        df = kg.run_report(graph, a.name, inputs, columns=a.columns, **own, **dict(x.split("=", 1) for x in a.option))
+    else:
+        df = catalog.queries()[a.name](spark, a.folder)
     if a.out:
         tables.write_csv(df, a.out)
     else:

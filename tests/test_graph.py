@@ -252,3 +252,17 @@ def test_checks_files_and_versions(spark, tmp_path, graph):
 
     back = write_processed({"edges": df, "rejects": df.where("id = 2")}, str(tmp_path))
     assert back["edges"].count() == 3 and (tmp_path / "skipped_relationships.csv").is_dir()
+
+
+def test_command_line(spark, tmp_path, graph, capsys):
+    from sparkome.__main__ import main
+    from sparkome.sources import snapshot
+
+    master = spark.createDataFrame([(10, "BRCA1", "Approved", "g", "t", ["a"])], "entity_id long, symbol string, hgnc_status string, locus_group string, locus_type string, groups array<string>")
+    snapshot.export(spark, str(tmp_path / "s"), {"entity_types": graph.entity_types, "entities": graph.entities, "aliases": graph.aliases, "relationships": graph.relationships, "locations": graph.locations, "gene_master": master}, plain=False)
+    (tmp_path / "ids").write_text("# ids\nTP53\n")
+    assert main(["report", "gene_annotations", str(tmp_path / "s"), "brca1", f"@{tmp_path}/ids", "--columns", "input_value", "status", "--out", str(tmp_path / "out")]) == 0
+    assert rows(spark.read.option("header", True).csv(str(tmp_path / "out")), "input_value", "status") == [("TP53", "found"), ("brca1", "found")]
+    assert main(["reports"]) == 0 and main(["explain", "go_annotations"]) == 0 and main(["verify", str(tmp_path / "s")]) == 0 and main(["info", str(tmp_path / "s")]) == 0
+    assert "gene_annotations" in capsys.readouterr().out
+    assert main(["query", "d3_missing_report", "/root/testdata/sf0.001"]) == 0
