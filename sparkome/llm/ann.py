@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import written
+from .common import sampled, written
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     common one vector is. Each block gives a query at most `neighbours` rows.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length
-    differs from the commonest one, nor null ids. Repeated rows are entries of their own. Without any query or
+    differs from the commonest one, nor null ids. Repeated rows are entries of their own; a query id that is
+    repeated is asked once, with the least of its vectors. Without any query or
     vector the result is empty. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -152,8 +153,9 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     if not sizes_of:
         return spark.createDataFrame([], schema)
     dim = sizes_of[0][0]
-    rows, asked = rows.where(F.size("v") == dim), of(queries).where(F.size("v") == dim)
-    sample = np.array([r[1] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()], np.float64)
+    rows = rows.where(F.size("v") == dim)
+    asked = of(queries).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    sample = np.array([r[1] for r in sampled(rows, "id", sample_rows).collect()], np.float64)
     index = learn(sample, centroids=centroids, recall=recall, neighbours=neighbours)
     shared = spark.sparkContext.broadcast(index)
 
