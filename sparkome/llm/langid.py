@@ -159,7 +159,12 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.4) -> DataFrame:
-    """The rows of docs whose text gets a language with at least the score `least`, with the columns of docs."""
+    """The rows of docs whose text gets a language with at least the score `least`, with the columns of docs.
+
+    Null text and text without a letter go. A model that has learned no language can't reject: all rows stay.
+    """
+    if not model.languages:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -379,6 +379,7 @@ def test_languages_of_held_out_rows(spark, docs, empty, sf_dir):
     assert langid.identify(empty, model).count() == 0
     nothing = langid.fit(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
+    assert langid.keep(docs, nothing).count() == docs.count()
     kept = langid.keep(docs, model)
     assert kept.columns == docs.columns and {0, 1, 2}.isdisjoint(r.doc_id for r in kept.collect())
 
@@ -511,6 +512,8 @@ def test_search_recall_ties_and_odd_vectors(spark):
         for _, v, s in found:
             assert s == pytest.approx(float(x[q].astype(float) @ x[v].astype(float)), abs=1e-9) and v != q
     assert [v for _, v, _ in got[700]] == true[700]  # ties: the smaller ids of the common vector
+    again = df.where("vec_id in (20, 40)")
+    assert ann.search(df, again.union(again), sample_rows=800).count() == 40
     few = spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>, rank int")
     assert ann.search(few, few.where("vec_id = 0")).count() == 4
     assert ann.search(df.where("false"), df).count() == 0 == ann.search(df, df.where("false")).count()
