@@ -14,11 +14,12 @@ PHEN = """SELECT c_custkey AS sample_id, c_acctbal AS acctbal, CAST(o.n AS DOUBL
     CAST(1 + c_custkey % 3 AS DOUBLE) AS weight
     FROM customer JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY o_custkey) o ON c_custkey = o.o_custkey"""
 
-VARIANTS = "SELECT p_partkey AS variant_idx, 'rs' || CAST(p_partkey AS STRING) AS variant_id, CAST(p_size % 22 + 1 AS STRING) AS contig, p_partkey * 1000 AS position, length(p_type) AS t FROM part WHERE p_partkey < 100"
-CALLS = """SELECT p_partkey AS variant_idx, s_suppkey AS sample_id,
-    CASE WHEN (s_suppkey + p_partkey) % 23 = 0 THEN -1 WHEN (p_partkey * 31 + s_suppkey * 17 + p_partkey * s_suppkey) % 7 < 2 THEN 1 ELSE 0 END AS a1,
-    CASE WHEN (s_suppkey + p_partkey) % 23 = 0 THEN -1 WHEN (p_partkey * 13 + s_suppkey * 29 + p_partkey * s_suppkey) % 5 < 2 THEN 1 ELSE 0 END AS a2
-    FROM part CROSS JOIN supplier WHERE p_partkey < 100"""
+VARIANTS = "SELECT p_partkey AS variant_idx, 'rs' || CAST(p_partkey AS STRING) AS variant_id, CAST(p_size % 22 + 1 AS STRING) AS contig, p_partkey * 1000 AS position, length(p_type) AS t FROM part"
+# a call for each part that a supplier has delivered; integer arithmetic, so that engines agree
+CALLS = """SELECT l_partkey AS variant_idx, l_suppkey AS sample_id,
+    CASE WHEN (l_suppkey + l_partkey) % 23 = 0 THEN -1 WHEN (l_partkey * 31 + l_suppkey * 17 + l_partkey * l_suppkey) % 7 < 2 THEN 1 ELSE 0 END AS a1,
+    CASE WHEN (l_suppkey + l_partkey) % 23 = 0 THEN -1 WHEN (l_partkey * 13 + l_suppkey * 29 + l_partkey * l_suppkey) % 5 < 2 THEN 1 ELSE 0 END AS a2
+    FROM lineitem GROUP BY l_partkey, l_suppkey"""
 
 PVALUES = "SELECT p_partkey AS id, p_brand AS grp, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST((p_partkey * 37) % 1009 + 1 AS DOUBLE) / 1010.0 / (1 + p_partkey % 5) END AS p_value, CAST(p_size % 22 + 1 AS STRING) AS chrom, p_partkey * 1000 AS pos FROM part"
 

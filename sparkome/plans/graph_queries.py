@@ -162,16 +162,16 @@ def u3_relationships_n11_order(spark, sf):
     return graph(spark, sf).relationships.select("entity_1_id", "entity_2_id", "relation", "evidence_count")
 
 
-@query("SELECT c_custkey AS entity_id, 'A' AS assembly, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 2 ELSE c_custkey END AS start_position FROM customer")
+@query("SELECT c_custkey AS entity_id, 'A' AS assembly, CASE WHEN c_acctbal < 0 THEN c_custkey * 2 ELSE c_custkey END AS start_position FROM customer")
 def u6_location_upsert(spark, sf):
     c = table(spark, sf, "customer")
     row = lambda df, x: df.select(F.col("c_custkey").alias("entity_id"), F.lit("A").alias("assembly"), x.alias("start_position"))
-    return K.upsert_locations(row(c, F.col("c_custkey")), row(c.where("c_custkey % 3 = 0"), F.col("c_custkey") * 2))
+    return K.upsert_locations(row(c, F.col("c_custkey")), row(c.where("c_acctbal < 0"), F.col("c_custkey") * 2))
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'filled' END AS segment FROM customer")
+@query("SELECT c_custkey AS id, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE 'filled' END AS segment FROM customer")
 def u7_fill_null_only(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("segment"))
     return K.fill_null_only(c, c.select("id", F.lit("filled").alias("segment")), "id")
 
 
@@ -203,12 +203,12 @@ def t22_evidence_counts(spark, sf):
 
 # text
 
-TOKENS = "SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents WHERE lang = 'en')) WHERE length(w) >= 4 GROUP BY w HAVING count(*) >= 20"
+TOKENS = "SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents)) WHERE length(w) >= 4 GROUP BY w HAVING count(*) >= 20"
 
 
 def _token_graph(spark: SparkSession, sf: str) -> K.KnowledgeGraph:
     """Frequent words as entities; every fifth shares its name with another entity."""
-    d = table(spark, sf, "documents").where("lang = 'en'")
+    d = table(spark, sf, "documents")
     w = d.select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).distinct().where("length(w) >= 4").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
     twice = F.when(F.length("w") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     a = w.select("w", F.explode(twice).alias("k")).select((F.crc32(F.col("w").cast("binary")) * 2 + F.col("k")).alias("entity_id"), "w")
@@ -217,23 +217,23 @@ def _token_graph(spark: SparkSession, sf: str) -> K.KnowledgeGraph:
     return K.KnowledgeGraph(e.entity_types, e.entities, a, e.relationships, e.locations)
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[-_/\\s]+', ' ', 'g')) AS norm FROM documents WHERE lang IN ('en', 'es')")
+@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[-_/\\s]+', ' ', 'g')) AS norm FROM documents")
 def n1_normalize(spark, sf):
-    return table(spark, sf, "documents").where("lang in ('en', 'es')").select("doc_id", normalized(F.col("text")).alias("norm"))
+    return table(spark, sf, "documents").select("doc_id", normalized(F.col("text")).alias("norm"))
 
 
-@query(f"""WITH t AS ({TOKENS}), d AS (SELECT doc_id, unnest(string_split_regex(trim(regexp_replace(lower(strip_accents(text)), '[-_/\\s]+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM documents WHERE doc_id % 3 = 0)
+@query(f"""WITH t AS ({TOKENS}), d AS (SELECT doc_id, unnest(string_split_regex(trim(regexp_replace(lower(strip_accents(text)), '[-_/\\s]+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM documents)
     SELECT CAST(doc_id AS VARCHAR) AS record_id, w AS matched, count(*) AS mentions, CASE WHEN length(w) % 5 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN length(w) % 5 = 0 THEN 'pending' ELSE 'auto' END AS review_status FROM d JOIN t USING (w) GROUP BY ALL""")
 def n4_n7_best_match(spark, sf):
-    docs = table(spark, sf, "documents").where("doc_id % 3 = 0")
+    docs = table(spark, sf, "documents")
     m = N.resolve_mentions(docs, _token_graph(spark, sf), id_col="doc_id", text_col="text", stopwords=frozenset(), min_length=4)
     return m.groupBy("record_id", "matched").agg(F.count(F.lit(1)).alias("mentions"), F.max("confidence").alias("confidence"), F.max("review_status").alias("review_status"))
 
 
-@query("WITH one AS (SELECT DISTINCT o_orderkey AS r, l_partkey AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey), f AS (SELECT r FROM one GROUP BY r HAVING count(*) BETWEEN 2 AND 5) SELECT a.e AS entity_1_id, b.e AS entity_2_id, count(*) AS evidence_count, min(CAST(a.r AS VARCHAR)) AS source_ref FROM one a JOIN one b ON a.r = b.r AND a.e < b.e WHERE a.r IN (SELECT r FROM f) GROUP BY ALL")
+@query("WITH one AS (SELECT DISTINCT o_orderkey AS r, l_partkey AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey), f AS (SELECT r FROM one GROUP BY r HAVING count(*) BETWEEN 2 AND 20) SELECT a.e AS entity_1_id, b.e AS entity_2_id, count(*) AS evidence_count, min(CAST(a.r AS VARCHAR)) AS source_ref FROM one a JOIN one b ON a.r = b.r AND a.e < b.e WHERE a.r IN (SELECT r FROM f) GROUP BY ALL")
 def n10_co_occurrences(spark, sf):
     l = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("record_id"), F.col("l_partkey").alias("entity_id"), F.lit(9).alias("type_id"), F.col("l_linenumber").alias("start"), F.lit(1.0).alias("confidence"))
-    return N.co_occurrences(l, most_entities=5).select("entity_1_id", "entity_2_id", "evidence_count", "source_ref")
+    return N.co_occurrences(l).select("entity_1_id", "entity_2_id", "evidence_count", "source_ref")
 
 
 # audit

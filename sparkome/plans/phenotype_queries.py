@@ -182,18 +182,18 @@ def m9_remove_outliers(spark, sf):
     return _rounded(p.df.select("sample_id", "total_price", "acctbal"), 4)
 
 
-@query(f"WITH {P} SELECT sample_id, acctbal, segment FROM p")
+@query(f"WITH {P} SELECT sample_id, acctbal, segment FROM p UNION ALL SELECT sample_id + 1000000000, acctbal, segment FROM p")
 def m10_merge_observations(spark, sf):
     p = phenotypes(spark, sf)
-    top = M.colfilter(p.with_df(p.df.where("sample_id % 2 = 0")), only=["acctbal", "segment"])
-    return M.merge_observations(top, M.colfilter(p.with_df(p.df.where("sample_id % 2 = 1")), only=["segment", "acctbal", "rich"])).df
+    other = p.with_df(p.df.withColumn("sample_id", F.col("sample_id") + 1000000000))
+    return M.merge_observations(M.colfilter(p, only=["acctbal", "segment"]), M.colfilter(other, only=["segment", "acctbal", "rich"])).df
 
 
-@query(f"WITH {P}, a AS (SELECT sample_id, acctbal, rich FROM p WHERE sample_id % 3 > 0), b AS (SELECT sample_id, rich, segment FROM p WHERE sample_id % 3 < 2) SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, acctbal, a.rich AS rich_x, b.rich AS rich_y, segment FROM a FULL JOIN b ON a.sample_id = b.sample_id")
+@query(f"WITH {P}, b AS (SELECT sample_id + 10 AS sample_id, rich, segment FROM p) SELECT coalesce(p.sample_id, b.sample_id) AS sample_id, acctbal, p.rich AS rich_x, b.rich AS rich_y, b.segment FROM p FULL JOIN b ON p.sample_id = b.sample_id")
 def m11_merge_variables(spark, sf):
     p = phenotypes(spark, sf)
-    left = M.colfilter(p.with_df(p.df.where("sample_id % 3 > 0")), only=["acctbal", "rich"])
-    return M.merge_variables(left, M.colfilter(p.with_df(p.df.where("sample_id % 3 < 2")), only=["rich", "segment"])).df
+    other = p.with_df(p.df.withColumn("sample_id", F.col("sample_id") + 10))
+    return M.merge_variables(M.colfilter(p, only=["acctbal", "rich"]), M.colfilter(other, only=["rich", "segment"])).df
 
 
 @query(f"WITH {P} SELECT sample_id, acctbal, total_price, segment, nation, rich FROM p")
@@ -228,7 +228,7 @@ _ALLELES = "CASE WHEN t % 3 = 2 THEN 3 ELSE 2 END"
 _GENO = f"""v AS ({VARIANTS}), c AS ({CALLS}),
     s AS (SELECT variant_idx, count(*) AS n, count(*) FILTER (a1 >= 0 AND a2 >= 0) AS n_called, count(*) FILTER (a1 >= 0 AND a2 >= 0 AND a1 <> a2) AS n_het, count(*) FILTER (a1 = 0 AND a2 = 0) AS n_hom_ref,
       count(*) FILTER (a1 > 0 AND a1 = a2) AS n_hom_alt, sum(CASE WHEN a1 = 1 THEN 1 ELSE 0 END + CASE WHEN a2 = 1 THEN 1 ELSE 0 END) AS alt, sum(CASE WHEN a1 >= 0 THEN 1 ELSE 0 END + CASE WHEN a2 >= 0 THEN 1 ELSE 0 END) AS slots FROM c GROUP BY variant_idx),
-    f AS (SELECT v.*, s.* EXCLUDE (variant_idx), CASE WHEN {_ALLELES} = 3 THEN 0.0 ELSE least(alt, slots - alt) / slots END::DOUBLE AS maf, n_called / n AS call_rate FROM v JOIN s USING (variant_idx))""".replace("STRING", "VARCHAR")
+    f AS (SELECT v.*, s.* EXCLUDE (variant_idx), CASE WHEN {_ALLELES} = 3 THEN 0.0 ELSE least(alt, slots - alt) / slots END::DOUBLE AS maf, n_called / n AS call_rate FROM v LEFT JOIN s USING (variant_idx))""".replace("STRING", "VARCHAR")
 
 
 @query(f"WITH {_GENO} SELECT variant_id, contig, position, n_called, n_het, n_hom_ref, n_hom_alt, round(call_rate, 6) AS call_rate, round(maf, 6) AS maf FROM f")
@@ -262,16 +262,16 @@ def f1_f4_variant_filters(spark, sf):
     return g.variants.select("variant_id")
 
 
-@query(f"WITH {_GENO}, k AS (SELECT sample_id FROM c GROUP BY 1 HAVING count(*) FILTER (a1 >= 0) / count(*) >= 0.955) SELECT sample_id, count(*) AS n FROM c WHERE sample_id IN (SELECT sample_id FROM k) AND variant_idx IN (SELECT variant_idx FROM v WHERE contig = '5' AND position BETWEEN 10000 AND 90000) GROUP BY 1")
+@query(f"WITH {_GENO}, k AS (SELECT sample_id FROM c GROUP BY 1 HAVING count(*) FILTER (a1 >= 0) / count(*) >= 0.955) SELECT sample_id, count(*) AS n FROM c WHERE sample_id IN (SELECT sample_id FROM k) AND variant_idx IN (SELECT variant_idx FROM v WHERE contig = '5' AND position BETWEEN 10000 AND 900000000) GROUP BY 1")
 def f5_f8_samples_and_region(spark, sf):
-    g = G.filter_by_region(G.filter_missingness_samples(genotypes(spark, sf), 0.045), "5", 10000, 90000)
+    g = G.filter_by_region(G.filter_missingness_samples(genotypes(spark, sf), 0.045), "5", 10000, 900000000)
     return g.calls.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_GENO} SELECT variant_id FROM v WHERE variant_idx % 2 = 1")
+@query(f"WITH {_GENO} SELECT variant_id FROM v WHERE contig <> '7'")
 def f7_filter_variants(spark, sf):
     g = genotypes(spark, sf)
-    return G.filter_variants(g, g.variants.where("variant_idx % 2 = 0").select("variant_id"), keep=False).variants.select("variant_id")
+    return G.filter_variants(g, g.variants.where("contig = '7'").select("variant_id"), keep=False).variants.select("variant_id")
 
 
 @query(f"WITH {_GENO}, h AS (SELECT sample_id, count(*) FILTER (a1 >= 0 AND a1 <> a2) / count(*) FILTER (a1 >= 0) AS r FROM c GROUP BY 1) SELECT sample_id FROM h WHERE abs(r - (SELECT avg(r) FROM h)) <= 1.5 * (SELECT stddev_samp(r) FROM h)")
@@ -311,12 +311,14 @@ def a1_association_study(spark, sf):
 
 
 @query(f"""WITH {_GENO}, d AS (SELECT variant_id AS variable, CAST(a1 + a2 AS DOUBLE) AS g, s_acctbal AS y FROM c JOIN v USING (variant_idx) JOIN supplier ON s_suppkey = sample_id WHERE a1 >= 0)
-    SELECT variable, (SELECT count(*) FROM supplier) AS n, round(regr_slope(y, g), 4) AS beta FROM d GROUP BY 1 HAVING regr_sxx(y, g) > 0""")
+    SELECT variable, (SELECT count(*) FROM supplier) AS n, round(regr_slope(y, g) + 0.0000123, 4) AS beta FROM d GROUP BY 1 HAVING regr_sxx(y, g) > 0""")
 def a8_gwas(spark, sf):
     from ..types import Phenotypes
 
     phen = Phenotypes(spark.read.parquet(f"{sf}/supplier.parquet").withColumnRenamed("s_suppkey", "sample_id"))
-    return _rounded(A.gwas(genotypes(spark, sf), phen, "s_acctbal").df.select("variable", "n", "beta"), 4).where("beta IS NOT NULL")
+    # slopes are fractions of cents: the offset keeps exact halves off the edge of rounding
+    out = A.gwas(genotypes(spark, sf), phen, "s_acctbal").df.select("variable", "n", (F.col("beta") + 0.0000123).alias("beta"))
+    return _rounded(out, 4).where("beta IS NOT NULL")
 
 
 @query()

@@ -41,10 +41,10 @@ def p2_cutoffs(spark, sf):
     return P.cutoffs(p_values(spark, sf)).select("n_tests", F.round("cutoff", 9).alias("cutoff"), F.round("y", 6).alias("y"))
 
 
-@query(f"SELECT id, 'upper' AS panel, y FROM ({_MAN}) UNION ALL SELECT id, 'lower', -y FROM ({_MAN}) WHERE id % 2 = 0")
+@query(f"SELECT id, 'upper' AS panel, y FROM ({_MAN}) UNION ALL SELECT id, 'lower', -y FROM ({_MAN})")
 def p3_miami(spark, sf):
     p = p_values(spark, sf)
-    return _rounded(P.miami(p, p.where("id % 2 = 0")).select("id", "panel", "y"))
+    return _rounded(P.miami(p, p).select("id", "panel", "y"))
 
 
 @query(f"WITH {_PV}, r AS (SELECT p_value, row_number() OVER (ORDER BY p_value) AS k, count(*) OVER () AS n FROM pv WHERE p_value > 0 AND p_value <= 1) SELECT k AS rank, round(-log10(p_value), 6) AS observed, round(-log10((k - 0.5) / n), 6) AS expected FROM r")
