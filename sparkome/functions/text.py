@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
 
 from pyspark.sql import Column, functions as F
 
-_BREAKS = re.compile(r"[-_/\s]+")
+
+@functools.cache
+def _marks() -> re.Pattern:
+    """Runs of combining characters."""
+    return re.compile("[" + "".join(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))) + "]+")
 
 
 def normalize(text: str | None) -> str | None:
     """Lower case, compatibility decomposition without combining marks, hyphens and slashes as spaces, single spaces. Greek stays."""
     if text is None:
         return None
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
-    return _BREAKS.sub(" ", plain).strip()
+    plain = text.lower()
+    if not plain.isascii():
+        plain = _marks().sub("", unicodedata.normalize("NFKD", plain))
+    return " ".join(plain.replace("-", " ").replace("_", " ").replace("/", " ").split())
 
 
 def normalized(col: Column) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import normalize
+from ..types import broadcast_if_small
 from .kg import KnowledgeGraph, add_relationships, canonical
 
 # Names too common in text to be mentions.
@@ -61,6 +62,8 @@ def scan(records: DataFrame, names: DataFrame, *, id_col: str, text_col: str, co
     """
     distinct = names.select("alias_norm").where("alias_norm != ''").distinct()
     spark = records.sparkSession
+    if records.rdd.getNumPartitions() < 2 * spark.sparkContext.defaultParallelism:
+        records = records.repartition(2 * spark.sparkContext.defaultParallelism)  # a few large files: the scan is worth a shuffle
     rows = records.select(F.col(f"`{id_col}`").cast("string").alias("record_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("trim(text) != ''")
     schema = "record_id string, start int, stop int, matched string, context string"
     if distinct.count() <= MAX_BROADCAST:
@@ -113,11 +116,11 @@ def resolve_mentions(records: DataFrame, kg: KnowledgeGraph, *, id_col: str = "r
     best = names.withColumn("__p", priority).groupBy("alias_norm", "entity_id").agg(F.min(F.struct("__p", "alias_id", "alias_value", "alias_type", "type_id", "primary_name")).alias("a"))
     shared = best.groupBy("alias_norm").agg(F.count(F.lit(1)).alias("__n"))
     best = best.join(shared, "alias_norm").select(F.col("alias_norm").alias("matched"), "entity_id", "a.alias_id", "a.alias_value", "a.alias_type", "a.type_id", "a.primary_name", (1.0 / F.col("__n")).alias("confidence"))
-    out = spans.join(best, "matched").withColumn("review_status", F.when(F.col("confidence") >= AUTO, "auto").otherwise("pending"))
-    rank = F.row_number().over(Window.partitionBy("record_id", "start", "stop").orderBy(F.desc("confidence"), "alias_id"))
-    out = out.withColumn("__r", rank)
+    # candidates of a span are those of its name, so they are ranked and chosen name by name, before any span is met
+    rank = F.row_number().over(Window.partitionBy("matched").orderBy(F.desc("confidence"), "alias_id"))
+    best = best.withColumn("__r", rank).withColumn("review_status", F.when(F.col("confidence") >= AUTO, "auto").otherwise("pending"))
     keep = {"best_match": F.col("__r") == 1, "all_candidates": F.lit(True), "smart": (F.col("confidence") < threshold) | (F.col("__r") == 1)}[mode]
-    return out.where(keep).drop("__r")
+    return spans.join(broadcast_if_small(best.where(keep).drop("__r"), 500_000), "matched")
 
 
 def persist_matches(matches: DataFrame, *, field: str = "text", method: str = "exact_aho") -> DataFrame:
