@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkome.llm import langid, packing, quality_rules, simhash
+from sparkome.llm import langid, near_copies, packing, quality_rules
 from sparkome.llm.common import new_path
 from sparkome.llm.queries import table, vocabulary
 
@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    return simhash.keep_first(docs)
+    """One document, that with the smallest id, of each group whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return near_copies.keep_first(docs, shingle=5, similarity=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

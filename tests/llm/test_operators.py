@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkome.llm import ann, cotraining, langid, packing, quality_rules, simhash, spm, token_counts, toxicity, warc
+from sparkome.llm import ann, cotraining, langid, near_copies, packing, quality_rules, simhash, spm, token_counts, toxicity, warc
 from sparkome.llm.queries import table, vocabulary
 
 WORDS = "the of and vector cluster river stone quiet window paper garden music letter number island market winter".split()
@@ -300,6 +300,59 @@ def test_keep_first_keeps_columns_and_one_of_each(docs, texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comp))
 
 
+# near-copies in the pipeline
+
+
+def slow_shingles(text):
+    words = words_of((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def slow_near_copies(texts):
+    """The least position that links of similarity 0.8 or more reach, for every text."""
+    sets, root = [slow_shingles(t) for t in texts], list(range(len(texts)))
+    for x in range(len(texts)):
+        for y in range(x):
+            if sets[x] == sets[y] or len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                old, new = max(root[x], root[y]), min(root[x], root[y])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def edited(r, text, n):
+    words = text.split()
+    for k in r.sample(range(len(words)), n):
+        words[k] = f"y{r.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_near_copies_equal_brute_force(spark, docs, empty):
+    r = random.Random(3)
+    base = [" ".join(f"w{r.randrange(4000)}" for _ in range(300)) for _ in range(25)]
+    texts = [x.text for x in docs.orderBy("doc_id").collect()] + base + [edited(r, b, n) for b in base for n in (1, 3, 5, 6, 7, 9, 14)]
+    chain = [base[0]]
+    for _ in range(12):  # each is near the one before, the ends are not near each other
+        chain.append(edited(r, chain[-1], 3))
+    texts += chain[1:] + [edited(r, base[1], 4) for _ in range(60)]
+    want = slow_near_copies(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_copies.near_copies(frame).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert near_copies.near_copies(empty).count() == 0
+
+
+def test_pipeline_drops_near_copies_beyond_two_bits(spark, sf_dir):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    base = " ".join(f"w{r.randrange(4000)}" for _ in range(400))
+    near = [edited(r, base, n) for n in (4, 6, 8)]
+    assert min((slow_fingerprint(base) ^ slow_fingerprint(t)).bit_count() for t in near) > 2
+    rows = [(k, t) for k, t in enumerate([base, *near, edited(r, base, 120)])]
+    kept = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert kept.columns == ["doc_id", "text"] and sorted(x.doc_id for x in kept.collect()) == [0, 4]
+
+
 # 6 quality rules
 
 
