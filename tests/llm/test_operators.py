@@ -105,6 +105,17 @@ def test_packing_of_no_rows(empty):
     assert packing.pack(empty, vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_finds_neighbours_far_apart_in_storage(spark):
+    r = random.Random(6)
+    made = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(80)) for _ in range(200)]
+    rows = [(k, t) for k, t in enumerate(made)] + [(200 + k, edited(r, t, 2)) for k, t in enumerate(made)]  # copies are 200 rows apart
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), vocabulary("word_bpe_49k.json"), window=1024, shard_units=32).collect()
+    where = defaultdict(set)
+    for x in got:
+        where[x.doc_id].add(x.sequence_id)
+    assert sum(bool(where[k] & where[200 + k]) for k in range(200)) >= 120
+
+
 # 4 and 10 SentencePiece
 
 
