@@ -77,8 +77,10 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                sets = [shingles(t, shingle).tobytes() for t in batch.column(0).slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([_signed(np.array([xxhash.xxh64_intdigest(s) for s in sets], np.uint64)), pa.array(sets, pa.binary())], ["node", "shingles"])
+                sets = [shingles(t, shingle) for t in batch.column(0).slice(at, 256).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([_signed(node), pa.ListArray.from_arrays(ends, _signed(np.concatenate([*sets, np.zeros(0, np.uint64)])))], ["node", "shingles"])
 
     return run
 
@@ -133,22 +135,6 @@ def _candidates(crossing: bool):
     return run
 
 
-def _alike(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    good.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return run
-
-
 def _checked(pairs: DataFrame, texts: DataFrame, ids: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least the similarity. Sets are made anew, of the texts that pairs name.
 
@@ -159,11 +145,12 @@ def _checked(pairs: DataFrame, texts: DataFrame, ids: DataFrame, shingle: int, s
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = ids.join(named, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
     some = texts.join(wanted, "doc_id", "left_semi").select("text").unionByName(texts.where("doc_id is null").select("text"))
-    sets = written(some.mapInArrow(_sets(shingle), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = written(some.mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(pairs.select("a", "salt").distinct(), "a")
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    joined = pairs.join(left, ["a", "salt"]).join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(_alike(similarity), "a long, b long")
+    joined = pairs.join(left, ["a", "salt"]).join(right, "b").where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
+    both = joined.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return both.where(F.col("both") >= similarity * (F.col("n") - F.col("both"))).select("a", "b")
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
