@@ -11,11 +11,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
+def col(name: str) -> Column:
+    """A column by its literal name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one, so that no name of theirs can clash; select("row.*") brings them back."""
+    return F.struct(*[col(c) for c in df.columns]).alias("row")
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a single machine, where that is unset (tests), a temporary one."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="sparkome-")
         sc.setCheckpointDir(configured)
         configured = sc.getCheckpointDir() or configured

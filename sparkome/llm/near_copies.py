@@ -1,10 +1,14 @@
-"""Near-copies of whole texts: shingles of five words, candidates by banded MinHash, then the exact similarity of the shingle sets.
+"""Near-copies of whole texts for the pipeline's near-dedup: shingles of five words, candidates by banded MinHash, then the exact similarity of the shingle sets.
 
-Texts with equal sets are one node. A node has 32 bands of 5 MinHash values; nodes that share a band are
-candidates, and a pair of similarity 0.8 shares none with a probability of (1 - 0.8^5)^32, 3 in a million.
-Candidates are first each bucket's nodes with its least one; what that leaves unconnected is compared across the
-components within each bucket, so that a large group of near-copies never becomes all its pairs. A sketch of one bit for each
-MinHash value, carried along, spares the exact check for pairs that are far apart.
+SimHash fingerprints can't tell these links (texts of similarity 0.8 differ in about 10 of 64 bits, where
+covering anchors meet nearly everything), so the stage takes MinHash for candidates; README has the figures.
+
+Texts with equal sets are one node. A node has 32 bands of 5 MinHash values; nodes that share a band may be
+near, and a pair of similarity 0.8 shares none with a probability of (1 - 0.8^5)^32, 3 in a million. What bands connect
+is a cluster. A cluster's texts meet in blocks of bounded size, where each pair of near sketches that isn't
+connected yet has its sets compared, so that a group of copies gives a spanning forest and never its pairs. Clusters of more
+than a block are compared block by block: first each with itself, then the nodes that still share a band with
+another component with those of the other blocks.
 """
 
 from __future__ import annotations
@@ -16,12 +20,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
-from .simhash import components
+from .common import col, written
+from .simhash import components, keep_one
 
 BANDS, ROWS = 32, 5
-#: Sketch bits that may differ: at similarity 0.8, 16 of 160 are expected with a deviation of 3.8, so 40 is over six of them beyond.
-FAR = 40
+#: MinHash values of 160 that must agree before sets are compared: at similarity 0.8, 128 are expected with a deviation of 5, so 104 is over four of them below.
+AGREE = 104
+#: Nodes and bytes of text of a block.
+BLOCK_NODES, BLOCK_BYTES = 4096, 48 << 20
 _MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -50,143 +56,160 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def node_of(hashes: np.ndarray) -> int:
+    """The name of a set as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
 def _describe(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = np.arange(BANDS, dtype="<u8")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingles(t, shingle) for t in part.column(1).to_pylist()]
+                sets = [shingles(t, shingle) for t in part.column(2).to_pylist()]
                 low = np.array([minima(s) for s in sets]).reshape(-1, BANDS, ROWS)
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
-                bands = np.array([[xxhash.xxh64_intdigest(b.tobytes(), int(k)) for k, b in zip(salt, x, strict=True)] for x in low], np.uint64)
-                bits = np.zeros((len(sets), 192), np.uint8)
-                bits[:, : BANDS * ROWS] = (low.reshape(len(sets), -1) >> np.uint64(20)) & np.uint64(1)
-                sketch = np.packbits(bits, axis=1).view(np.uint64).copy()
-                arrays = [part.column(0), _signed(node), pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), _signed(bands.ravel()))]
-                yield pa.RecordBatch.from_arrays([*arrays, *(_signed(sketch[:, k].copy()) for k in range(3))], ["doc_id", "node", "bands", "s0", "s1", "s2"])
+                bands = np.array([[xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(x)] for x in low], np.uint64)
+                listed = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([node_of(s) for s in sets], pa.int64()), listed, part.column(3)], ["doc_id", "hash", "node", "bands", "size"])
 
     return run
 
 
-def _sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sets = [shingles(t, shingle) for t in batch.column(0).slice(at, 256).to_pylist()]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([_signed(node), pa.ListArray.from_arrays(ends, _signed(np.concatenate([*sets, np.zeros(0, np.uint64)])))], ["node", "shingles"])
-
-    return run
-
-
-def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= FAR
+def forest(sets: list[np.ndarray], low: np.ndarray, root: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Links (as positions) that connect just what the links of at least the similarity between the sets do, beyond what equal `root` say is connected.
 
+    With `side`, only pairs of different sides count. A set is compared with those of near sketches and sizes, nearest
+    first, and not with what has been connected meanwhile.
+    """
+    size = np.array([len(s) for s in sets])
+    root, out = np.unique(root, return_inverse=True)[1], []
+    for i in range(len(sets) - 1):
+        rest = slice(i + 1, None)
+        able = (root[rest] != root[i]) & (np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]))
+        if side is not None:
+            able &= side[rest] != side[i]
+        todo = i + 1 + np.flatnonzero(able)
+        if not len(todo):
+            continue
+        agree = (low[todo] == low[i]).sum(axis=1)
+        order = np.argsort(-agree, kind="stable")
+        todo = todo[order[: int((agree >= AGREE).sum())]]
+        while len(todo):
+            j = int(todo[0])
+            both = size[i] + size[j] - len(np.union1d(sets[i], sets[j]))
+            if both >= similarity * (size[i] + size[j] - both):
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+                todo = todo[root[todo] != root[i]]
+            else:
+                todo = todo[1:]
+    return out
 
-def _candidates(crossing: bool):
-    """Pairs of a bucket's nodes (column root: their component) whose sketches are near: each with the first, or all across components."""
 
-    def pairs(node: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if not crossing:
-            a = int(node.argmin())
-            hit = np.flatnonzero(_near(sketch, sketch[a]) & (node != node[a]))
-            yield np.full(len(hit), node[a]), node[hit]
-        elif (root != root[0]).any():
-            step = max(1, (1 << 20) // len(node))
-            for at in range(0, len(node), step):
-                one = slice(at, at + step)
-                x, y = np.nonzero((root[one, None] < root[None, :]) & _near(sketch[one, None, :], sketch[None, :, :]))
-                u, v = node[one][x], node[y]
-                yield np.minimum(u, v), np.maximum(u, v)
+def _compare(shingle: int, similarity: float):
+    """Of rows sorted by cluster and block (columns cluster, block, node, root, side, text): links as pairs of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 6), np.int64)
-        empty = np.zeros(0, np.int64)
-
-        def of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            edge = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0], [True])))
-            found = [(empty, empty)]
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if b - a > 1:
-                    for pair in pairs(rows[a:b, 1], rows[a:b, 2], rows[a:b, 3:].view(np.uint64)):
-                        found.append(pair)
-                        if sum(len(x) for x, _ in found[-64:]) > 1 << 16:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
-                            found = [(empty, empty)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
+        key, nodes, sets, lows, roots, sides = None, {}, [], [], [], []
+
+        def close() -> pa.RecordBatch:
+            found = []
+            if len(sets) > 1:
+                names = list(nodes)
+                side = np.array(sides) if min(sides) != max(sides) else None
+                pairs = forest(sets, np.array(lows), np.array(roots, np.int64), side, similarity) if side is not None or sides[0] < 0 else []
+                found = [(names[i], names[j]) for i, j in pairs]
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            rows = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns], axis=1).reshape(-1, 6)])
-            if not len(rows):
-                continue
-            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            rest = rows[cut:]
-            if cut:
-                yield from of(rows[:cut])
-        if len(rest):
-            yield from of(rest)
+            for at in range(0, batch.num_rows, 256):
+                for cluster, block, node, root, side, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if key != (cluster, block):
+                        yield close()
+                        key, nodes, sets, lows, roots, sides = (cluster, block), {}, [], [], [], []
+                    if node in nodes:
+                        continue
+                    s = shingles(text, shingle)
+                    if node_of(s) == node:  # else another row with an equal id and hash of its text
+                        nodes[node] = len(sets)
+                        sets.append(s)
+                        lows.append(minima(s).astype(np.uint32))
+                        roots.append(root)
+                        sides.append(side)
+        yield close()
 
     return run
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, ids: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least the similarity. Sets are made anew, of the texts that pairs name.
-
-    A node that many pairs name is dealt over several tasks.
-    """
-    salts = 8
-    pairs = written(pairs.distinct(), "candidates").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ids.join(named, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    some = texts.join(wanted, "doc_id", "left_semi").select("text").unionByName(texts.where("doc_id is null").select("text"))
-    sets = written(some.mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(pairs.select("a", "salt").distinct(), "a")
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    joined = pairs.join(left, ["a", "salt"]).join(right, "b").where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
-    both = joined.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return both.where(F.col("both") >= similarity * (F.col("n") - F.col("both"))).select("a", "b")
-
-
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _blocks(placed: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links a, b found in the blocks that `placed` (least, hash, cluster, block, node, root, side) names."""
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = placed.select(F.coalesce("least", F.lit(0)).alias("id"), F.col("least").isNull().alias("none"), "hash", "cluster", "block", "node", "root", "side")
+    given = texts.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("hash"), "text")
+    rows = given.join(wanted, ["id", "none", "hash"]).select("cluster", "block", "node", "root", "side", "text")
+    dealt = rows.repartition(parts, "cluster", "block").sortWithinPartitions("cluster", "block", "node")
+    return dealt.mapInArrow(_compare(shingle, similarity), "a long, b long")
+
+
+def _links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, block_nodes: int) -> DataFrame:
+    """Links that connect all pairs of nodes (columns node, least, hash, size, bands) that are near."""
+    buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = buckets.join(shared, "bucket").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    star = components(stars)
+    cluster = star.select("node", F.col("root").alias("cluster")).unionByName(star.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
+    placed = cluster.join(nodes.select("node", "least", "hash", "size"), "node")
+    deal = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_nodes), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("parts"))
+    placed = placed.join(deal, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = written(placed, "clusters")
+    inside = placed.select("least", "hash", "cluster", "block", "node", F.col("node").alias("root"), F.lit(-1).alias("side"))
+    links = written(_blocks(inside, texts, shingle, similarity), "links-inside")
+    many = placed.where("parts > 1")
+    if many.isEmpty():
+        return links
+    # nodes of larger clusters that share a band with another component meet the other blocks' nodes
+    rooted = written(many.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    open_ = nodes.join(rooted.select("node", "root"), "node").select(F.explode("bands").alias("bucket"), "node", "root")
+    mixed = open_.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
+    rest = rooted.join(open_.join(mixed, "bucket", "left_semi").select("node").distinct(), "node", "left_semi")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("block")))
+    pairs = rest.withColumn("other", other).withColumn("lower", F.least("block", "other")).withColumn("upper", F.greatest("block", "other"))
+    crossing = pairs.select("least", "hash", "cluster", (F.col("lower") * F.col("parts") + F.col("upper")).alias("block"), "node", "root", F.col("block").alias("side"))
+    return links.unionByName(_blocks(crossing, texts, shingle, similarity))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, block_nodes: int) -> DataFrame:
+    """doc_id, node, root of every row: rows with equal roots are one component."""
+    texts = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    named = texts.select("doc_id", F.xxhash64("text").alias("hash"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    rows = written(named.mapInArrow(_describe(shingle), "doc_id long, hash long, node long, bands array<long>, size long"), "bands")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("hash")))
+    nodes = rows.groupBy("node").agg(first.alias("f"), F.max("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select("node", F.col("f.doc_id").alias("least"), F.col("f.hash").alias("hash"), "size", "bands"), "nodes")
+    stars = components(_links(nodes, texts, shingle, similarity, block_nodes))
+    found = nodes.select("node").join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return rows.select("doc_id", "node").join(found, "node")
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """doc_id, component_id of every document: one row for each row.
 
     Documents link where the Jaccard similarity of their sets of shingles is at least `similarity`, whose bands
     are chosen for 0.8 or more; component_id is the smallest id that links reach. Null and empty texts are
-    copies of each other. A null id is no component's id unless all ids of its component are null.
+    copies of each other. A null id is no component's id unless all ids of its component are null. Repeated rows are
+    in one component; an empty table gives an empty one; other columns are not read.
+    """
+    found = written(_grouped(docs, id_col, text_col, shingle, similarity, block_nodes), "grouped")
+    ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(ids, "root").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """The rows of docs without near-copies: of each component one row stays, with the columns of docs.
+
+    It is the row with the smallest id (null ids come last); of rows that share that id, one whose set
+    has the smallest hash, so that a repeated id never costs a text that has no copy. Rows equal in both count
+    once. Null and empty texts are copies of each other; an empty table gives an empty one.
     """
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = written(texts.mapInArrow(_describe(shingle), "doc_id long, node long, bands array<long>, s0 long, s1 long, s2 long"), "bands")
-    ids = written(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    described = written(rows.select("node", "bands", "s0", "s1", "s2").dropDuplicates(["node"]), "sketches")
-    buckets = described.select(F.explode("bands").alias("bucket"), "node", "s0", "s1", "s2")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def candidates(rooted: DataFrame, crossing: bool) -> DataFrame:
-        dealt = rooted.select("bucket", "node", "root", "s0", "s1", "s2").repartition(parts, "bucket").sortWithinPartitions("bucket")
-        return dealt.mapInArrow(_candidates(crossing), "a long, b long")
-
-    first = written(_checked(candidates(buckets.withColumn("root", F.col("node")), False), texts, ids, shingle, similarity), "edges")
-    stars = components(first)
-    rooted = buckets.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    second = _checked(candidates(rooted, True), texts, ids, shingle, similarity)
-    node = components(first.unionByName(second))
-    found = written(ids.join(node, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
-    named = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    salts = 8
-    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.select("doc_id", "node").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(named, ["node", "salt"]).select("doc_id", "component_id")
-
-
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs without near-copies: of each component the document with the smallest id stays, once. Documents with a null id stay."""
-    found = near_copies(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    keyed = docs.join(first, docs[id_col].cast("long") == F.col("__id"), "left_semi")
-    null = docs.where(F.col(f"`{id_col}`").isNull())
-    return keyed.dropDuplicates([id_col]).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(null)
+    found = written(_grouped(docs, id_col, text_col, shingle, similarity, block_nodes), "grouped")
+    return keep_one(docs, found, lambda text: node_of(shingles(text, shingle)), id_col=id_col, text_col=text_col)

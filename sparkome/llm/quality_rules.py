@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import once, uniform
+from .common import col, once, uniform
 
 SYMBOLS = "[#*$%&|<>]+"
 _SPACE = r"[ \t\n\x0B\f\r]+"
@@ -22,13 +22,22 @@ FEATURES = ("n_words", "mean_word_chars", "symbols_per_word", "dup_line_share",
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def free_prefix(df: DataFrame, prefix: str = "__q_") -> str:
+    """A prefix that no column of df has."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def with_statistics(df: DataFrame, text: Column, prefix: str = "__q_") -> DataFrame:
-    """df with the statistics of a text as columns named prefix + name. Every column of df stays.
+    """df with the statistics of a text as columns named prefix + name. Every column of df stays; none may begin with the prefix (see free_prefix).
 
     Each step is a projection of its own: what it defines is used more than once above, so it is computed
     once a row. A repeated 3-word window is found by sorting (hash, position) pairs, only where some hash
     repeats: time grows as n log n in the words of a text, and nothing is exploded or shuffled.
     """
+    if free_prefix(df, prefix) != prefix:
+        raise ValueError(f"a column of the table begins with {prefix}")
     p = lambda name: F.col(f"`{prefix}{name}`")
     df = df.withColumn(f"{prefix}text", F.coalesce(text.cast("string"), F.lit("")))
     df = df.withColumn(f"{prefix}trim", F.btrim(p("text"), F.lit(_BLANKS)))
@@ -42,7 +51,7 @@ def with_statistics(df: DataFrame, text: Column, prefix: str = "__q_") -> DataFr
     covered = F.aggregate(F.transform(p("twice"), lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p("twice"), j + 1), x + 3) - x)), F.lit(0).cast("long"), lambda a, x: a + x)
     n = F.size(p("words")).cast("long")
     df = df.select(
-        *[F.col(f"`{c}`") for c in df.columns if not c.startswith(prefix)],
+        *[col(c) for c in df.columns if not c.startswith(prefix)],
         n.alias(f"{prefix}n_words"),
         F.length(F.array_join(p("words"), "")).cast("long").alias(f"{prefix}word_chars"),
         (F.length(p("text")) - F.length(F.regexp_replace(p("text"), SYMBOLS, ""))).cast("long").alias(f"{prefix}n_symbols"),
@@ -192,31 +201,38 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     Rows that fail the base test teach nothing. Labels other than 0 and 1, and null ids, are left out.
     """
-    some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), (F.col(label_col) == 0).alias("__bad")).distinct()
+    some = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull())
+    some = some.select(col(id_col).cast("long").alias("__id"), (col(label_col) == 0).alias("__bad")).distinct()
     some = some.orderBy(F.xxhash64("__id"), "__id", "__bad").limit(max_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(some), "__id")
+    rows = docs.select(col(id_col).cast("long").alias("__id"), col(text_col).alias("__text")).join(F.broadcast(some), "__id")
     rows = with_statistics(rows, F.col("__text")).where(~F.col("__q_base_failed")).select("__id", "__bad", *[F.col(f"__q_{f}").cast("double").alias(f) for f in FEATURES])
     got = [r.asDict() for r in rows.withColumn("__u", uniform(F.col("__id"), F.lit("prune"))).collect()]
     got.sort(key=lambda r: (r["__id"], r["__bad"], *[r[f] for f in FEATURES]))
     return learn_rules([{f: r[f] for f in FEATURES} | {"bad": r["__bad"], "prune": r["__u"] < 1 / 3} for r in got], **options)
 
 
-def judge(docs: DataFrame, rules: list[Rule], *, text_col: str = "text") -> DataFrame:
-    """Every row of docs with its columns, the statistics (prefix __q_) and __q_kept.
+def judge(docs: DataFrame, rules: list[Rule], *, text_col: str = "text", prefix: str | None = None) -> DataFrame:
+    """Every row of docs with its columns, the statistics and the verdict `kept`, both named with a prefix (__q_, or a longer one where a column of docs has that).
 
     Null and empty texts have no words: their counts are 0, and they fail the base test. Each row is judged
     by itself, so repeated rows get equal verdicts and an empty table gives an empty one.
     """
-    out = with_statistics(docs, F.col(f"`{text_col}`"))
-    return out.withColumn("__q_kept", once(~F.col("__q_base_failed") & as_column(rules)))
+    prefix = prefix or free_prefix(docs)
+    out = with_statistics(docs, col(text_col), prefix)
+    return out.withColumn(f"{prefix}kept", once(~F.col(f"`{prefix}base_failed`") & as_column(rules, prefix)))
 
 
 def report(docs: DataFrame, rules: list[Rule], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the base statistics, base_failed and kept of every document."""
-    out = judge(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), rules)
+    """doc_id, the base statistics, base_failed and kept of every document. Nulls, empty texts, repeated rows and empty tables are as in judge; other columns are not read."""
+    out = judge(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")), rules)
     return out.select("doc_id", *[F.col(f"__q_{c}").alias(c) for c in (*BASE, "base_failed", "kept")])
 
 
 def keep(docs: DataFrame, rules: list[Rule], *, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs."""
-    return judge(docs, rules, text_col=text_col).where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that are kept, with the columns of docs and nothing else.
+
+    Null and empty texts fail the base test and go. Repeated rows stay or go together; an empty table gives
+    an empty one; columns of any name pass unchanged, those that begin like the statistics' too.
+    """
+    prefix = free_prefix(docs)
+    return judge(docs, rules, text_col=text_col, prefix=prefix).where(f"`{prefix}kept`").select(*[col(c) for c in docs.columns])

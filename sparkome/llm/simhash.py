@@ -13,14 +13,14 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import new_path, remove, written
+from .common import col, new_path, packed, remove, written
 
 BLOCKS = ((0, 23), (23, 23), (46, 18))
 #: The generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the Golay code.
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 fp = np.array([fingerprint(t, shingle, seed) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -249,7 +249,7 @@ def links(distinct: DataFrame, *, threshold: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
-    """node, root: each node of the edges (a, b) with the smallest node that it reaches.
+    """node, root: each node of the edges (a, b) with the smallest node that it reaches, but for those nodes themselves.
 
     Alternates large-star and small-star steps, each written to the shared folder, until edges are stars
     about their roots; that takes rounds as the logarithm of the nodes, and no node's links are gathered
@@ -281,36 +281,73 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components were not settled after {most_rounds} rounds")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int, shingle: int) -> DataFrame:
+    """doc_id, node (the fingerprint), root of every row: rows with equal roots are one component."""
+    rows = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
+    distinct = rows.select("fp").distinct()
+    star = components(links(distinct, threshold=threshold)).withColumnRenamed("node", "fp")
+    found = written(distinct.join(star, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+    # copies of one text may be a third of the rows: the adaptive planner deals such a join's rows over several tasks
+    return rows.join(found, "fp").select("doc_id", F.col("fp").alias("node"), "root")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id of every document: one row for each row.
 
     Documents link where their fingerprints differ in at most `threshold` bits; component_id is the smallest
     id that links reach. Equal fingerprints are one node, so copies never become pairs: each is looked up.
     Null and empty texts have fingerprint 0 and link like any other. A null id is no component's
-    id unless all ids of its component are null. An empty table gives an empty one.
+    id unless all ids of its component are null. Repeated rows are in one component; an empty table gives an empty one; other columns are not read.
     """
-    spark = docs.sparkSession
-    rows = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    node = components(links(distinct, threshold=threshold))
-    found = distinct.join(node, distinct["fp"] == node["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    found = written(found, "roots")
-    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = found.join(ids, "root").select("fp", "component_id")
-    salts = 8
-    # copies of one text may be a third of the rows: deal them over several tasks
-    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(named, ["fp", "salt"])
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the document with the smallest id stays, once.
-
-    Documents with a null id stay.
+    found = written(_grouped(docs, id_col, text_col, threshold, shingle), "grouped")
+    ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Rows of ids that are sent to every task; more of them are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def keep_one(docs: DataFrame, found: DataFrame, node_of: Callable[[str | None], int], *, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each root of `found` (doc_id, node, root of every row; read several times, so a written table).
+
+    It is the row with the least (id, node), null ids last. Rows that nothing but their id is needed for are
+    kept or dropped by it; rows whose id is repeated or null are told apart by their node, which is made anew from the text.
+    """
+    none = F.col("doc_id").isNull()
+    kept = found.groupBy("root").agg(F.min(F.struct(none.alias("none"), F.col("doc_id"), F.col("node"))).alias("k")).select("k.*")
+    by_id = found.where(~none).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = written(by_id.where("n > 1").select("doc_id"), "repeated")
+    going = written(found.where(~none).select("doc_id").distinct().join(kept.where("not none").select("doc_id"), "doc_id", "left_anti"), "going")
+    rows = docs.select(packed(docs), col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    given = rows.where(~none)
+    out = given.join(_small(going.unionByName(repeated)), "doc_id", "left_anti").select("row.*")
+    if repeated.isEmpty() and found.where(none).isEmpty():
+        return out
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([node_of(t) for t in batch.column(2).to_pylist()], pa.int64())], ["row", "doc_id", "node"])
+
+    told = given.join(_small(repeated), "doc_id", "left_semi").select("row", "doc_id", "text").unionByName(rows.where(none))
+    order = F.lit(0) if "map<" in docs.schema.simpleString() else F.xxhash64("row")
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType())])
+    told = told.mapInArrow(named, schema).withColumn("none", none).withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("order", order)
+    one = kept.select("none", F.coalesce("doc_id", F.lit(0)).alias("id"), "node")
+    first = told.join(one, ["none", "id", "node"], "left_semi").groupBy("none", "id", "node").agg(F.min_by("row", "order").alias("row"))
+    return out.unionByName(first.select("row.*"))
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, shingle: int = 3) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component one row stays, with the columns of docs.
+
+    It is the row with the smallest id (null ids come last); of rows that share that id, the one with the
+    smallest fingerprint, so that a repeated id never costs a text that has no near-duplicate. Rows equal in both count
+    once. Null and empty texts are copies of each other; an empty table gives an empty one.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    keyed = docs.join(first, docs[id_col].cast("long") == F.col("__id"), "left_semi")
-    null = docs.where(F.col(f"`{id_col}`").isNull())
-    return keyed.dropDuplicates([id_col]).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(null)
+    found = written(_grouped(docs, id_col, text_col, threshold, shingle), "grouped")
+    return keep_one(docs, found, lambda text: int(np.uint64(fingerprint(text, shingle)).astype(np.int64)), id_col=id_col, text_col=text_col)

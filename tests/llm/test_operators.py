@@ -349,9 +349,26 @@ def test_near_copies_equal_brute_force(spark, docs, empty):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.component_id for x in near_copies.near_copies(frame).collect()}
     assert [got[k] for k in range(len(texts))] == want
+    small = {x.doc_id: x.component_id for x in near_copies.near_copies(frame, block_nodes=4).collect()}
+    assert small == got
     assert near_copies.near_copies(empty).count() == 0
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_first, near_copies.keep_first])
+def test_keep_first_goes_by_row_not_by_id(spark, keep):
+    """Repeated and null ids lose no text that has no copy, whatever the columns are called."""
+    r = random.Random(8)
+    a, b, c = (" ".join(f"w{r.randrange(4000)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (5, b, 3), (7, c, 4), (None, c, 5), (None, None, 6), (None, "", 7), (None, a + " " + b, 8)]
+    frame = spark.createDataFrame(rows, "`doc.id` long, text string, __id int").withColumns({"node": F.lit(1), "row": F.lit(2), "none": F.lit(3), "root": F.lit(4)})
+    kept = keep(frame, id_col="doc.id")
+    assert kept.columns == frame.columns
+    got = kept.collect()
+    assert sorted(x["__id"] for x in got if x["doc.id"] is not None) == [1, 3, 4]
+    assert sorted(x["text"] or "" for x in got if x["doc.id"] is None) == ["", a + " " + b]
+    assert keep(frame.where("false"), id_col="doc.id").count() == 0
+
+
 def test_pipeline_drops_near_copies_beyond_two_bits(spark, sf_dir):
     import corpus_pipeline
 
@@ -630,3 +647,25 @@ def test_pipeline_stages(spark, sf_dir):
         kept = after
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_pipeline_on_nulls_repeats_and_clashing_columns(spark, docs, sf_dir, tmp_path):
+    """Every stage on a table with null and repeated ids, null texts, an empty table, and columns that are named like the operators' own."""
+    import corpus_pipeline
+
+    corpus = table(spark, sf_dir, "documents")
+    twice = corpus.unionByName(corpus.limit(5)).unionByName(corpus.limit(5).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(corpus.limit(3).withColumn("text", F.lit(None).cast("string")))
+    odd = twice.withColumns({"__q_x": F.lit(1), "__q_text": F.lit("t"), "__id": F.lit(2), "score": F.lit(3), "node": F.lit(4), "a.b": F.lit(5)})
+    for frame in (odd, odd.where("false")):
+        now = frame
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            path = str(tmp_path / f"{name}-{frame is odd}")
+            stage(spark, now, sf_dir).write.parquet(path)
+            now = spark.read.parquet(path)
+            assert now.columns == odd.columns
+        if frame is odd:
+            texts = [x.text for x in now.select("text").collect()]
+            assert len(texts) == len(set(texts)) and 0 < len(texts) < corpus.count()
+        packed = corpus_pipeline.pack(spark, now, sf_dir)
+        assert packed.columns == corpus_pipeline.pack(spark, corpus, sf_dir).columns
+        assert (packed.count() > 0) == (frame is odd)
