@@ -1,8 +1,10 @@
 """Quality scores by co-training: a classifier of the text and one of the page's metadata teach each other.
 
-Each view has a logistic regression. In every round each labels the unlabelled texts it is surest of, as
-many of each class as the labelled rows' balance says, for the other one to learn from. At the end each view is calibrated on labelled rows
-that it hasn't learned from, and a logistic of both calibrated views scores every document.
+Each view has a logistic regression. The features of every document are written once. In every round each view scores all unlabelled
+documents and hands those it is surest of, a share of them all with the classes in the labelled rows' balance,
+to the other one to learn from. A view's handed rows are stated by its coefficients and two thresholds, so that a round
+needs a histogram of margins and sums of gradients, never the rows themselves in one place. At the end each view is
+calibrated on labelled rows that it hasn't learned from, and a logistic of both calibrated views scores every document.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, stratified, uniform
+from .common import col, held_out, stratified, uniform, written
 from .toxicity import logistic
 
 #: Buckets of hashed words' endings and of hashed sources.
@@ -48,17 +51,6 @@ def content(text: str | None) -> np.ndarray:
     return out
 
 
-def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """The page's view: language and source by hash, and the recorded length in steps."""
-    out = np.zeros(_SOURCES + _LANGS + 14)
-    out[zlib.crc32((source or "").encode()) % _SOURCES] = 1
-    out[_SOURCES + zlib.crc32((lang or "").encode()) % _LANGS] = 1
-    at = _SOURCES + _LANGS
-    out[at + min(12, int(math.log2(1 + max(0, n_chars or 0)) * 0.75))] = 1
-    out[at + 13] = math.log1p(max(0, n_chars or 0)) / 10
-    return out
-
-
 @dataclass(frozen=True)
 class View:
     mean: np.ndarray
@@ -75,14 +67,6 @@ class View:
         return np.clip(self.slope * self.margin(x) + self.offset, -30, 30)
 
 
-def _view(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> View:
-    mean = np.average(x, axis=0, weights=w)
-    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=w))
-    scale[scale < 1e-9] = 1.0
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    return View(mean, scale, logistic(z, y, w, ridge))
-
-
 @dataclass(frozen=True)
 class Model:
     text: View | None = None
@@ -100,69 +84,285 @@ class Model:
         return p(a), p(b), p(self.weights[0] * a + self.weights[1] * b + self.weights[2])
 
 
-def learn(text: np.ndarray, page: np.ndarray, y: np.ndarray, text_u: np.ndarray, page_u: np.ndarray, aside: np.ndarray, *, rounds: int = 6, step: int = 200, sure: float = 0.95, ridge: float = 2.0) -> Model:
-    """Fit on labelled rows (those of `aside` only calibrate) and unlabelled ones. Fewer than two classes: a model that scores 0.5."""
+#: Margins are counted in steps of 0.01 from -30 to 30.
+_BINS, _STEP = 6000, 0.01
+
+
+@dataclass(frozen=True)
+class Round:
+    """What one round hands over: rows at or above `high` as 1 and at or below `low` as 0, by each view's margin."""
+
+    text: View
+    page: View
+    text_cut: tuple[float, float] = (math.inf, -math.inf)
+    page_cut: tuple[float, float] = (math.inf, -math.inf)
+
+
+def _handed(margins: np.ndarray, cuts: list[tuple[float, float]]) -> np.ndarray:
+    """The label that the first round to hand a row over gives it, or -1; margins has a column a round."""
+    out = np.full(len(margins), -1, np.int8)
+    for k, (high, low) in enumerate(cuts):
+        new = out < 0
+        out[new & (margins[:, k] <= low)] = 0
+        out[new & (margins[:, k] >= high)] = 1
+    return out
+
+
+def _bin(margin: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((margin + 30) / _STEP), 0, _BINS - 1).astype(np.int64)
+
+
+def _cut(counts: np.ndarray, ones: float, zeros: float, sure: float) -> tuple[float, float]:
+    """The thresholds that hand over the least number of surest bins which reaches `ones` and `zeros` rows; ties stay together."""
+    edge = np.log(sure / (1 - sure))
+    at = np.arange(_BINS) * _STEP - 30
+    up, down = np.where(at >= edge, counts, 0)[::-1].cumsum()[::-1], np.where(at + _STEP <= -edge, counts, 0).cumsum()
+    high, low = math.inf, -math.inf
+    if up[0]:
+        high = at[np.flatnonzero(up >= min(ones, up[0]))[-1]]
+    if down[-1]:
+        low = at[np.flatnonzero(down >= min(zeros, down[-1]))[0]] + _STEP - 1e-9
+    return float(high) - 1e-9, float(low)
+
+
+class Pool:
+    """The unlabelled rows as two matrices in memory."""
+
+    def __init__(self, text: np.ndarray, page: np.ndarray):
+        self.text, self.page, self.to_text, self.to_page = text, page, [], []
+
+    def size(self) -> int:
+        return len(self.text)
+
+    def histograms(self, done: list[Round], now: Round) -> tuple[np.ndarray, np.ndarray]:
+        """How many rows that a view hasn't handed over yet have its margin in each bin, for both views."""
+        return _histograms(self.text, self.page, done, now)
+
+    def hand(self, rounds: list[Round]) -> tuple[int, int]:
+        """Hand over what the last round adds. The numbers of rows handed to the text's and to the page's view so far."""
+        new = _new(self.text, self.page, rounds)
+        self.to_text.append((self.text[new[0] >= 0], new[0][new[0] >= 0]))
+        self.to_page.append((self.page[new[1] >= 0], new[1][new[1] >= 0]))
+        return sum(len(x) for x, _ in self.to_text), sum(len(x) for x, _ in self.to_page)
+
+    def sums(self, text: View, page: View) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """What _gradient gives for the handed rows, for both views."""
+        out = []
+        for view, given in ((text, self.to_text), (page, self.to_page)):
+            x = np.vstack([np.zeros((0, len(view.mean))), *[x for x, _ in given]])
+            out.append(_gradient(view, x, np.concatenate([np.zeros(0), *[y for _, y in given]])))
+        return out
+
+
+def _histograms(text: np.ndarray, page: np.ndarray, done: list[Round], now: Round) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for x, view, cut in ((text, "text", "text_cut"), (page, "page", "page_cut")):
+        free = np.ones(len(x), bool)
+        if done:
+            free = _handed(np.stack([getattr(r, view).margin(x) for r in done], axis=1), [getattr(r, cut) for r in done]) < 0
+        out.append(np.bincount(_bin(getattr(now, view).margin(x[free])), minlength=_BINS))
+    return out[0], out[1]
+
+
+def _new(text: np.ndarray, page: np.ndarray, rounds: list[Round]) -> tuple[np.ndarray, np.ndarray]:
+    """Labels (or -1) that the last of the rounds hands to the text's view and to the page's; a view learns from the other."""
+    out = []
+    for x, view, cut in ((page, "page", "page_cut"), (text, "text", "text_cut")):
+        margins = np.stack([getattr(r, view).margin(x) for r in rounds], axis=1)
+        cuts = [getattr(r, cut) for r in rounds]
+        label = _handed(margins, cuts)
+        if len(rounds) > 1:
+            label[_handed(margins[:, :-1], cuts[:-1]) >= 0] = -1
+        out.append(label)
+    return out[0], out[1]
+
+
+def _gradient(view: View, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The logarithm of the rows' likelihood, its gradient and its Hessian without the sign."""
+    z = np.hstack([(x - view.mean) / view.scale, np.ones((len(x), 1))])
+    eta = z @ view.beta
+    p = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
+    return float((y * eta - np.logaddexp(0, eta)).sum()), z.T @ (y - p), (z * (p * (1 - p))[:, None]).T @ z
+
+
+def learn(text: np.ndarray, page: np.ndarray, y: np.ndarray, aside: np.ndarray, pool: Pool, *, rounds: int = 4, share: float = 0.02, sure: float = 0.95, ridge: float = 2.0, steps: int = 12) -> Model:
+    """Fit on labelled rows (those of `aside` only calibrate) and the pool of unlabelled ones. Fewer than two classes: a model that scores 0.5.
+
+    In each of the rounds a view hands over about `share` of the pool, and only rows of a probability of at least
+    `sure`. Handed rows have half the weight of a labelled one, less where they are many: together no more than the labelled rows.
+    """
     use = ~aside
     if len(np.unique(y[use])) < 2 or len(np.unique(y[aside])) < 2:
         return Model()
-    share = float(y[use].mean())
-    given = {"text": {}, "page": {}}  # unlabelled row -> label, for the view that learns from it
-    exchanged = 0
-
-    def fit(kind: str, x: np.ndarray, xu: np.ndarray) -> View:
-        rows = sorted(given[kind])
-        xx = np.vstack([x[use], xu[rows]]) if rows else x[use]
-        yy = np.concatenate([y[use], [given[kind][r] for r in rows]])
-        return _view(xx, yy, np.concatenate([np.ones(int(use.sum())), np.full(len(rows), 0.5)]), ridge)
-
-    a, b = fit("text", text, text_u), fit("page", page, page_u)
-    for _ in range(rounds):
-        new = 0
-        for teacher, xu, to in ((a, text_u, "page"), (b, page_u, "text")):
-            if not len(xu):
-                continue
-            p = 1 / (1 + np.exp(-teacher.margin(xu)))
-            for label, many in ((1, math.ceil(step * share)), (0, math.ceil(step * (1 - share)))):
-                q = p if label else 1 - p
-                pool = [k for k in np.argsort(-q, kind="stable").tolist() if k not in given[to]][:many]
-                chosen = [k for k in pool if q[k] >= sure]
-                given[to] |= dict.fromkeys(chosen, label)
-                new += len(chosen)
-        exchanged += new
-        if not new:
+    ones, size = float(y[use].mean()), pool.size()
+    views = []
+    for x in (text[use], page[use]):
+        scale = x.std(axis=0)
+        scale[scale < 1e-9] = 1.0
+        views.append(View(x.mean(axis=0), scale, np.zeros(x.shape[1] + 1)))
+
+    def fit(given: tuple[int, int]) -> None:
+        """Newton steps from where the views are, halved where the likelihood falls, until neither moves."""
+        last: list = [None, None]  # coefficients, likelihood and step of where each view was
+        for _ in range(steps):
+            more = pool.sums(*views) if any(given) else None
+            moved = 0.0
+            for k, x in enumerate((text[use], page[use])):
+                view = views[k]
+                shrink = np.full(len(view.beta), ridge)
+                shrink[-1] = 1e-9
+                ll, g, h = _gradient(view, x, y[use])
+                if more:
+                    w = min(0.5, len(x) / max(1, given[k]))
+                    ll, g, h = ll + w * more[k][0], g + w * more[k][1], h + w * more[k][2]
+                ll -= (shrink * view.beta**2).sum() / 2
+                if last[k] and ll < last[k][1] - 1e-9 * abs(ll):
+                    beta, was, step = last[k][0], last[k][1], last[k][2] / 2
+                else:
+                    beta, was, step = view.beta, ll, np.linalg.solve(h + np.diag(shrink + 1e-9), g - shrink * view.beta)
+                last[k] = (beta, was, step)
+                views[k] = View(view.mean, view.scale, beta + step)
+                moved = max(moved, float(np.abs(step).max()))
+            if moved < 1e-3:
+                break
+
+    fit((0, 0))
+    done: list[Round] = []
+    total = (0, 0)
+    for _ in range(rounds if size else 0):
+        now = Round(*views)
+        cuts = [_cut(c, math.ceil(share * size * ones), math.ceil(share * size * (1 - ones)), sure) for c in pool.histograms(done, now)]
+        done.append(Round(*views, *cuts))
+        before, total = total, pool.hand(done)
+        if total == before:
             break
-        a, b = fit("text", text, text_u), fit("page", page, page_u)
-    ones = np.ones(int(aside.sum()))
+        fit(total)
+    rest = np.ones(int(aside.sum()))
     out = []
-    for view, x in ((a, text), (b, page)):
-        slope, offset = logistic(np.stack([view.margin(x[aside]), ones], axis=1), y[aside].astype(float), ones, 1e-3)
+    for view, x in zip(views, (text, page), strict=True):
+        slope, offset = logistic(np.stack([view.margin(x[aside]), rest], axis=1), y[aside].astype(float), rest, 1e-3)
         out.append(View(view.mean, view.scale, view.beta, max(0.0, float(slope)), float(offset)))
-    both = np.stack([out[0].calibrated(text[aside]), out[1].calibrated(page[aside]), ones], axis=1)
-    return Model(out[0], out[1], tuple(map(float, logistic(both, y[aside].astype(float), ones, 1.0))), exchanged)
+    both = np.stack([out[0].calibrated(text[aside]), out[1].calibrated(page[aside]), rest], axis=1)
+    return Model(out[0], out[1], tuple(map(float, logistic(both, y[aside].astype(float), rest, 1.0))), sum(total))
 
 
-def _columns(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, size_col: str) -> DataFrame:
-    def of(name: str, kind: str):
-        return (F.col(f"`{name}`") if name in docs.columns else F.lit(None)).cast(kind)
+_PAGE = _SOURCES + _LANGS + 14
 
-    return docs.select(of(id_col, "long").alias("doc_id"), of(text_col, "string").alias("text"), of(lang_col, "string").alias("lang"), of(source_col, "string").alias("source"), of(size_col, "long").alias("n_chars"))
 
+def _pages(source: np.ndarray, lang: np.ndarray, n_chars: np.ndarray) -> np.ndarray:
+    """The page's view of many rows: language and source by hash, and the recorded length in steps."""
+    out, row, at = np.zeros((len(source), _PAGE)), np.arange(len(source)), _SOURCES + _LANGS
+    n = np.maximum(0, n_chars)
+    out[row, source] = 1
+    out[row, _SOURCES + lang] = 1
+    out[row, at + np.minimum(12, (np.log2(1 + n) * 0.75).astype(np.int64))] = 1
+    out[:, at + 13] = np.log1p(n) / 10
+    return out
 
-def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    text = np.array([content(r[0]) for r in rows]).reshape(len(rows), -1) if rows else np.zeros((0, 20 + _TAILS))
-    page = np.array([metadata(r[1], r[2], r[3]) for r in rows]).reshape(len(rows), -1) if rows else np.zeros((0, _SOURCES + _LANGS + 14))
-    return text, page
 
+def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars") -> DataFrame:
+    """doc_id, x (the text's view of the whole text as 32-bit floats), source and lang (buckets), n_chars of every row.
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", label_col: str = "quality", max_rows: int = 6000, max_unlabelled: int = 4000, max_chars: int = 20_000, **options) -> Model:
-    """Learn from bounded samples: at most max_rows labelled rows (of both classes alike, outside the held-out
-    quarter) and max_unlabelled others, each of at most max_chars. A third of the labelled rows only calibrates.
+    Null text counts as empty, null metadata as a value of its own, and a metadata column that isn't there as null.
     """
-    rows = _columns(docs, id_col, text_col, lang_col, source_col, size_col).where(F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) <= max_chars))
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("__y")).distinct()
+
+    def of(name: str, kind: str):
+        return (col(name) if name in docs.columns else F.lit(None)).cast(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                x = pa.array([content(t).astype("<f4").tobytes() for t in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), x, *part.columns[2:]], ["doc_id", "x", "source", "lang", "n_chars"])
+
+    bucket = lambda name, n: (F.crc32(F.coalesce(of(name, "string"), F.lit("")).cast("binary")) % n).cast("int").alias(name)
+    rows = docs.select(of(id_col, "long").alias("doc_id"), of(text_col, "string").alias("text"), bucket(source_col, _SOURCES), bucket(lang_col, _LANGS), F.coalesce(of(size_col, "long"), F.lit(0)).alias("n_chars"))
+    return rows.mapInArrow(run, "doc_id long, x binary, source int, lang int, n_chars long")
+
+
+def _matrices(x: list[bytes], source: np.ndarray, lang: np.ndarray, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(x), "<f4").astype(float).reshape(len(x), 20 + _TAILS), _pages(source, lang, n_chars)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], first: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            x, *rest = part.columns[first : first + 4]
+            yield part, *_matrices(x.to_pylist(), *[c.to_numpy() for c in rest])
+
+
+class Table(Pool):
+    """The unlabelled rows as a written table; what is handed over is a written table for each round."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.given = rows, None
+
+    def size(self) -> int:
+        return self.rows.count()
+
+    def histograms(self, done: list[Round], now: Round) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, _BINS), np.int64)
+            for _, text, page in _parts(batches):
+                total += np.stack(_histograms(text, page, done, now))
+            view, at = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(view.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[view, at])], ["view", "bin", "n"])
+
+        out = np.zeros((2, _BINS), np.int64)
+        found = self.rows.select("x", "source", "lang", "n_chars").mapInArrow(run, "view int, bin int, n long")
+        for view, at, n in found.groupBy("view", "bin").agg(F.sum("n")).collect():  # at most a row for each bin
+            out[view, at] = n
+        return out[0], out[1]
+
+    def hand(self, rounds: list[Round]) -> tuple[int, int]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, text, page in _parts(batches):
+                to_text, to_page = _new(text, page, rounds)
+                some = np.flatnonzero((to_text >= 0) | (to_page >= 0))
+                labels = [pa.array(y[some].astype(np.int32)) for y in (to_text, to_page)]
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(some)).columns, *labels], ["x", "source", "lang", "n_chars", "to_text", "to_page"])
+
+        rows = self.rows.select("x", "source", "lang", "n_chars").mapInArrow(run, "x binary, source int, lang int, n_chars long, to_text int, to_page int")
+        new = written(rows, "handed")
+        self.given = new if self.given is None else self.given.unionByName(new)
+        return self.given.agg(F.count_if(F.col("to_text") >= 0), F.count_if(F.col("to_page") >= 0)).first()
+
+    def sums(self, text: View, page: View) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = [(0.0, np.zeros(len(v.beta)), np.zeros((len(v.beta), len(v.beta)))) for v in (text, page)]
+            for part, *given in _parts(batches):
+                for k, (view, x) in enumerate(zip((text, page), given, strict=True)):
+                    y = part.column(4 + k).to_numpy()
+                    total[k] = tuple(a + b for a, b in zip(total[k], _gradient(view, x[y >= 0], y[y >= 0]), strict=True))
+            raw = np.concatenate([np.ravel(a) for t in total for a in t]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([raw], pa.binary())], ["part", "raw"])
+
+        def add(table: pa.Table) -> pa.Table:
+            total = np.sum([np.frombuffer(x) for x in table.column("raw").to_pylist()], axis=0)
+            return pa.table({"raw": pa.array([total.tobytes()], pa.binary())})
+
+        # tasks' sums are added in 16 groups, so that as many rows reach the driver
+        raw = self.given.mapInArrow(run, "part int, raw binary").groupBy("part").applyInArrow(add, "raw binary").collect()
+        total, out = np.sum([np.frombuffer(r[0]) for r in raw], axis=0), []
+        for view in (text, page):
+            n = len(view.beta)
+            out.append((float(total[0]), total[1 : n + 1], total[n + 1 : n + 1 + n * n].reshape(n, n)))
+            total = total[n + 1 + n * n :]
+        return out
+
+
+def fit(rows: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 6000, **options) -> Model:
+    """Learn from the features of all documents (see features; read several times, so a written table).
+
+    At most max_rows labelled rows, chosen by a hash of their id and of the classes as they are, teach; none are of the held-out
+    quarter, and a third only calibrates. All rows without a label are the pool that the views hand over from. Labels other than 0 and
+    1, and null ids, are left out; an id with both labels teaches both.
+    """
+    known = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull()).select(col(id_col).cast("long").alias("doc_id"), col(label_col).cast("int").alias("__y")).distinct()
     train = known.where(~held_out(F.col("doc_id")))
     many = {r[0]: r[1] for r in train.groupBy("__y").count().collect()}
-    # classes as they are: what is drawn of each follows its share
     total = max(1, sum(many.values()))
     some = None
     for y, n in sorted(many.items()):
@@ -170,29 +370,35 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         some = part if some is None else some.unionByName(part)
     if some is None:
         return Model()
-    got = sorted(rows.join(F.broadcast(some), "doc_id").select("text", "lang", "source", "n_chars", "doc_id", "__y", uniform(F.col("doc_id"), F.lit("aside")).alias("u")).collect(), key=lambda r: (r[4], r[5], str(r[0])))
-    n = docs.count()
-    rest = rows.where(uniform(F.col("doc_id"), F.lit("unlabelled")) < min(1.0, 3.0 * max_unlabelled / max(1, n))).join(known.select("doc_id").distinct(), "doc_id", "left_anti")
-    free = rest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled).select("text", "lang", "source", "n_chars").collect()
-    text, page = _matrix([r[:4] for r in got])
-    text_u, page_u = _matrix(free)
-    return learn(text, page, np.array([r[5] for r in got], float), text_u, page_u, np.array([r[6] < 1 / 3 for r in got], bool), **options)
+    got = rows.join(F.broadcast(some), "doc_id").select("x", "source", "lang", "n_chars", "doc_id", "__y", uniform(F.col("doc_id"), F.lit("aside")).alias("u")).collect()
+    if not got:
+        return Model()
+    got.sort(key=lambda r: (r[4], r[5], bytes(r[0])))
+    text, page = _matrices([bytes(r[0]) for r in got], *[np.array([r[k] for r in got], np.int64) for k in (1, 2, 3)])
+    ids = known.select("doc_id").distinct()
+    pool = Table(rows.join(ids, "doc_id", "left_anti"))
+    return learn(text, page, np.array([r[5] for r in got], float), np.array([r[6] < 1 / 3 for r in got], bool), pool, **options)
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, text_score, page_score, score, kept of every whole document.
-
-    Null text counts as empty, null metadata as a value of its own, and a metadata column that isn't there as
-    null. Rows are scored by themselves; an empty table gives an empty one.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(rows: DataFrame, model: Model, *, threshold: float = 0.5) -> DataFrame:
+    """doc_id, held_out, text_score, page_score, score, kept of every row of features. Each is scored by itself, so repeated rows get equal scores."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                text, page = _matrix(list(zip(*(c.to_pylist() for c in part.columns[1:]), strict=True)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.astype(float)) for x in shared.value.score(text, page))], ["doc_id", "text_score", "page_score", "score"])
+        for part, text, page in _parts(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.astype(float)) for x in shared.value.score(text, page))], ["doc_id", "text_score", "page_score", "score"])
 
-    out = _columns(docs, id_col, text_col, lang_col, source_col, size_col).mapInArrow(run, "doc_id long, text_score double, page_score double, score double")
+    out = rows.select("doc_id", "x", "source", "lang", "n_chars").mapInArrow(run, "doc_id long, text_score double, page_score double, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_score", "page_score", "score", (F.col("score") >= threshold).alias("kept"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", label_col: str = "quality", threshold: float = 0.5, **options) -> DataFrame:
+    """doc_id, held_out, text_score, page_score, score, kept of every whole document: features, co-training and scores in one.
+
+    Null text counts as empty, null metadata as a value of its own, and a metadata column that isn't there as
+    null. Null ids are scored and teach only as unlabelled rows. Repeated rows get equal scores; an empty table gives an empty one;
+    without labels of both classes all scores are 0.5. Other columns are not read.
+    """
+    rows = written(features(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col, size_col=size_col), "cotraining")
+    known = labels.select(col(id_col).alias("doc_id"), col(label_col).alias("label"))
+    return score(rows, fit(rows, known, label_col="label", **options), threshold=threshold)

@@ -15,9 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import held_out, stratified
+from .common import col, held_out, packed, stratified
 
 UNDETERMINED = "und"
 #: Code points that are turned into n-grams at a time; bounds memory for very long texts.
@@ -171,7 +171,9 @@ def keep(docs: DataFrame, model: Model, *, text_col: str = "text", least: float
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                langs, scores = shared.value.predict(part.column(part.schema.get_field_index(text_col)).to_pylist())
-                yield part.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+                langs, scores = shared.value.predict(part.column(1).to_pylist())
+                sure = part.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([sure.column(0)], ["row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(packed(docs), col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")

@@ -57,8 +57,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -603,18 +603,88 @@ def test_search_recall_ties_and_odd_vectors(spark):
 # 9 co-training
 
 
+def slow_views(x, y, w, ridge):
+    """Ridge logistic regression of weighted rows by plain gradient steps on the standardized columns."""
+    beta = np.zeros(x.shape[1])
+    shrink = np.r_[np.full(x.shape[1] - 1, ridge), 1e-9]
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        g, h = x.T @ (w * (y - p)) - shrink * beta, (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(shrink + 1e-9)
+        beta = beta + np.linalg.solve(h, g)
+        if np.abs(g).max() < 1e-9:
+            break
+    return beta
+
+
+def slow_cotraining(text, page, y, aside, text_u, page_u, rounds, share, sure, ridge):
+    """Co-training by lists of rows: each view's surest rows, whole steps of 0.01 in the margin, are handed to the other."""
+    z = {}
+    for name, x, xu in (("text", text, text_u), ("page", page, page_u)):
+        mean, scale = x[~aside].mean(axis=0), x[~aside].std(axis=0)
+        scale[scale < 1e-9] = 1.0
+        z[name] = [np.hstack([(m - mean) / scale, np.ones((len(m), 1))]) for m in (x[~aside], xu)]
+    given = {"text": {}, "page": {}}
+    yy = y[~aside]
+
+    def fit(name):
+        rows = sorted(given[name])
+        w = np.r_[np.ones(len(yy)), np.full(len(rows), min(0.5, len(yy) / max(1, len(rows))))]
+        return slow_views(np.vstack([z[name][0], z[name][1][rows]]), np.r_[yy, [given[name][r] for r in rows]], w, ridge)
+
+    beta = {"text": fit("text"), "page": fit("page")}
+    for _ in range(rounds):
+        new = {}
+        for teacher, learner in (("text", "page"), ("page", "text")):
+            steps = np.floor((np.clip(z[teacher][1] @ beta[teacher], -30, 30) + 30) / 0.01)
+            free = [k for k in range(len(text_u)) if k not in given[learner]]
+            edge = math.log(sure / (1 - sure))
+            for label, many in ((1, math.ceil(share * len(text_u) * yy.mean())), (0, math.ceil(share * len(text_u) * (1 - yy.mean())))):
+                able = [k for k in free if (steps[k] * 0.01 - 30 >= edge if label else steps[k] * 0.01 - 29.99 <= -edge)]
+                able.sort(key=lambda k: -steps[k] if label else steps[k])
+                cut = able[: many][-1:]  # rows in the same step as the last one go along
+                new |= {(learner, k): label for k in able if cut and (steps[k] >= steps[cut[0]] if label else steps[k] <= steps[cut[0]])}
+        for (learner, k), label in new.items():
+            given[learner][k] = label
+        if not new:
+            break
+        beta = {"text": fit("text"), "page": fit("page")}
+    return beta, given
+
+
+def test_cotraining_equals_brute_force(spark):
+    corpus, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    rows = cotraining.features(corpus).cache()
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    got = sorted(rows.collect(), key=lambda r: r.doc_id)
+    matrix = lambda rs: cotraining._matrices([bytes(r.x) for r in rs], *[np.array([r[c] for r in rs], np.int64) for c in ("source", "lang", "n_chars")])
+    teach, free = [r for r in got if r.doc_id in known], [r for r in got if r.doc_id not in known]
+    y, aside = np.array([known[r.doc_id] for r in teach], float), np.arange(len(teach)) % 3 == 0
+    (text, page), (text_u, page_u) = matrix(teach), matrix(free)
+    options = dict(rounds=3, share=0.05, sure=0.9, ridge=2.0)
+    beta, given = slow_cotraining(text, page, y, aside, text_u, page_u, **options)
+    local = cotraining.Pool(text_u, page_u)
+    spread = cotraining.Table(rows.where(F.col("doc_id").isin([r.doc_id for r in free])))
+    for pool in (local, spread):
+        model = cotraining.learn(text, page, y, aside, pool, steps=100, **options)
+        assert model.exchanged == len(given["text"]) + len(given["page"]) > 40
+        np.testing.assert_allclose(model.text.beta, beta["text"], atol=2e-2)
+        np.testing.assert_allclose(model.page.beta, beta["page"], atol=2e-2)
+
+
 def test_views_teach_each_other_and_predict(spark, docs, empty):
     corpus, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
-    model = cotraining.fit(corpus, labels)
-    assert model.exchanged > 0
-    got = cotraining.score(corpus, model).join(labels, "doc_id").where("held_out").collect()
+    got = cotraining.classify(corpus, labels).join(labels, "doc_id").where("held_out").collect()
     s, y = np.array([x.score for x in got]), np.array([x.quality for x in got])
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
     assert auc > 0.9 and np.all((s >= 0) & (s <= 1))
-    odd = cotraining.score(docs.drop("lang"), model).collect()
+    rows = cotraining.features(corpus).cache()
+    model = cotraining.fit(rows, labels)
+    more = cotraining.fit(rows.unionByName(rows.withColumn("doc_id", F.col("doc_id") + 10_000_000)), labels)
+    assert more.exchanged > 1.8 * model.exchanged > 0  # what is handed over grows with the pool
+    odd = cotraining.score(cotraining.features(docs.drop("lang")), model).collect()
     assert len(odd) == docs.count() and not any(math.isnan(x.score) for x in odd)
-    assert cotraining.score(empty, model).count() == 0
-    assert {x.score for x in cotraining.score(docs, cotraining.fit(corpus, labels.where("quality = 1"))).collect()} == {0.5}
+    assert cotraining.classify(empty, labels).count() == 0
+    assert {x.score for x in cotraining.classify(docs, labels.where("quality = 1")).collect()} == {0.5}
 
 
 # the queries
