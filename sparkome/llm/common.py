@@ -45,6 +45,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that are sent to every task; more of them are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A table of a few narrow columns, to be broadcast if it has been counted and found small. It is read twice, so a written one."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store through Spark's own file system."""
     jvm = spark._jvm

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import col, written
+from .common import col, small, written
 from .simhash import components, keep_one
 
 BANDS, ROWS = 32, 5
@@ -142,11 +142,11 @@ def _compare(shingle: int, similarity: float):
 
 
 def _blocks(placed: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links a, b found in the blocks that `placed` (least, hash, cluster, block, node, root, side) names."""
+    """Links a, b found in the blocks that `placed` (least, hash, cluster, block, node, root, side; a written table or a projection of one) names."""
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = placed.select(F.coalesce("least", F.lit(0)).alias("id"), F.col("least").isNull().alias("none"), "hash", "cluster", "block", "node", "root", "side")
     given = texts.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("hash"), "text")
-    rows = given.join(wanted, ["id", "none", "hash"]).select("cluster", "block", "node", "root", "side", "text")
+    rows = given.join(small(wanted), ["id", "none", "hash"]).select("cluster", "block", "node", "root", "side", "text")
     dealt = rows.repartition(parts, "cluster", "block").sortWithinPartitions("cluster", "block", "node")
     return dealt.mapInArrow(_compare(shingle, similarity), "a long, b long")
 
@@ -155,7 +155,8 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float,
     """Links that connect all pairs of nodes (columns node, least, hash, size, bands) that are near."""
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = buckets.join(shared, "bucket").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    shared = written(shared.select("bucket", "first"), "shared")
+    stars = buckets.join(small(shared), "bucket").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     star = components(stars)
     cluster = star.select("node", F.col("root").alias("cluster")).unionByName(star.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
     placed = cluster.join(nodes.select("node", "least", "hash", "size"), "node")
@@ -174,11 +175,11 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float,
     rest = rooted.join(open_.join(mixed, "bucket", "left_semi").select("node").distinct(), "node", "left_semi")
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("block")))
     pairs = rest.withColumn("other", other).withColumn("lower", F.least("block", "other")).withColumn("upper", F.greatest("block", "other"))
-    crossing = pairs.select("least", "hash", "cluster", (F.col("lower") * F.col("parts") + F.col("upper")).alias("block"), "node", "root", F.col("block").alias("side"))
+    crossing = written(pairs.select("least", "hash", "cluster", (F.col("lower") * F.col("parts") + F.col("upper")).alias("block"), "node", "root", F.col("block").alias("side")), "crossing")
     return links.unionByName(_blocks(crossing, texts, shingle, similarity))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, block_nodes: int) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """doc_id, node, root of every row: rows with equal roots are one component."""
     texts = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     named = texts.select("doc_id", F.xxhash64("text").alias("hash"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
@@ -199,7 +200,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     copies of each other. A null id is no component's id unless all ids of its component are null. Repeated rows are
     in one component; an empty table gives an empty one; other columns are not read.
     """
-    found = written(_grouped(docs, id_col, text_col, shingle, similarity, block_nodes), "grouped")
+    found = written(grouped(docs, id_col, text_col, shingle, similarity, block_nodes), "grouped")
     ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return found.join(ids, "root").select("doc_id", "component_id")
 
@@ -211,5 +212,5 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     has the smallest hash, so that a repeated id never costs a text that has no copy. Rows equal in both count
     once. Null and empty texts are copies of each other; an empty table gives an empty one.
     """
-    found = written(_grouped(docs, id_col, text_col, shingle, similarity, block_nodes), "grouped")
+    found = written(grouped(docs, id_col, text_col, shingle, similarity, block_nodes), "grouped")
     return keep_one(docs, found, lambda text: node_of(shingles(text, shingle)), id_col=id_col, text_col=text_col)

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import col, new_path, packed, remove, written
+from .common import col, new_path, packed, remove, small, written
 
 BLOCKS = ((0, 23), (23, 23), (46, 18))
 #: The generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the Golay code.
@@ -304,14 +304,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Rows of ids that are sent to every task; more of them are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 def keep_one(docs: DataFrame, found: DataFrame, node_of: Callable[[str | None], int], *, id_col: str, text_col: str) -> DataFrame:
     """One row of docs for each root of `found` (doc_id, node, root of every row; read several times, so a written table).
 
@@ -325,7 +317,7 @@ def keep_one(docs: DataFrame, found: DataFrame, node_of: Callable[[str | None],
     going = written(found.where(~none).select("doc_id").distinct().join(kept.where("not none").select("doc_id"), "doc_id", "left_anti"), "going")
     rows = docs.select(packed(docs), col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     given = rows.where(~none)
-    out = given.join(_small(going.unionByName(repeated)), "doc_id", "left_anti").select("row.*")
+    out = given.join(small(going.unionByName(repeated)), "doc_id", "left_anti").select("row.*")
     if repeated.isEmpty() and found.where(none).isEmpty():
         return out
 
@@ -333,7 +325,7 @@ def keep_one(docs: DataFrame, found: DataFrame, node_of: Callable[[str | None],
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([node_of(t) for t in batch.column(2).to_pylist()], pa.int64())], ["row", "doc_id", "node"])
 
-    told = given.join(_small(repeated), "doc_id", "left_semi").select("row", "doc_id", "text").unionByName(rows.where(none))
+    told = given.join(small(repeated), "doc_id", "left_semi").select("row", "doc_id", "text").unionByName(rows.where(none))
     order = F.lit(0) if "map<" in docs.schema.simpleString() else F.xxhash64("row")
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType())])
     told = told.mapInArrow(named, schema).withColumn("none", none).withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("order", order)

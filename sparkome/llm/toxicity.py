@@ -5,14 +5,14 @@ frequencies of both together), kept where its z-value says that it isn't chance;
 little, so that a passage ends. One linear pass finds every maximal scoring segment (each that can't be
 extended or joined with another for gain). By the extreme-value law for such segments, one of score S in
 n clean tokens has the E-value K n exp(-lambda S), with lambda the positive root of E[exp(lambda s)] = 1
-over clean tokens and K fitted on clean texts. A text's score is a logistic of what its segments reach.
+over clean tokens and K fitted on clean texts. A text's best few segments together have a tail probability by the law's
+sum statistic, and its score is a logistic of the logarithm of that alone.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, stratified
+from .common import col, held_out, small, stratified, written
+from .near_copies import grouped
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -65,27 +66,36 @@ class Model:
     drift: float = 1.0
     rate: float = 1.0  # lambda
     k: float = 1.0
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, -20.0)
+    weights: tuple[float, float] = (0.0, -20.0)
 
-    def segments(self, words: list[str]) -> list[tuple[int, int, float, float]]:
-        """(first token, last token, score, E-value) of every maximal segment."""
+    def raw_segments(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """(first token, last token, score) of every maximal segment."""
         gains = self.gains
         hits = [(k, g) for k, w in enumerate(words) if (g := gains.get(w)) is not None]
-        found = maximal_segments([k for k, _ in hits], [g for _, g in hits], self.drift)
-        return [(a, b, s, self.k * len(words) * math.exp(-min(700.0, self.rate * s))) for a, b, s in found]
-
-    def evidence(self, words: list[str]) -> tuple[float, float, float]:
-        """What the calibration weighs: the best normalized score, the mass of significant segments, the length."""
-        found = self.segments(words)
-        if not found:
-            return 0.0, 0.0, math.log1p(len(words))
-        best = max(s for _, _, s, _ in found) * self.rate
-        mass = sum(min(50.0, -math.log(max(e, 1e-300))) for _, _, _, e in found if e < 1)
-        return min(best, 100.0), math.log1p(mass), math.log1p(len(words))
+        return maximal_segments([k for k, _ in hits], [g for _, g in hits], self.drift)
+
+    def segments(self, words: list[str]) -> list[tuple[int, int, float, float]]:
+        """(first token, last token, score, E-value) of every maximal segment."""
+        return [(a, b, s, self.k * len(words) * math.exp(-min(700.0, self.rate * s))) for a, b, s in self.raw_segments(words)]
+
+    def evidence(self, scores: list[float], n: int) -> float:
+        """-ln of the probability that clean text of n tokens has segments of such scores: of the r best together, with
+        t = sum(lambda s) - r ln(K n), it is about exp(-t) t^(r-1) / (r! (r-1)!); the r that says most counts. 0 if nothing stands out."""
+        best = t = 0.0
+        shift = math.log(max(self.k * n, 1e-300))
+        for r, s in enumerate(sorted(scores, reverse=True)[:50], 1):
+            t += self.rate * s - shift
+            if t <= 0:
+                break
+            best = max(best, t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r))
+        return best
+
+    def calibrated(self, evidence: float) -> float:
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] * min(evidence, 50.0) + self.weights[1]))))
 
     def score(self, text: str | None) -> float:
-        x = sum(a * b for a, b in zip(self.weights, (*self.evidence(tokens(text)), 1.0), strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+        words = tokens(text)
+        return self.calibrated(self.evidence([s for *_, s in self.raw_segments(words)], len(words)))
 
 
 def _root(values: np.ndarray, share: np.ndarray) -> float:
@@ -115,87 +125,127 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -
     return beta
 
 
-def learn(rows: list[tuple[str, int, float]], *, prior: float = 50.0, least_z: float = 3.0, least_texts: int = 3, gap: int = 20, vocabulary: int = 50_000) -> Model:
-    """Fit on (text, toxic, weight). Equal texts teach tokens once. No toxic or no clean text: a model that scores all about 0."""
-    seen: dict[tuple[str, int], float] = {}
-    for text, toxic, weight in rows:
-        seen[(text, toxic)] = seen.get((text, toxic), 0.0) + weight
-    data = [(tokens(t), y, w) for (t, y), w in sorted(seen.items())]
-    if len({y for _, y, _ in data}) < 2:
+def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of columns y, text: token, n0, n1, the numbers of texts of each class that hold it, added up as far as a task's memory allows."""
+    count: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def flush() -> pa.RecordBatch:
+        names = sorted(count[0].keys() | count[1].keys())
+        out = [pa.array(names, pa.string()), *(pa.array([c[w] for w in names], pa.int64()) for c in count)]
+        for c in count:
+            c.clear()
+        return pa.RecordBatch.from_arrays(out, ["token", "n0", "n1"])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            for y, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                count[y].update(set(tokens(text)))
+            if len(count[0]) + len(count[1]) > 200_000:
+                yield flush()
+    yield flush()
+
+
+def _clean_hits(gains: dict[str, float]):
+    """Of column text: token, n of listed tokens, and one row with a null token for the number of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, total = Counter(), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                for text in batch.column(0).slice(at, 512).to_pylist():
+                    words = tokens(text)
+                    total += len(words)
+                    hits.update(w for w in words if w in gains)
+        yield pa.RecordBatch.from_arrays([pa.array([*hits, None], pa.string()), pa.array([*hits.values(), total], pa.int64())], ["token", "n"])
+
+    return run
+
+
+def _reach(model: Model):
+    """Of columns id, y, text: id, y, size, the scores of the text's best segments (evidence looks at 50)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part, size, scores = batch.slice(at, 512), [], []
+                for text in part.column(2).to_pylist():
+                    words = tokens(text)
+                    size.append(len(words))
+                    scores.append(sorted((s for *_, s in model.raw_segments(words)), reverse=True)[:50])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], ["id", "y", "size", "scores"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8000, prior: float = 50.0, least_z: float = 3.0, least_texts: int = 3, gap: int = 20, vocabulary: int = 50_000) -> Model:
+    """Learn from the labelled rows outside the held-out quarter.
+
+    Tokens are counted by Spark over all of their whole texts: a token counts once a text, and of the texts of a class that
+    operator 5 finds to be near-duplicates the one with the smallest id counts. At most `vocabulary` tokens, those of the highest z-value,
+    reach the driver. The calibration takes at most max_rows / 2 rows of each class, as numbers, with
+    the weights that classes have among all such rows. Labels other than 0 and 1, and null ids, are left out; a null text
+    has no token. No toxic or no clean text, or nothing that tells them apart: a model that scores all about 0.
+    """
+    known = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull() & ~held_out(col(id_col))).select(col(id_col).cast("long").alias("id"), col(label_col).cast("int").alias("y")).distinct()
+    known = written(known, "toxic-labels")
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
+    data = written(rows.join(small(known), "id").select("id", "y", "text"), "toxic-rows")
+    many = {r[0]: r[1] for r in data.groupBy("y").count().collect()}
+    if len(many) < 2:
         return Model()
-    # texts that hold a token: a token repeated in one text says little more, nor do near copies, told by their three least token hashes
-    count: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    met = set()
-    for words, y, _ in data:
-        distinct = set(words)
-        sign = (y, *sorted(zlib.crc32(w.encode()) for w in distinct)[:3])
-        if sign not in met:
-            met.add(sign)
-            count[y].update(distinct)
-    n = {y: sum(c.values()) for y, c in count.items()}
-    both = n[0] + n[1]
-    scores = {}
-    for w in count[0].keys() | count[1].keys():
-        y0, y1 = count[0][w], count[1][w]
-        if y0 + y1 < least_texts:
-            continue
-        a = 0.5 + prior * (y0 + y1) / both
-        delta = math.log((y1 + a) / (n[1] + prior - y1 - a)) - math.log((y0 + a) / (n[0] + prior - y0 - a))
-        if abs(z := delta / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))) >= least_z:
-            scores[w] = (delta, z)
-    listed = sorted(scores, key=lambda w: (-abs(scores[w][1]), w))[:vocabulary]
-    gains = {w: scores[w][0] for w in listed}
+    alike = grouped(data, "id", "text").select(F.col("doc_id").alias("id"), "root")
+    first = alike.distinct().join(known, "id").groupBy("root", "y").agg(F.min("id").alias("id")).select("id", "y").distinct()
+    taught = written(data.join(small(written(first, "toxic-first")), ["id", "y"], "left_semi"), "toxic-taught")
+    count = written(taught.select("y", "text").mapInArrow(_count_tokens, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-tokens")
+    all0, all1 = count.agg(F.sum("n0"), F.sum("n1")).first()
+    if not all0 or not all1:
+        return Model()
+    a = 0.5 + prior * (F.col("n0") + F.col("n1")) / (all0 + all1)
+    odds = [F.log((F.col(f"n{y}") + a) / (n + prior - F.col(f"n{y}") - a)) for y, n in enumerate((all0, all1))]
+    scored = count.where(F.col("n0") + F.col("n1") >= least_texts).withColumn("gain", odds[1] - odds[0])
+    scored = scored.withColumn("z", F.abs("gain") / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a)))
+    gains = {r[0]: r[1] for r in sorted(scored.where(F.col("z") >= least_z).orderBy(F.desc("z"), "token").limit(vocabulary).select("token", "gain").collect())}
     up = [g for g in gains.values() if g > 0]
     if not up:
         return Model()
     drift = float(np.median(up)) / gap
-    clean = Counter()
-    total = 0
-    for words, y, _ in data:
-        if y == 0:
-            total += len(words)
-            clean.update(w for w in words if w in gains)
-    listed_n = sum(clean.values())
+    hits = taught.where("y = 0").select("text").mapInArrow(_clean_hits(gains), "token string, n long")
+    clean = {r[0]: r[1] for r in hits.groupBy("token").agg(F.sum("n")).collect()}  # at most a row for each listed token
+    total = clean.pop(None, 0)
     values = np.array([*gains.values(), -drift])
-    share = np.array([*[(clean[w] + 0.05) for w in gains], max(1, total - listed_n)], float)
+    share = np.array([*[(clean.get(w, 0) + 0.05) for w in gains], max(1, total - sum(clean.values()))], float)
     share /= share.sum()
     if (values * share).sum() >= -1e-9:
         drift = max(drift, 2 * float((values[:-1] * share[:-1]).clip(0).sum()))
         values[-1] = -drift
-    rate = _root(values, share)
-    model = Model(gains, drift, rate, 1.0)
-    # E[exceeding texts] under the law equals what clean texts show, at the median of the positive best scores
-    best = np.array([max([0.0, *(s for _, _, s, _ in model.segments(words))]) for words, y, _ in data if y == 0])
-    size = np.array([len(words) for words, y, _ in data if y == 0], float)
-    level = float(np.median(best[best > 0])) if (best > 0).any() else float(np.median(up))
-    expected = (size * math.exp(-rate * level)).sum()
-    k = max(1e-6, ((best >= level).sum() + 0.5) / max(expected, 1e-9))
-    model = Model(gains, drift, rate, k)
-    x = np.array([(*model.evidence(words), 1.0) for words, _, _ in data])
-    beta = logistic(x, np.array([float(y) for _, y, _ in data]), np.array([w for _, _, w in data]))
-    return Model(gains, drift, rate, k, tuple(map(float, beta)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8000, max_chars: int = 20_000, **options) -> Model:
-    """Learn from a bounded sample of labelled rows outside the held-out quarter: at most max_rows / 2 texts of each class, of at most max_chars each.
-
-    Classes weigh as they do among all such rows. Labels other than 0 and 1, null ids and null texts are left out.
-    """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).distinct()
-    many = {r[0]: r[1] for r in known.groupBy("__y").count().collect()}
-    some = stratified(known, "__y", "__id", max_rows // 2)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).where(F.length("__text") <= max_chars)
-    got = sorted((r[0], r[1]) for r in rows.join(F.broadcast(some), "__id").select("__text", "__y").collect())
-    have = Counter(y for _, y in got)
-    return learn([(t, y, many[y] / have[y] * len(got) / sum(many.values())) for t, y in got], **options)
+    model = Model(gains, drift, _root(values, share), 1.0)
+    # K: as many clean texts exceed a level, the median of their positive best scores, as the law expects
+    reach = written(data.select("id", "y", "text").mapInArrow(_reach(model), "id long, y int, size long, scores array<double>"), "toxic-reach")
+    best = F.coalesce(F.get("scores", F.lit(0)), F.lit(0.0))
+    calm = reach.where("y = 0").select(best.alias("best"), "size")
+    level = calm.where("best > 0").agg(F.percentile_approx("best", 0.5, 10_000)).first()[0] or float(np.median(up))
+    above, words = calm.agg(F.sum((F.col("best") >= level).cast("int")), F.sum("size")).first()
+    k = max(1e-6, (above + 0.5) / max(words * math.exp(-model.rate * level), 1e-9))
+    model = Model(gains, drift, model.rate, k)
+    got = stratified(reach, "y", "id", max(1, max_rows // 2)).select("y", "size", "scores").collect()
+    y = np.array([r[0] for r in got], float)
+    have = Counter(y)
+    weight = np.array([many[int(v)] / have[v] for v in y])
+    x = np.array([(min(model.evidence(list(r[2]), r[1]), 50.0), 1.0) for r in got])
+    return Model(gains, drift, model.rate, k, tuple(map(float, logistic(x, y, weight * len(y) / weight.sum()))))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
 
 
 def passages(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", most_e: float = 0.01) -> DataFrame:
-    """Every significant passage of every whole text: doc_id, start, stop (character offsets), passage, score, e_value."""
+    """Every significant passage of every whole text: doc_id, start, stop (character offsets), passage, score, e_value.
+
+    Null and empty texts have none. Of segments that would gain by being joined there is one, so passages of a
+    text don't overlap. Each row is searched by itself: repeated rows give equal passages, an empty table none; other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
