@@ -30,7 +30,7 @@ def tag(name: str) -> Column:
 
 
 def tags(name: str) -> Column:
-    return F.transform(F.regexp_extract_all("stanza", F.lit(rf"(?m)^{name}: (.*)$"), 1), F.trim)
+    return F.transform(F.regexp_extract_all("stanza", F.lit(rf"(?m)^{name}: (.*)$"), 1), lambda x: F.trim(x))
 
 
 def quoted(col: Column) -> Column:

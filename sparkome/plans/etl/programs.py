@@ -148,7 +148,7 @@ def disease_mondo(spark: SparkSession, path: str) -> Frames:
 
 
 def _mesh_names(concepts: str) -> Column:
-    names = F.array_distinct(F.transform(texts(f"{concepts}/Term/String"), F.trim))
+    names = F.array_distinct(F.transform(texts(f"{concepts}/Term/String"), lambda x: F.trim(x)))
     return F.array_join(F.aggregate(names, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x)))), "|")
 
 

@@ -196,11 +196,6 @@ def t20_source_groups(spark, sf):
     return chemical_groups(spark, a)["members"]
 
 
-@query("SELECT user_id, event_type, count(*) AS evidence_count FROM events GROUP BY ALL")
-def t22_evidence_counts(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("evidence_count"))
-
-
 # text
 
 TOKENS = "SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents)) WHERE length(w) >= 4 GROUP BY w HAVING count(*) >= 20"
