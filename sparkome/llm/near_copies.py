@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import col, small, written
+from .common import col, release, small, written
 from .simhash import components, keep_one
 
 BANDS, ROWS = 32, 5
@@ -110,6 +110,7 @@ def _compare(shingle: int, similarity: float):
     """Of rows sorted by cluster and block (columns cluster, block, node, root, side, text): links as pairs of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         key, nodes, sets, lows, roots, sides = None, {}, [], [], [], []
 
         def close() -> pa.RecordBatch:
