@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 VERSION = 1
@@ -13,7 +17,7 @@ def _manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -25,6 +29,21 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with the text, but for one that is there already: then nothing is changed and the answer is no."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(p, False)
+    except Exception as e:
+        if "FileAlreadyExists" not in str(e):
+            raise
+        return False
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def file_hashes(spark: SparkSession, folder: str) -> dict[str, str]:
     """name -> SHA-256 of the part files; a row for each file reaches the driver."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(folder)
@@ -38,7 +57,7 @@ def portable(df: DataFrame) -> DataFrame:
 
 def export(spark: SparkSession, path: str, tables: dict[str, DataFrame], *, only: list[str] | None = None, exclude: tuple[str, ...] = (), overwrite: bool = False, plain: bool = True, version: str = "1") -> dict:
     """Write the tables (empty ones too) with zstd and the manifest last. A folder that has a manifest is refused unless overwritten."""
-    if _exists(spark, f"{path}/manifest.json") and not overwrite:
+    if exists(spark, f"{path}/manifest.json") and not overwrite:
         raise FileExistsError(path)
     entries = {}
     for name, df in tables.items():
@@ -63,6 +82,52 @@ def open_snapshot(spark: SparkSession, path: str, views: bool = False) -> dict[s
     return found
 
 
+def _copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Copy files (source, target, sha256) that aren't at their target yet, through a partial file that is moved when its hash is right."""
+    import pyarrow.fs as pafs
+
+    place = lambda uri: pafs.FileSystem.from_uri(uri if "://" in uri else re.sub("^(file:)?/+", "file:///", uri))
+
+    def digest(fs, path: str) -> str:
+        h = hashlib.sha256()
+        with fs.open_input_stream(path) as f:
+            while block := f.read(1 << 22):
+                h.update(block)
+        return h.hexdigest()
+
+    for pdf in batches:
+        done = []
+        for source, target, want in pdf[["source", "target", "sha256"]].itertuples(index=False):
+            (one, a), (two, b) = place(source), place(target)
+            if two.get_file_info(b).type == pafs.FileType.File and digest(two, b) == want:
+                done.append((target, False))
+                continue
+            two.create_dir(b.rpartition("/")[0])
+            pafs.copy_files(a, f"{b}.part", source_filesystem=one, destination_filesystem=two)
+            if want and digest(two, f"{b}.part") != want:
+                two.delete_file(f"{b}.part")
+                raise ValueError(f"{source} isn't what its hash says")
+            two.move(f"{b}.part", b)
+            done.append((target, True))
+        yield pd.DataFrame(done, columns=["target", "copied"])
+
+
+def copy_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """target, copied of files (source, target, sha256), copied by the tasks between any stores that Arrow opens; files that are there with their hash are left."""
+    return files.select("source", "target", "sha256").repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(_copy, "target string, copied boolean")
+
+
+def download(spark: SparkSession, path: str, target: str) -> int:
+    """Copy a snapshot to another store, its manifest last; the number of files that were copied. A download that broke off goes on where it was."""
+    path = path.removeprefix("parquet://")
+    manifest = _manifest(spark, path)
+    files = [(f"{path}/{t}.parquet/{name}", f"{target}/{t}.parquet/{name}", sha) for t, e in manifest["tables"].items() for name, sha in e["files"].items()]
+    done = copy_files(spark, spark.createDataFrame(files, "source string, target string, sha256 string"))
+    copied = done.agg(F.count_if("copied")).first()[0] if files else 0
+    _put(spark, f"{target}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
+    return copied
+
+
 def verify(spark: SparkSession, path: str) -> list[str]:
     """Names of tables whose files aren't those of the manifest."""
     path = path.removeprefix("parquet://")

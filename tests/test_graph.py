@@ -233,12 +233,30 @@ def test_runs_are_gated_audited_and_reverted(spark, tmp_path):
     state["fail"] = True
     assert m.run(["first"], force=("load",))["first"].startswith("failed: broken")
     s = {r.source: r for r in m.status().collect()}
-    assert s["first"].load_status == "failed" and s["second"].load_status == "completed" and s["first"].transform_status == "completed"
-    t = spark.createDataFrame([(1, "first", 1, True), (2, "second", 2, True)], "id int, source string, package_id long, is_active boolean")
-    assert rows(m.rollback(t, source="second"), "id", "is_active") == [(1, True), (2, False)]
-    assert rows(m.rollback(t, package=1, mode="hard"), "id") == [(2,)]
+    assert s["first"].load_status == "failed" and s["second"].load_status == "completed" and s["first"].transform_status == "up_to_date"
+    t = lambda: {"entities": spark.createDataFrame([(1, "first", 1, True), (2, "second", 2, True)], "entity_id long, source string, package_id long, is_active boolean"), "relationships": spark.createDataFrame([(7, 1, 2, "first", 1)], "relationship_id long, entity_1_id long, entity_2_id long, source string, package_id long")}
+    soft = m.rollback(t(), sources=["second"])
+    assert rows(soft["entities"], "entity_id", "is_active") == [(1, True), (2, False)] and soft["relationships"].count() == 1
+    m.sources["first"].strategy = "mixed"
+    assert m.rollback(t(), sources=["first"])["relationships"].count() == 0
     state["fail"] = False
     assert m.run(["second"]) == {"second": "completed"}  # what was reverted loads again
+    hard = m.rollback(t(), sources=["first"], hard=True)
+    assert rows(hard["entities"], "entity_id") == [(2,)] and hard["relationships"].count() == 0
+    assert {r.source for r in m.status().collect()} == {"second"}  # the audit has forgotten the first
+    assert m.run(["first"], steps=("extract", "transform")) == {"first": "completed"} and m.run(["first"], steps=("extract", "transform")) == {"first": "completed"}
+    last = m.audit().where("source = 'first'").orderBy("package_id", "started").collect()
+    assert [(r.step, r.status) for r in last] == [("extract", "completed"), ("transform", "completed"), ("extract", "up_to_date"), ("transform", "up_to_date")]
+    assert m.run_all(resume=True) == {"selected": 2, "skipped": 1, "succeeded": 1, "failed": 0}
+    ids = [r.package_id for r in m.audit().select("package_id").distinct().collect()]
+    assert m._next() not in ids and len({m._next(), m._next()}) == 2
+    for bad in (lambda: m.run(["none"]), lambda: m.rollback(t()), lambda: m.rollback(t(), sources=["none"]), lambda: m.add(Source("x", None, None, None, strategy="x"))):
+        with pytest.raises(ValueError):
+            bad()
+    m.sources["first"].files = (str(tmp_path / "down"),)
+    (tmp_path / "down").mkdir()
+    m.clean(["first"])
+    assert not (tmp_path / "down").exists() and not (tmp_path / "etl/processed/first").exists()
     (tmp_path / "f.txt").write_text("x")
     assert content_hash(spark, [str(tmp_path / "f.txt")]) == content_hash(spark, [str(tmp_path / "f.txt")])
 
