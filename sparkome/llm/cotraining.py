@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import col, held_out, stratified, uniform, written
+from .common import col, held_out, small, stratified, uniform, written
 from .toxicity import logistic
 
 #: Buckets of hashed words' endings and of hashed sources.
@@ -375,8 +375,8 @@ def fit(rows: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col
         return Model()
     got.sort(key=lambda r: (r[4], r[5], bytes(r[0])))
     text, page = _matrices([bytes(r[0]) for r in got], *[np.array([r[k] for r in got], np.int64) for k in (1, 2, 3)])
-    ids = known.select("doc_id").distinct()
-    pool = Table(rows.join(ids, "doc_id", "left_anti"))
+    ids = written(known.select("doc_id").distinct(), "cotraining-labelled")
+    pool = Table(written(rows.join(small(ids), "doc_id", "left_anti").select("x", "source", "lang", "n_chars"), "cotraining-pool"))
     return learn(text, page, np.array([r[5] for r in got], float), np.array([r[6] < 1 / 3 for r in got], bool), pool, **options)
 
 
