@@ -157,11 +157,6 @@ def u2_add_aliases(spark, sf):
     return out.select("entity_id", F.regexp_replace("alias_value", "^SUPPLIER(.*) x$", "Supplier$1-x").alias("alias_value"))
 
 
-@query(f"WITH {_E} SELECT e1 AS entity_1_id, e2 AS entity_2_id, relation, n AS evidence_count FROM e")
-def u3_relationships_n11_order(spark, sf):
-    return graph(spark, sf).relationships.select("entity_1_id", "entity_2_id", "relation", "evidence_count")
-
-
 @query("SELECT c_custkey AS entity_id, 'A' AS assembly, CASE WHEN c_acctbal < 0 THEN c_custkey * 2 ELSE c_custkey END AS start_position FROM customer")
 def u6_location_upsert(spark, sf):
     c = table(spark, sf, "customer")

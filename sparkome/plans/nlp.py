@@ -35,6 +35,35 @@ def dictionary(kg: KnowledgeGraph, *, types: list[int] | None = None, domain: st
     return kept.join(names, "entity_id", "left").select("alias_norm", "alias_id", "alias_value", "alias_type", "entity_id", "type_id", "is_primary", "primary_name")
 
 
+def save_dictionary(spark, path: str, names: DataFrame, built_at: int, overwrite: bool = False) -> None:
+    """Keep a dictionary with a snapshot: its Parquet table below the snapshot's folder, and an entry in the manifest, last.
+
+    The automaton isn't kept: each worker builds it once from the table.
+    """
+    from ..sources import snapshot
+
+    path = path.removeprefix("parquet://")
+    manifest = snapshot.manifest(spark, path)
+    if "dictionary" in manifest and not overwrite:
+        raise FileExistsError(f"{path} has a dictionary")
+    names.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/nlp/dictionary.parquet")
+    entry = {"package": built_at, "rows": spark.read.parquet(f"{path}/nlp/dictionary.parquet").count(), "files": snapshot.file_hashes(spark, f"{path}/nlp/dictionary.parquet")}
+    snapshot.put_manifest(spark, path, manifest | {"dictionary": entry})
+
+
+def load_dictionary(spark, path: str, kg: KnowledgeGraph | None = None) -> DataFrame:
+    """The dictionary that a snapshot keeps; with a graph, one of another package is refused as stale."""
+    from ..sources import snapshot
+
+    path = path.removeprefix("parquet://")
+    entry = snapshot.manifest(spark, path).get("dictionary")
+    if entry is None:
+        raise FileNotFoundError(f"{path} has no dictionary")
+    if kg is not None and is_stale(kg, entry["package"]):
+        raise ValueError("the dictionary is of another package than the graph")
+    return spark.read.parquet(f"{path}/nlp/dictionary.parquet")
+
+
 def version(kg: KnowledgeGraph) -> int:
     """The largest package of the aliases: a dictionary that was built at another one is stale."""
     return kg.aliases.agg(F.max("package_id")).first()[0] or 0
@@ -105,12 +134,12 @@ def scan(records: DataFrame, names: DataFrame, *, id_col: str, text_col: str, co
     return hit.select("record_id", "start", (F.col("start") + F.length("alias_norm") - 1).alias("stop"), F.col("alias_norm").alias("matched"), F.concat("before", F.substring(F.col("tail"), F.lit(1), F.length("alias_norm") + context)).alias("context"))
 
 
-def resolve_mentions(records: DataFrame, kg: KnowledgeGraph, *, id_col: str = "record_id", text_col: str = "text", mode: str = "best_match", threshold: float = AUTO, **options) -> DataFrame:
+def resolve_mentions(records: DataFrame, kg: KnowledgeGraph, *, id_col: str = "record_id", text_col: str = "text", mode: str = "best_match", threshold: float = AUTO, names: DataFrame | None = None, **options) -> DataFrame:
     """One row for each span and entity: confidence is one over the entities that share the name; best aliases are preferred names, then synonyms, then codes.
 
-    best_match keeps the first entity of a span, all_candidates all, smart the first where its confidence reaches the threshold.
+    The names are those of `names`, a dictionary that was kept, or of the graph as the options say. best_match keeps the first entity of a span, all_candidates all, smart the first where its confidence reaches the threshold.
     """
-    names = dictionary(kg, **options).persist()
+    names = (names if names is not None else dictionary(kg, **options)).persist()
     spans = scan(records, names, id_col=id_col, text_col=text_col)
     priority: Column = F.when(F.col("alias_type") == "preferred", 0).when(F.col("alias_type") == "synonym", 1).when(F.col("alias_type") == "code", 2).otherwise(3)
     best = names.withColumn("__p", priority).groupBy("alias_norm", "entity_id").agg(F.min(F.struct("__p", "alias_id", "alias_value", "alias_type", "type_id", "primary_name")).alias("a"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 VERSION = 1
 
 
-def _manifest(spark: SparkSession, path: str) -> dict:
+def manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
 
 
@@ -29,6 +29,10 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def put_manifest(spark: SparkSession, path: str, content: dict) -> None:
+    _put(spark, f"{path}/manifest.json", json.dumps(content, indent=1, sort_keys=True))
+
+
 def put_new(spark: SparkSession, path: str, text: str) -> bool:
     """Create a file with the text, but for one that is there already: then nothing is changed and the answer is no."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -67,15 +71,15 @@ def export(spark: SparkSession, path: str, tables: dict[str, DataFrame], *, only
         (portable(df) if plain else df).write.mode("overwrite").option("compression", "zstd").parquet(folder)
         back = spark.read.parquet(folder)
         entries[name] = {"rows": back.count(), "columns": back.columns, "files": file_hashes(spark, folder)}
-    manifest = {"format": VERSION, "version": version, "tables": entries}
-    _put(spark, f"{path}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
-    return manifest
+    made = {"format": VERSION, "version": version, "tables": entries}
+    put_manifest(spark, path, made)
+    return made
 
 
 def open_snapshot(spark: SparkSession, path: str, views: bool = False) -> dict[str, DataFrame]:
     """The tables that the manifest names, and temporary views of them if asked. path may begin with parquet://."""
     path = path.removeprefix("parquet://")
-    found = {name: spark.read.parquet(f"{path}/{name}.parquet") for name in _manifest(spark, path)["tables"]}
+    found = {name: spark.read.parquet(f"{path}/{name}.parquet") for name in manifest(spark, path)["tables"]}
     if views:
         for name, df in found.items():
             df.createOrReplaceTempView(name)
@@ -120,15 +124,16 @@ def copy_files(spark: SparkSession, files: DataFrame) -> DataFrame:
 def download(spark: SparkSession, path: str, target: str) -> int:
     """Copy a snapshot to another store, its manifest last; the number of files that were copied. A download that broke off goes on where it was."""
     path = path.removeprefix("parquet://")
-    manifest = _manifest(spark, path)
-    files = [(f"{path}/{t}.parquet/{name}", f"{target}/{t}.parquet/{name}", sha) for t, e in manifest["tables"].items() for name, sha in e["files"].items()]
+    found = manifest(spark, path)
+    folders = {f"{t}.parquet": e for t, e in found["tables"].items()} | ({"nlp/dictionary.parquet": found["dictionary"]} if "dictionary" in found else {})
+    files = [(f"{path}/{t}/{name}", f"{target}/{t}/{name}", sha) for t, e in folders.items() for name, sha in e["files"].items()]
     done = copy_files(spark, spark.createDataFrame(files, "source string, target string, sha256 string"))
     copied = done.agg(F.count_if("copied")).first()[0] if files else 0
-    _put(spark, f"{target}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
+    put_manifest(spark, target, found)
     return copied
 
 
 def verify(spark: SparkSession, path: str) -> list[str]:
     """Names of tables whose files aren't those of the manifest."""
     path = path.removeprefix("parquet://")
-    return [name for name, e in _manifest(spark, path)["tables"].items() if file_hashes(spark, f"{path}/{name}.parquet") != e["files"]]
+    return [name for name, e in manifest(spark, path)["tables"].items() if file_hashes(spark, f"{path}/{name}.parquet") != e["files"]]

@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..types import SUMSTATS, Phenotypes
 
-_XPT_HEADER = 1 << 20  # bytes of a transport file that surely hold its column descriptions
-
-
 def _ibm(raw: np.ndarray) -> np.ndarray:
     """IBM hexadecimal floats (rows of 8 bytes) as doubles; SAS missing codes as NaN."""
     first = raw[:, 0]
@@ -45,7 +42,10 @@ def xpt_columns(head: bytes) -> tuple[list[tuple[str, bool, int, int]], int, int
 def read_xpt(spark: SparkSession, path: str, rows_per_chunk: int = 20_000) -> DataFrame:
     """A SAS transport file. Its rows are cut into chunks that are decoded apart."""
     raw = spark.read.format("binaryFile").load(path).select("content", "length")
-    head = bytes(raw.select(F.substring("content", 1, _XPT_HEADER)).first()[0])
+    # the descriptions' header says how many there are, 140 bytes each
+    mark = bytes(raw.select(F.substring("content", 1, 4096)).first()[0])
+    count = int(mark[(at := mark.index(b"NAMESTR HEADER RECORD")) + 34 : at + 38])
+    head = bytes(raw.select(F.substring("content", 1, at + 400 + 140 * count)).first()[0])
     columns, width, begin = xpt_columns(head)
     chunk = width * rows_per_chunk
     n = F.floor((F.col("length") - begin + chunk - 1) / chunk)
@@ -128,6 +128,40 @@ def read_identifiers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("id")).where("id != '' and not startswith(id, '#')")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A folder with one CSV part and a header: results and reports are small."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """A folder of CSV with headers. Results and reports are small, so one part is the default; larger tables are written by all tasks."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_sql(spark: SparkSession, url: str, table: str, *, key: str | None = None, parts: int = 16, **properties: str) -> DataFrame:
+    """A table or query of a SQL database through JDBC; the driver's jar must be on the class path.
+
+    With a numeric key, the table is read in as many ranges of it at once as `parts` says, else by one task.
+    """
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**properties)
+    if key:
+        quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+        low, high = spark.read.format("jdbc").option("url", url).option("query", f"SELECT MIN({quoted}) AS low, MAX({quoted}) AS high FROM {table}").options(**properties).load().first()
+        if low is not None:
+            reader = reader.option("partitionColumn", key).option("lowerBound", int(low)).option("upperBound", int(high) + 1).option("numPartitions", parts)
+    return reader.load()
+
+
+def fetch(spark: SparkSession, url: str, target: str, sha256: str | None = None) -> str:
+    """Copy a file from any store that Hadoop opens (http and https too) and give its SHA-256. A target that has the hash already is left; a wrong hash leaves nothing."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    there = path(target)
+    fs = there.getFileSystem(conf)
+    digest = lambda p: spark.read.format("binaryFile").load(p).select(F.sha2("content", 256)).first()[0]
+    if sha256 and fs.exists(there) and digest(target) == sha256:
+        return sha256
+    source, part = path(url), path(f"{target}.part")
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source.getFileSystem(conf).open(source), fs.create(part, True), 1 << 20, True)
+    got = digest(f"{target}.part")
+    if sha256 and got != sha256:
+        fs.delete(part, False)
+        raise ValueError(f"{url} has the hash {got}")
+    fs.delete(there, False)
+    fs.rename(part, there)
+    return got
