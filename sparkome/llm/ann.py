@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import sampled, written
+from .common import sampled, small, written
 
 
 @dataclass(frozen=True)
@@ -126,12 +126,13 @@ def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 20, sample_rows: int = 4096, block_rows: int = 8192, query_rows: int = 2048, recall: float = 0.95, centroids: int = 32) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 20, sample_rows: int = 4096, block_rows: int = 8192, query_rows: int = 2048, recall: float = 0.95, centroids: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the `neighbours` entries of largest inner product found for each query.
 
     Nearness is exact on the original vectors in double precision; ties go to the smaller id, and an entry
     with the query's own id is no candidate. All rows are indexed; the codebooks and the share of entries are fitted
-    on sample_rows of them, chosen by a hash of the id. Cells are packed into blocks of about block_rows entries,
+    on sample_rows of them, chosen by a hash of the id. Unless given, the number of centroids of a half grows as the
+    root of the number of rows, from 32 on, as far as the sample has 16 rows for each. Cells are packed into blocks of about block_rows entries,
     a cell that is larger is dealt over several by id, and each block meets the queries whose walk
     enters one of its cells, query_rows of them at a time: no task holds more than a block and a set of queries, however
     common one vector is. Each block gives a query at most `neighbours` rows.
@@ -156,6 +157,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     rows = rows.where(F.size("v") == dim)
     asked = of(queries).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     sample = np.array([r[1] for r in sampled(rows, "id", sample_rows).collect()], np.float64)
+    if centroids is None:
+        centroids = max(32, min(1 << round(math.log2(max(2, sizes_of[0][1])) / 2 - 1), len(sample) // 16))
     index = learn(sample, centroids=centroids, recall=recall, neighbours=neighbours)
     shared = spark.sparkContext.broadcast(index)
 
@@ -206,7 +209,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who, pa.int64())), part.column(1).take(pa.array(who, pa.int64())), pa.array(where, pa.int32()), pa.array(bound, pa.float64())], ["id", "v", "block", "bound"])
 
     set_of = lambda: F.pmod(F.xxhash64("id", F.lit(1)), F.lit(sets)).cast("int")
-    visits = asked.mapInArrow(visit, "id long, v array<double>, block int, bound double").withColumn("part", set_of())
+    visits = written(asked.mapInArrow(visit, "id long, v array<double>, block int, bound double").withColumn("part", set_of()), "ann-visits")
+    wanted = written(visits.select("block", "part").distinct(), "ann-wanted")
 
     def to_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first_block, parts = plan.value
@@ -217,7 +221,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
             block = (first_block[cell] + mixed % parts[cell]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block)], ["id", "v", "cell", "block"])
 
-    entries = placed.mapInArrow(to_block, "id long, v array<double>, cell int, block int").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    entries = placed.mapInArrow(to_block, "id long, v array<double>, cell int, block int").join(small(wanted), "block")  # once for each set of queries that enters the block
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out_q, out_v, out_s = [], [], []
@@ -249,7 +253,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
         return pd.DataFrame({"query_id": np.array(out_q, np.int64), "vec_id": np.array(out_v, np.int64), "score": np.array(out_s, np.float64)})
 
     keys = ["block", "part"]
-    found = entries.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
+    found = entries.select("id", "v", "cell", *keys).groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # Spark cuts each task's rows of a query to the best before the shuffle
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")

@@ -92,8 +92,8 @@ def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.where(uniform(F.col(key)) < share).orderBy(uniform(F.col(key)), key).limit(n)
 
 
-def stratified(df: DataFrame, by: str, key: str, per_class: int) -> DataFrame:
-    """At most per_class rows of each value of `by`, chosen by a hash of `key`.
+def stratified(df: DataFrame, by: str, key: str, per_class: int, last: Column | None = None) -> DataFrame:
+    """At most per_class rows of each value of `by`, chosen by a hash of `key`; rows of which `last` holds only where others don't suffice.
 
     The classes are counted first, so that the window that cuts each class only sees about twice as many rows as it keeps.
     """
@@ -102,7 +102,7 @@ def stratified(df: DataFrame, by: str, key: str, per_class: int) -> DataFrame:
     picked = df.withColumn("__u", uniform(F.col(key))).join(F.broadcast(counts), by).where(F.col("__u") < share)
     from pyspark.sql import Window
 
-    w = Window.partitionBy(by).orderBy("__u", key)
+    w = Window.partitionBy(by).orderBy(*([last] if last is not None else []), "__u", key)
     return picked.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_class).drop("__u", "__r", "__n")
 
 

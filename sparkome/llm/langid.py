@@ -122,7 +122,7 @@ def learn(samples: list[tuple[str, str]], *, landmarks: int = 128, landmark_char
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 2000, max_chars: int = 20_000, **options) -> Model:
-    """Learn from a bounded sample: at most max_rows texts, equally many of each language, each of at most max_chars.
+    """Learn from a bounded sample: at most max_rows whole texts, equally many of each language; those above max_chars only where a language has too few others.
 
     Only rows with a language, a text and an id outside the held-out quarter teach. The sample depends on
     the rows' ids alone.
@@ -130,8 +130,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.col(f"`{lang_col}`").cast("string").alias("__lang"))
     rows = rows.where(F.col("__lang").isNotNull() & F.col("__text").isNotNull() & ~held_out(F.col("__id")))
     classes = max(1, rows.select("__lang").distinct().count())
-    rows = rows.where(F.length("__text").between(1, max_chars))
-    got = stratified(rows, "__lang", "__id", max(1, max_rows // classes)).select("__lang", "__id", "__text").collect()
+    rows = rows.where(F.length("__text") > 0)
+    got = stratified(rows, "__lang", "__id", max(1, max_rows // classes), F.length("__text") > max_chars).select("__lang", "__id", "__text").collect()
     return learn([(r[2], r[0]) for r in sorted(got, key=lambda r: (r[0], str(r[1]), r[2]))], **options)
 
 

@@ -458,6 +458,8 @@ def test_languages_of_held_out_rows(spark, docs, empty, sf_dir):
     assert odd[0].lang_pred == odd[1].lang_pred == odd[2].lang_pred == "und" and odd[0].score == 0
     assert all(0 <= r.score <= 1 for r in odd.values())
     assert langid.identify(empty, model).count() == 0
+    long = corpus.limit(400).withColumn("text", F.when(F.col("lang") == "de", F.repeat("text", 40)).otherwise(F.col("text")))
+    assert langid.fit(long, max_chars=3000).languages == langid.fit(corpus.limit(400)).languages  # a language of long texts only is learned too
     nothing = langid.fit(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
     assert langid.keep(docs, nothing).count() == docs.count()
