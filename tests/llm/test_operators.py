@@ -7,6 +7,7 @@ import json
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -120,16 +121,20 @@ def test_packing_finds_neighbours_far_apart_in_storage(spark):
 
 
 def viterbi(pieces, text):
-    """Best path by trying every piece at every position, left to right; a later candidate must be strictly better."""
+    """Best path by trying every piece at every start, left to right; a later candidate must be strictly better. Scores are 32-bit floats;
+    a start whose score is further from 0 than 100,000 becomes the new 0."""
     by = {p: (s, k) for k, (p, s, kind) in enumerate(pieces.pieces) if kind == spm.NORMAL}
     longest = max(map(len, by))
-    best = [(0.0, None, None)] + [(-math.inf, None, None)] * len(text)
+    best = [[0.0, None, None]] + [[-math.inf, None, None] for _ in text]
     for a in range(len(text)):
+        if abs(zero := best[a][0]) > 1e5:
+            for node in best[a : a + longest + 1]:
+                node[0] = float(np.float32(node[0] - zero))
         for b in range(a + 1, min(len(text), a + longest) + 1):
             if text[a:b] in by and best[a][0] + by[text[a:b]][0] > best[b][0]:
-                best[b] = (best[a][0] + by[text[a:b]][0], a, by[text[a:b]][1])
-        if text[a] not in by and best[a][0] + pieces.unknown_score > best[a + 1][0]:
-            best[a + 1] = (best[a][0] + pieces.unknown_score, a, pieces.unknown)
+                best[b] = [float(np.float32(best[a][0] + by[text[a:b]][0])), a, by[text[a:b]][1]]
+        if text[a] not in by and (x := float(np.float32(best[a][0] + pieces.unknown_score))) > best[a + 1][0]:
+            best[a + 1] = [x, a, pieces.unknown]
     out, at = [], len(text)
     while at:
         _, a, k = best[at]
@@ -149,11 +154,8 @@ def test_encoding_equals_brute_force(texts):
         assert p.decode(got) == t
 
 
-def test_encoding_equals_the_library_on_the_same_unigram_vocabulary(tmp_path):
-    """The library run as a unigram model over the same pieces. It adds scores as 32-bit floats, so scores of -1e9 are raised to keep its sums exact."""
-    import struct
-
-    import sentencepiece
+def as_unigram(path, out, edit=lambda score: score):
+    """The model file as one of a unigram model, with its own scores or edited ones."""
 
     def varint(x):
         out = b""
@@ -166,32 +168,64 @@ def test_encoding_equals_the_library_on_the_same_unigram_vocabulary(tmp_path):
     def message(fields):
         return b"".join(varint(n << 3 | k) + (varint(v) if k == 0 else varint(len(v)) + v if k == 2 else v) for n, k, v in fields)
 
-    with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
+    with open(path, "rb") as f:
         fields = list(spm._fields(f.read()))
-    out = []
+    new = []
     for n, k, v in fields:
         if n == 1:
-            v = message([(a, b, struct.pack("<f", max(-40000.0, struct.unpack("<f", c)[0])) if a == 2 else c) for a, b, c in spm._fields(v)])
+            v = message([(a, b, struct.pack("<f", edit(struct.unpack("<f", c)[0])) if a == 2 else c) for a, b, c in spm._fields(v)])
         elif n == 2:
             v = message([(a, b, 1 if a == 3 else c) for a, b, c in spm._fields(v)])
-        out.append((n, k, v))
-    path = str(tmp_path / "unigram.model")
-    with open(path, "wb") as f:
-        f.write(message(out))
+        new.append((n, k, v))
+    with open(out, "wb") as f:
+        f.write(message(new))
+    return str(out)
+
+
+def test_whole_documents_are_encoded_as_by_the_library(spark, tmp_path):
+    """The library run as a unigram model over the same file, with the file's own scores: long sums are rounded, and ties follow."""
+    import sentencepiece
+
+    path = as_unigram(vocabulary("piece_bpe_32k.model"), tmp_path / "unigram.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    odd = ["a  b", " a", "a ", "  ", "\n", "東京 ok\n\n𝔘😀 ", "x" * 30_000, "the quick brown fox " * 3000]
     r = random.Random(1)
-    for _ in range(300):
-        t = " ".join("".join(r.choice("theanringso,.ABé東") for _ in range(r.randrange(0, 9))) for _ in range(r.randrange(1, 12)))
-        got = np.frombuffer(spm.encode_text(t, path), "<u4").tolist()
-        assert got == library.encode(t)
-        assert spm.pieces(path).decode(got) == library.decode(got)
+    odd += [" ".join("".join(r.choice("theanringso,.ABé東\n") for _ in range(r.randrange(0, 9))) for _ in range(r.randrange(1, 400))) for _ in range(200)]
+    for t in docs + odd:
+        want = library.encode(t or "")
+        assert np.frombuffer(spm.encode_text(t or "", path), "<u4").tolist() == want
+        assert spm.count_text(t or "", path) == len(want)
+    try:  # small tables, which start anew all the time
+        spm.CACHE_WORDS, kept = 7, spm.CACHE_WORDS
+        spm.encoder.cache_clear()
+        for t in docs[:200] + odd:
+            assert np.frombuffer(spm.encode_text(t or "", path), "<u4").tolist() == library.encode(t or "")
+    finally:
+        spm.CACHE_WORDS = kept
+    raised = as_unigram(vocabulary("piece_bpe_32k.model"), tmp_path / "raised.model", lambda x: max(x, -40000.0))
+    library = sentencepiece.SentencePieceProcessor(model_file=raised)
+    for t in odd[-200:]:
+        got = np.frombuffer(spm.encode_text(t, raised), "<u4").tolist()
+        assert got == library.encode(t) and spm.pieces(raised).decode(got) == library.decode(got)
+
+
+def test_fractional_scores_are_rounded_as_by_the_library(tmp_path):
+    import sentencepiece
+
+    path = as_unigram(vocabulary("piece_bpe_32k.model"), tmp_path / "u.model", edit=lambda x: max(x, -40000.0) / 7.3)
+    assert not spm.pieces(path).by_word
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(2)
+    for t in ["the river of stone and vectors, cluster " * 500, "a\nb  ccc", *(" ".join("".join(r.choice("theanringso,.ABé東\n09") for _ in range(r.randrange(0, 9))) for _ in range(r.randrange(1, 300))) for _ in range(60))]:
+        assert np.frombuffer(spm.encode_text(t, path), "<u4").tolist() == library.encode(t)
 
 
 def test_vocabulary_without_byte_fallback_joins_unknowns():
     p = spm.Pieces([("<unk>", 0.0, spm.UNKNOWN), ("▁", -2.0, 1), ("a", -1.0, 1), ("▁a", -3.0, 1), ("aa", -2.0, 1)])
-    assert [p.pieces[k][0] for k in p.best("▁a")] == ["▁a"]  # a tie: the longest last piece wins
-    assert [p.pieces[k][0] for k in p.best("aa")] == ["aa"]
-    assert p.best("▁xya") == [1, 0, 2] and p.count("▁xya") == 3
+    assert [p.pieces[k][0] for k in p.best("▁a")[0]] == ["▁a"]  # a tie: the longest last piece wins
+    assert [p.pieces[k][0] for k in p.best("aa")[0]] == ["aa"]
+    assert p.best("▁xya")[0] == [1, 0, 2] and p.count("▁xya")[0] == 3
 
 
 def test_sentencepiece_frames(docs, empty, texts):
