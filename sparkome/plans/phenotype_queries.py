@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import describe as D, genotypes as G, models as A, modify as M, results as R
 from ..types import RegressionResults
+from . import oracle_math as O
 from .domain import CALLS, PHEN, PVALUES, VARIANTS, genotypes, p_values, phenotypes
 
 Q: dict[str, Callable] = {}
@@ -100,7 +101,13 @@ def d4_correlation_spearman(spark, sf):
     return _rounded(D.correlations(phenotypes(spark, sf), ["acctbal", "n_orders", "total_price", "exposure"], "spearman"))
 
 
-@query()
+def _kendall(a: str, b: str) -> str:
+    pairs = f"(SELECT count(*) AS t, sum(sign(l.x - r.x) * sign(l.y - r.y)) AS s, sum((l.x = r.x)::INT) AS tx, sum((l.y = r.y)::INT) AS ty FROM v l JOIN v r ON l.k < r.k)"
+    rows = f"WITH v AS (SELECT {a} AS x, {b} AS y, sample_id AS k FROM p WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    return f"SELECT '{a}' AS var1, '{b}' AS var2, (SELECT count(*) FROM p WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, (SELECT score FROM ({rows} SELECT round(s / sqrt((t - tx)::DOUBLE) / sqrt((t - ty)::DOUBLE), 6) AS score FROM {pairs})) AS score"
+
+
+@query(f"WITH {P} " + " UNION ALL ".join(_kendall(a, b) for a, b in (("acctbal", "n_orders"), ("acctbal", "exposure"), ("n_orders", "exposure"))))
 def d4_correlation_kendall(spark, sf):
     return _rounded(D.correlations(phenotypes(spark, sf), ["acctbal", "n_orders", "exposure"], "kendall"))
 
@@ -122,17 +129,23 @@ def d7_value_counts(spark, sf):
     return D.value_counts(phenotypes(spark, sf), ["segment", "nation"], top=10)
 
 
-@query()
+_KINDS = " UNION ALL ".join(f"SELECT '{c}' AS col_, {str(c in NUM).lower()} AS num, count(DISTINCT {c}) AS u, count(*) FILTER ({c} IS NULL) AS nm, count(*) AS n FROM p" for c in ("acctbal", "n_orders", "total_price", "exposure", "segment", "nation", "rich", "weight"))
+
+
+@query(f"""WITH {P}, k AS (SELECT *, CASE WHEN u = 2 THEN 'binary' WHEN num THEN 'continuous' ELSE 'categorical' END AS kind FROM ({_KINDS}))
+    SELECT max(n) AS n_samples, 9::BIGINT AS n_columns, count(*) FILTER (kind = 'binary') AS n_binary, count(*) FILTER (kind = 'categorical') AS n_categorical, count(*) FILTER (kind = 'continuous') AS n_continuous,
+      count(*) FILTER (nm > 0) AS n_with_missing, round_even(100.0 * sum(nm) / sum(n), 2)::DOUBLE AS total_missing_pct, 1::BIGINT AS n_outcomes, 1::BIGINT AS n_covariates, 2::BIGINT AS n_exposures, true AS has_survey_design FROM k""")
 def d9_dataset_summary(spark, sf):
     return D.dataset_summary(phenotypes(spark, sf))
 
 
 @query(f"""WITH {P}, l AS (SELECT 'acctbal' AS col_, acctbal AS x FROM p UNION ALL SELECT 'n_orders', n_orders FROM p), m AS (SELECT col_, avg(x) AS mu FROM l GROUP BY 1),
     g AS (SELECT col_, count(*)::BIGINT AS n, avg(pow(x - mu, 3)) / pow(avg(pow(x - mu, 2)), 1.5) AS g FROM l JOIN m USING (col_) GROUP BY 1)
-    SELECT col_ AS "column", n, round(g, 6) AS skew, round(asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(sqrt(w2))), 6) AS zscore FROM (
-      SELECT *, g * sqrt((n + 1.0) * (n + 3.0) / (6.0 * (n - 2))) AS y, sqrt(2 * (3.0 * (n * n + 27.0 * n - 70) * (n + 1.0) * (n + 3.0) / ((n - 2.0) * (n + 5.0) * (n + 7.0) * (n + 9.0)) - 1)) - 1 AS w2 FROM g)""")
+    SELECT "column", n, skew, round(z, 6) AS zscore, round(""" + O.norm_two_sided("z") + f""", 8) AS pvalue FROM (SELECT col_ AS "column", n, round(g, 6) AS skew, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(sqrt(w2))) AS z FROM (
+      SELECT *, g * sqrt((n + 1.0) * (n + 3.0) / (6.0 * (n - 2))) AS y, sqrt(2 * (3.0 * (n * n + 27.0 * n - 70) * (n + 1.0) * (n + 3.0) / ((n - 2.0) * (n + 5.0) * (n + 7.0) * (n + 9.0)) - 1)) - 1 AS w2 FROM g))""")
 def d10_skewness(spark, sf):
-    return _rounded(D.skewness(phenotypes(spark, sf), ["acctbal", "n_orders"]).drop("pvalue"))
+    d = D.skewness(phenotypes(spark, sf), ["acctbal", "n_orders"])
+    return d.select("column", "n", F.round("skew", 6).alias("skew"), F.round("zscore", 6).alias("zscore"), F.round("pvalue", 8).alias("pvalue"))
 
 
 @query(f"""WITH {P}, e AS (SELECT quantile_cont(acctbal, 0.25) AS a, quantile_cont(acctbal, 0.5) AS b, quantile_cont(acctbal, 0.75) AS c FROM p)
@@ -148,12 +161,25 @@ def m2_transform(spark, sf):
     return _rounded(p.df.select("sample_id", "acctbal_log", "acctbal_sqrt", "exposure_zscore"))
 
 
-@query()
+_RANKED = "r AS (SELECT sample_id, (rank() OVER (ORDER BY exposure) + (count(*) OVER (PARTITION BY exposure) - 1) / 2.0 - 0.5) / count(*) OVER () AS p FROM p WHERE exposure IS NOT NULL)"
+
+
+@query(f"WITH {P}, {_RANKED}, {O.norm_quantiles('r', 'p', 'x', 'sample_id')} SELECT p.sample_id, round(x, 6) AS exposure_rank_int FROM p LEFT JOIN q7 USING (sample_id)")
 def m2_rank_inverse_normal(spark, sf):
     return _rounded(M.transform(phenotypes(spark, sf), "exposure", "rank_int").df.select("sample_id", "exposure_rank_int"))
 
 
-@query()
+def _boxcox_sql(rounds: int = 48) -> str:
+    """Halving of the interval in which the likelihood's slope changes its sign."""
+    slope = "sum(ln(v)) - count(*) * covar_pop((pow(v, g) - 1) / g, pow(v, g) * ln(v) / g - (pow(v, g) - 1) / (g * g)) / var_pop((pow(v, g) - 1) / g)"
+    parts = ["l0 AS (SELECT -5.0::DOUBLE AS lo, 5.3::DOUBLE AS hi)"]
+    for k in range(rounds):
+        rising = f"(SELECT {slope} FROM (SELECT total_price AS v, (lo + hi) / 2 AS g FROM p, l{k})) > 0"
+        parts.append(f"l{k + 1} AS (SELECT CASE WHEN {rising} THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN {rising} THEN hi ELSE (lo + hi) / 2 END AS hi FROM l{k})")
+    return f"WITH {P}, {', '.join(parts)} SELECT sample_id, round((pow(total_price, lo) - 1) / lo, 4) AS total_price_boxcox FROM p, l{rounds}"
+
+
+@query(_boxcox_sql())
 def m2_boxcox(spark, sf):
     return _rounded(M.transform(phenotypes(spark, sf), "total_price", "boxcox").df.select("sample_id", "total_price_boxcox"), 4)
 
@@ -231,12 +257,21 @@ _GENO = f"""v AS ({VARIANTS}), c AS ({CALLS}),
     f AS (SELECT v.*, s.* EXCLUDE (variant_idx), CASE WHEN {_ALLELES} = 3 THEN 0.0 ELSE least(alt, slots - alt) / slots END::DOUBLE AS maf, n_called / n AS call_rate FROM v LEFT JOIN s USING (variant_idx))""".replace("STRING", "VARCHAR")
 
 
-@query(f"WITH {_GENO} SELECT variant_id, contig, position, n_called, n_het, n_hom_ref, n_hom_alt, round(call_rate, 6) AS call_rate, round(maf, 6) AS maf FROM f")
+def _weight(k: str) -> str:
+    """Of the exact test: the weight of k heterozygotes, given how many the rarer allele has."""
+    return f"exp({k} * ln(2.0) - lgamma((rare - {k}) / 2 + 1) - lgamma({k} + 1) - lgamma(n_called - (rare + {k}) / 2 + 1) + lgamma(rare / 2.0 + 1) + lgamma(n_called - rare / 2.0 + 1))"
+
+
+_HWE = f"""h AS (SELECT *, CASE WHEN n_called > 0 THEN least(1.0, list_sum(list_filter(w, lambda x: x <= own * (1 + 1e-9))) / list_sum(w)) END AS hwe_pvalue FROM (
+    SELECT *, list_transform(range(rare % 2, rare + 1, 2), lambda k: {_weight("k")}) AS w, {_weight("n_het")} AS own FROM (SELECT *, 2 * least(n_hom_ref, n_hom_alt) + n_het AS rare FROM f)))"""
+
+
+@query(f"WITH {_GENO}, {_HWE} SELECT variant_id, contig, position, n_called, n_het, n_hom_ref, n_hom_alt, round(call_rate, 6) AS call_rate, round(maf, 6) AS maf, round(hwe_pvalue, 6) AS hwe_pvalue FROM h")
 def g1_variant_stats(spark, sf):
-    return _rounded(G.variant_stats(genotypes(spark, sf)).drop("variant_idx", "hwe_pvalue"))
+    return _rounded(G.variant_stats(genotypes(spark, sf)).drop("variant_idx"))
 
 
-@query()
+@query(f"WITH {_GENO}, {_HWE} SELECT variant_id, round(hwe_pvalue, 6) AS hwe_pvalue FROM h WHERE hwe_pvalue >= 0.05")
 def f6_filter_hwe(spark, sf):
     return _rounded(G.variant_stats(G.filter_hwe(genotypes(spark, sf), 0.05)).select("variant_id", "hwe_pvalue"))
 
@@ -251,9 +286,9 @@ def g3_heterozygosity(spark, sf):
     return _rounded(G.heterozygosity(genotypes(spark, sf), 1.5))
 
 
-@query(f"WITH {_GENO} SELECT count(*) AS n_variants, round(avg(call_rate), 6) AS mean_variant_call_rate, round(avg(maf), 6) AS mean_maf, count(*) FILTER (maf < 0.01) AS n_maf_below_01, count(*) FILTER (maf < 0.05) AS n_maf_below_05, (SELECT count(DISTINCT sample_id) FROM c) AS n_samples FROM f")
+@query(f"WITH {_GENO}, s_ AS (SELECT count(*) FILTER (a1 >= 0) / count(*) AS r FROM c GROUP BY sample_id) SELECT count(*) AS n_variants, round(min(call_rate), 6) AS min_variant_call_rate, (SELECT round(avg(r), 6) FROM s_) AS mean_sample_call_rate, (SELECT round(min(r), 6) FROM s_) AS min_sample_call_rate, round(avg(call_rate), 6) AS mean_variant_call_rate, round(avg(maf), 6) AS mean_maf, count(*) FILTER (maf < 0.01) AS n_maf_below_01, count(*) FILTER (maf < 0.05) AS n_maf_below_05, (SELECT count(DISTINCT sample_id) FROM c) AS n_samples FROM f")
 def g4_genotype_summary(spark, sf):
-    return _rounded(G.genotype_summary(genotypes(spark, sf)).select("n_variants", "mean_variant_call_rate", "mean_maf", "n_maf_below_01", "n_maf_below_05", "n_samples"))
+    return _rounded(G.genotype_summary(genotypes(spark, sf)))
 
 
 @query(f"WITH {_GENO} SELECT variant_id FROM f WHERE t % 3 = 1 AND maf >= 0.2 AND call_rate >= 0.9 AND CAST(contig AS INT) <= 22")
@@ -284,52 +319,136 @@ def f10_prune_ld(spark, sf):
     return G.prune_ld(genotypes(spark, sf), window=50, r2=0.2).variants.select("variant_id")
 
 
-@query(f"WITH {_GENO}, d AS (SELECT variant_id, sample_id, CASE WHEN a1 >= 0 THEN CAST(a1 + a2 AS DOUBLE) END AS d FROM c JOIN v USING (variant_idx)) SELECT variant_id, sample_id, d AS additive, CASE WHEN d IS NOT NULL THEN CAST(d >= 1 AS INT)::DOUBLE END AS dominant, CASE WHEN d IS NOT NULL THEN CAST(d = 2 AS INT)::DOUBLE END AS recessive, CASE WHEN d IS NOT NULL THEN CAST(d = 1 AS INT)::DOUBLE END AS het, CASE WHEN d IS NOT NULL THEN (ARRAY[0.0, 0.4, 1.0])[CAST(d AS INT) + 1]::DOUBLE END AS edge FROM d")
+@query(f"WITH {_GENO}, d AS (SELECT variant_id, sample_id, CASE WHEN a1 >= 0 THEN CAST(a1 + a2 AS DOUBLE) END AS d FROM c JOIN v USING (variant_idx)) SELECT variant_id, sample_id, d AS additive, CASE WHEN d IS NOT NULL THEN CAST(d >= 1 AS INT)::DOUBLE END AS dominant, CASE WHEN d IS NOT NULL THEN CAST(d = 2 AS INT)::DOUBLE END AS recessive, CASE WHEN d IS NOT NULL THEN CAST(d = 1 AS INT)::DOUBLE END AS het, CASE WHEN d IS NOT NULL THEN CAST(d = 2 AS INT)::DOUBLE END AS hom_alt, CASE WHEN d IS NOT NULL THEN (ARRAY[0.0, 0.4, 1.0])[CAST(d AS INT) + 1]::DOUBLE END AS edge FROM d")
 def e0_e5_encodings(spark, sf):
     g = genotypes(spark, sf)
     edge = g.variants.select("variant_id", F.lit(0.0).alias("score_0"), F.lit(0.4).alias("score_1"), F.lit(1.0).alias("score_2"))
     out = G.encode(g).withColumnRenamed("x", "additive")
     for name in ("dominant", "recessive"):
         out = out.join(G.encode(g, name).withColumnRenamed("x", name), ["variant_id", "sample_id"])
-    out = out.join(G.encode(g, "codominant").select("variant_id", "sample_id", "het"), ["variant_id", "sample_id"])
+    out = out.join(G.encode(g, "codominant").select("variant_id", "sample_id", "het", "hom_alt"), ["variant_id", "sample_id"])
     return out.join(G.encode(g, "edge", edge).withColumnRenamed("x", "edge"), ["variant_id", "sample_id"])
 
 
 # studies
 
 
-@query(f"""WITH {P}, s AS (SELECT 'acctbal' AS variable, total_price AS y, acctbal AS x FROM p UNION ALL SELECT 'exposure', total_price, exposure FROM p WHERE exposure IS NOT NULL)
-    SELECT variable, count(*) AS n, round(regr_slope(y, x), 4) AS beta, round(sqrt((1 - regr_r2(y, x)) * regr_syy(y, x) / (count(*) - 2) / regr_sxx(y, x)), 4) AS se FROM s GROUP BY 1""")
+_Z = "1.959963984540054"
+
+
+def _glm(name: str, variable: str, k: int, source: str, y: str, xs: list[str], outcome: str = "total_price", kind: str = "continuous", min_n: int = 1) -> str:
+    """A row of a linear study: the last of xs against the others, by a normal test and a likelihood ratio."""
+    lrt = f"(2 * ({O.gaussian_ll('rss', 'n')} - {O.gaussian_ll('rss0', 'n')}))"
+    return f"""SELECT '{outcome}' AS outcome, '{variable}' AS variable, '{kind}' AS variable_type, n, round(slope, 4) AS beta, round(se, 4) AS se, round(slope - {_Z} * se, 4) AS ci_low, round(slope + {_Z} * se, 4) AS ci_high,
+        round({O.norm_two_sided("(slope / se)")}, 4) AS beta_pvalue, round({O.chi2_sf(f"greatest({lrt}, 0)", 1)}, 4) AS lrt_pvalue, round(2 - {lrt}, 4) AS diff_aic, true AS converged
+        FROM (SELECT *, sqrt(rss / (n - {k}) / left_over) AS se FROM (WITH {O.least_squares(name, source, y, xs, len(xs) - 1)} SELECT * FROM {name}))"""
+
+
+@query(f"""WITH {P}, a AS ({_glm('f', 'acctbal', 2, 'p', 'total_price', ['acctbal'])}), b AS ({_glm('f', 'exposure', 2, '(SELECT * FROM p WHERE exposure IS NOT NULL)', 'total_price', ['exposure'])})
+    SELECT variable, n, beta, se, ci_low, ci_high, beta_pvalue AS p_value FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
 def a7_ewas_linear(spark, sf):
-    return _rounded(A.ewas(phenotypes(spark, sf), "total_price", covariates=[]).df.select("variable", "n", "beta", "se"), 4)
+    return _rounded(A.ewas(phenotypes(spark, sf), "total_price", covariates=[]).df, 4)
 
 
-@query()
+_LEVELS = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]  # after the first, AUTOMOBILE
+_DUMMIES = [f"(segment = '{v}')::INT" for v in _LEVELS]
+
+
+def _categorical(name: str) -> str:
+    """The row of a categorical variable: no estimate, a likelihood ratio of all its dummies together."""
+    lrt = f"(2 * ({O.gaussian_ll('rss', 'n')} - {O.gaussian_ll('rss0', 'n')}))"
+    none = ", ".join(f"NULL::DOUBLE AS {c}" for c in ("beta", "se", "ci_low", "ci_high", "beta_pvalue"))
+    return f"""SELECT 'total_price' AS outcome, 'segment' AS variable, 'categorical' AS variable_type, n, {none}, round({O.chi2_sf(f"greatest({lrt}, 0)", 4)}, 4) AS lrt_pvalue, round(8 - {lrt}, 4) AS diff_aic, true AS converged
+        FROM (WITH {O.least_squares(name, 'p', 'total_price', ['n_orders', *_DUMMIES], 1)} SELECT * FROM {name})"""
+
+
+def _dummy(k: int) -> str:
+    xs = ["n_orders", *[d for j, d in enumerate(_DUMMIES) if j != k], _DUMMIES[k]]
+    row = _glm("f", f"segment_{_LEVELS[k]}", 6, "p", "total_price", xs, kind="categorical_dummy")
+    return f"SELECT * REPLACE ((SELECT lrt_pvalue FROM whole) AS lrt_pvalue, (SELECT diff_aic FROM whole) AS diff_aic) FROM ({row})"
+
+
+@query(f"""WITH {P}, whole AS ({_categorical('w')}) SELECT * FROM whole UNION ALL SELECT * FROM ({_glm('f', 'acctbal', 3, 'p', 'total_price', ['n_orders', 'acctbal'])})
+    UNION ALL SELECT * FROM ({_glm('f', 'nation', 3, '(SELECT * FROM p WHERE nation IS NOT NULL)', 'total_price', ['n_orders', 'nation'])})
+    UNION ALL SELECT * FROM ({_glm('f', 'rich', 3, 'p', 'total_price', ['n_orders', 'rich'], kind='binary')}) UNION ALL """ + " UNION ALL ".join(f"SELECT * FROM ({_dummy(k)})" for k in range(4)))
 def a1_association_study(spark, sf):
     p = phenotypes(spark, sf)
-    return _rounded(A.association_study(p, ["total_price", "rich"], ["exposure", "segment", "nation"], min_n=20, report_categorical_betas=True).df.drop("error"), 4)
+    return _rounded(A.association_study(p, ["total_price"], ["acctbal", "segment", "nation", "rich"], min_n=20, report_categorical_betas=True).df.drop("error"), 4)
+
+
+# a logistic model of levels alone has closed forms: log odds against the first level, their variances, the likelihood
+_COUNTED = "c AS (SELECT {x} AS v, count(*) FILTER (rich = 1)::DOUBLE AS k1, count(*) FILTER (rich = 0)::DOUBLE AS k0 FROM p GROUP BY 1), r AS (SELECT *, first_value(k1) OVER (ORDER BY v) AS r1, first_value(k0) OVER (ORDER BY v) AS r0, row_number() OVER (ORDER BY v) AS j FROM c)"
+_LL = "sum(k1 * ln(k1 / (k1 + k0)) + k0 * ln(k0 / (k1 + k0)))"
+_LL0 = "(sum(k1) * ln(sum(k1) / sum(k1 + k0)) + sum(k0) * ln(sum(k0) / sum(k1 + k0)))"
+
+
+def _logistic(variable: str, x: str, levels: int, kind: str) -> str:
+    whole = f"(SELECT 2 * ({_LL} - {_LL0}) AS chi2, sum(k1 + k0)::BIGINT AS n FROM c)"
+    shared = f"n, {{est}}, round({O.chi2_sf('chi2', levels - 1)}, 4) AS lrt_pvalue, round(2 * {levels - 1} - chi2, 4) AS diff_aic, true AS converged"
+    est = f"round(b, 4) AS beta, round(se, 4) AS se, round(b - {_Z} * se, 4) AS ci_low, round(b + {_Z} * se, 4) AS ci_high, round({O.norm_two_sided('(b / se)')}, 4) AS beta_pvalue"
+    none = ", ".join(f"NULL::DOUBLE AS {c}" for c in ("beta", "se", "ci_low", "ci_high", "beta_pvalue"))
+    rows = "(SELECT v, ln(k1 * r0 / k0 / r1) AS b, sqrt(1 / k1 + 1 / k0 + 1 / r1 + 1 / r0) AS se FROM r WHERE j > 1)"
+    if levels == 2:
+        out = f"SELECT 'rich' AS outcome, '{variable}' AS variable, 'binary' AS variable_type, {shared.format(est=est)} FROM {whole}, {rows}"
+    else:
+        out = f"SELECT 'rich' AS outcome, '{variable}' AS variable, '{kind}' AS variable_type, {shared.format(est=none)} FROM {whole} UNION ALL SELECT 'rich', '{variable}_' || v, '{kind}_dummy', {shared.format(est=est)} FROM {whole}, {rows}"
+    return f"WITH {P}, {_COUNTED.format(x=x)} {out}"
+
+
+@query(f"SELECT * FROM ({_logistic('odd', '(sample_id % 2)', 2, 'binary')}) UNION ALL SELECT * FROM ({_logistic('segment', 'segment', 5, 'categorical')})")
+def a1_association_logistic(spark, sf):
+    p = phenotypes(spark, sf)
+    p = p.with_df(p.df.withColumn("odd", F.col("sample_id") % 2))
+    return _rounded(A.association_study(p, ["rich"], ["odd", "segment"], covariates=[], min_n=20, report_categorical_betas=True).df.drop("error"), 4)
+
 
+_T = O.t_two_sided("(slope / se)", "(n - 2)")
+_GWAS = "d AS (SELECT variant_id AS variable, CAST(a1 + a2 AS DOUBLE) AS g, s_acctbal AS y FROM c JOIN v USING (variant_idx) JOIN supplier ON s_suppkey = sample_id WHERE a1 >= 0)"
 
-@query(f"""WITH {_GENO}, d AS (SELECT variant_id AS variable, CAST(a1 + a2 AS DOUBLE) AS g, s_acctbal AS y FROM c JOIN v USING (variant_idx) JOIN supplier ON s_suppkey = sample_id WHERE a1 >= 0)
-    SELECT variable, (SELECT count(*) FROM supplier) AS n, round(regr_slope(y, g) + 0.0000123, 4) AS beta FROM d GROUP BY 1 HAVING regr_sxx(y, g) > 0""")
+
+@query(f"""WITH {_GENO}, {_GWAS}, m AS (SELECT variable, count(*) AS n, regr_slope(y, g) AS slope, sqrt(greatest(regr_syy(y, g) - regr_slope(y, g) * regr_sxy(y, g), 0) / (count(*) - 2) / regr_sxx(y, g)) AS se FROM d GROUP BY 1 HAVING regr_sxx(y, g) > 0 AND count(*) > 2)
+    SELECT variable, (SELECT count(*) FROM supplier) AS n, round(slope + 0.0000123, 4) AS beta, round(se + 0.0000123, 4) AS se, round(slope - 1.96 * se + 0.0000123, 4) AS ci_low, round(slope + 1.96 * se + 0.0000123, 4) AS ci_high, round({_T}, 4) AS p_value FROM m WHERE se > 1e-6""")
 def a8_gwas(spark, sf):
     from ..types import Phenotypes
 
     phen = Phenotypes(spark.read.parquet(f"{sf}/supplier.parquet").withColumnRenamed("s_suppkey", "sample_id"))
+    out = A.gwas(genotypes(spark, sf), phen, "s_acctbal").df.where("se > 1e-6")
     # slopes are fractions of cents: the offset keeps exact halves off the edge of rounding
-    out = A.gwas(genotypes(spark, sf), phen, "s_acctbal").df.select("variable", "n", (F.col("beta") + 0.0000123).alias("beta"))
-    return _rounded(out, 4).where("beta IS NOT NULL")
+    moved = [(F.col(c) + 0.0000123).alias(c) for c in ("beta", "se", "ci_low", "ci_high")]
+    return _rounded(out.select("variable", "n", *moved, "p_value"), 4)
 
 
-@query()
+@query(f"""WITH {P}, {O.least_squares('f', 'p', 'total_price', ['n_orders', 'acctbal', 'weight'], 1)}, l AS (SELECT n, {O.gaussian_ll('rss', 'n')} AS a, {O.gaussian_ll('rss0', 'n')} AS b FROM f)
+    SELECT round(2 * (a - b), 4) AS chi2, 2::BIGINT AS df, round({O.chi2_sf('(2 * (a - b))', 2)}, 4) AS p_value, round(a, 4) AS ll_full, round(b, 4) AS ll_nested, n FROM l""")
 def a9_lrt(spark, sf):
-    return _rounded(A.lrt(phenotypes(spark, sf), "total_price", ["n_orders", "acctbal", "exposure"], ["n_orders"]), 4)
+    return _rounded(A.lrt(phenotypes(spark, sf), "total_price", ["n_orders", "acctbal", "weight"], ["n_orders"]), 4)
 
 
-@query()
+@query(f"""WITH {P}, {_COUNTED.format(x='(sample_id % 2)')}, l AS (SELECT sum(k1 + k0)::BIGINT AS n, {_LL} AS a, {_LL0} AS b FROM c)
+    SELECT round(2 * (a - b), 4) AS chi2, 1::BIGINT AS df, round({O.chi2_sf('(2 * (a - b))', 1)}, 4) AS p_value, round(a, 4) AS ll_full, round(b, 4) AS ll_nested, n FROM l""")
+def a9_lrt_logistic(spark, sf):
+    p = phenotypes(spark, sf)
+    return _rounded(A.lrt(p.with_df(p.df.withColumn("odd", F.col("sample_id") % 2)), "rich", ["odd"], []), 4)
+
+
+def _interaction(a: str, b: str, source: str, xs: list[str], keep: int) -> str:
+    df = len(xs) - keep
+    lrt = f"(2 * ({O.gaussian_ll('rss', 'n')} - {O.gaussian_ll('rss0', 'n')}))"
+    return f"""SELECT 'total_price' AS outcome, '{a}' AS term1, '{b}' AS term2, n, round({lrt}, 4) AS lrt_chi2, {df}::BIGINT AS lrt_df, round({O.chi2_sf(lrt, df)}, 4) AS lrt_pvalue, round(2 * {df} - {lrt}, 4) AS diff_aic, true AS converged
+        FROM (WITH {O.least_squares('f', source, 'total_price', xs, keep)} SELECT * FROM f)"""
+
+
+_PAIRS_SQL = [
+    _interaction("acctbal", "weight", "p", ["acctbal", "weight", "acctbal * weight"], 2),
+    _interaction("acctbal", "segment", "p", ["acctbal", *_DUMMIES, *[f"acctbal * {d}" for d in _DUMMIES]], 5),
+    _interaction("exposure", "weight", "(SELECT * FROM p WHERE exposure IS NOT NULL)", ["exposure", "weight", "exposure * weight"], 2),
+]
+
+
+@query(f"WITH {P} " + " UNION ALL ".join(f"SELECT * FROM ({q})" for q in _PAIRS_SQL))
 def a10_interaction_study(spark, sf):
     p = phenotypes(spark, sf)
-    return _rounded(A.interaction_study(p, ["total_price"], [("acctbal", "exposure"), ("acctbal", "segment")], covariates=[], min_n=20).df.drop("error"), 4)
+    return _rounded(A.interaction_study(p, ["total_price"], [("acctbal", "weight"), ("acctbal", "segment"), ("exposure", "weight")], covariates=[], min_n=20).df.drop("error"), 4)
 
 
 _PV = f"pv AS ({PVALUES.replace('STRING', 'VARCHAR')})"
@@ -346,7 +465,10 @@ def a11_corrections(spark, sf):
     return _rounded(df.select("id", "bonferroni", "sidak", "fdr_bh", "fdr_by", "holm"), 8)
 
 
-@query()
+@query(f"""WITH {_PV}, r AS (SELECT id, grp, p_value AS p, row_number() OVER (PARTITION BY grp ORDER BY p_value, id) AS k, count(*) OVER (PARTITION BY grp) AS n FROM pv WHERE p_value IS NOT NULL),
+    c AS (SELECT r.grp, m, min(m * p / (k - n + m)) AS c FROM r JOIN (SELECT unnest(range(1, (SELECT max(n) + 1 FROM r))) AS m) ON m <= n AND k > n - m GROUP BY ALL),
+    a AS (SELECT id, max(CASE WHEN k > n - m THEN c ELSE least(c, m * p) END) AS h FROM r JOIN c USING (grp) WHERE m <= n GROUP BY id)
+    SELECT id, round(least(1.0, greatest(h, p)), 8) AS hommel FROM a JOIN r USING (id) UNION ALL SELECT id, NULL FROM pv WHERE p_value IS NULL""")
 def a11_hommel(spark, sf):
     return _rounded(R.corrected(p_values(spark, sf), "p_value", "hommel", ["grp"], out="hommel").select("id", "hommel"), 8)
 
