@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.special import hwe_exact
@@ -33,10 +34,20 @@ def allele_frequencies(geno: Genotypes) -> DataFrame:
 
 
 def variant_stats(geno: Genotypes, hwe: bool = True) -> DataFrame:
-    test = F.pandas_udf(lambda a, b, c: a.combine(b, lambda x, y: (x, y)).combine(c, lambda p, z: hwe_exact(int(p[0]), int(p[1]), int(z))), "double")
+    """Counts, call rate, minor allele frequency and, with hwe, the exact test of Hardy-Weinberg proportions, computed once for each combination of counts in a batch."""
+
+    def test(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        known: dict = {}
+        out = []
+        for key in zip(a.to_numpy(), b.to_numpy(), c.to_numpy(), strict=True):
+            if key not in known:
+                known[key] = hwe_exact(*map(int, key))
+            out.append(known[key])
+        return pd.Series(out, dtype="float64")
+
     counts = _counts(geno.calls, "variant_idx").join(allele_frequencies(geno), "variant_idx", "left")
     out = geno.variants.join(counts, "variant_idx", "left").withColumn("call_rate", F.col("n_called") / F.col("n_total"))
-    p = F.when(F.col("n_called") > 0, test(*[F.coalesce(c, F.lit(0)) for c in ("n_het", "n_hom_ref", "n_hom_alt")])) if hwe else F.lit(None).cast("double")
+    p = F.when(F.col("n_called") > 0, F.pandas_udf(test, "double")(*[F.coalesce(c, F.lit(0)) for c in ("n_het", "n_hom_ref", "n_hom_alt")])) if hwe else F.lit(None).cast("double")
     return out.select("variant_idx", "variant_id", "contig", "position", "n_called", "n_het", "n_hom_ref", "n_hom_alt", "call_rate", "maf", p.alias("hwe_pvalue"))
 
 
@@ -145,25 +156,62 @@ def encode(geno: Genotypes, encoding: str = "additive", edge: DataFrame | None =
     raise ValueError(f"unknown encoding {encoding!r}")
 
 
+#: Samples whose calls meet in one task of prune_ld; more of them are dealt over several, whose sums are added.
+LD_SAMPLES = 20_000
+
+
+def _pair_sums(width: int, step: int):
+    """Of a block's calls (variant_idx, at, sample_id, d, own): i, j, ai, aj and the sums over samples that both have, for pairs in a window whose first is the block's own."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        variants = pdf[["variant_idx", "at", "own"]].drop_duplicates().sort_values(["at", "variant_idx"])
+        row = pd.Series(range(len(variants)), index=variants["variant_idx"])
+        sample = pd.factorize(pdf["sample_id"])[0]
+        x, m = (np.zeros((len(variants), sample.max() + 1)) for _ in range(2))
+        where = row[pdf["variant_idx"]].to_numpy(), sample
+        x[where], m[where] = pdf["d"].to_numpy(), 1.0
+        at, own, ids = (variants[c].to_numpy() for c in ("at", "own", "variant_idx"))
+        i, j = np.triu_indices(len(variants), 1)
+        near = own[i] & (at[j] - at[i] // step * step < width)
+        i, j = i[near], j[near]
+        s = {"n": m @ m.T, "sx": x @ m.T, "sxx": (x * x) @ m.T, "sxy": x @ x.T}
+        return pd.DataFrame({
+            "contig": pdf["contig"].iloc[0], "i": ids[i], "j": ids[j], "ai": at[i], "aj": at[j], "n": s["n"][i, j],
+            "sx": s["sx"][i, j], "sy": s["sx"][j, i], "sxx": s["sxx"][i, j], "syy": s["sxx"][j, i], "sxy": s["sxy"][i, j],
+        })
+
+    return run
+
+
 def prune_ld(geno: Genotypes, window: int = 50, step: int = 5, r2: float = 0.5, unit: str = "variants") -> Genotypes:
     """Of each pair of variants in a window whose squared correlation exceeds r2, the later one goes, in order along the contig.
 
-    Pairs come from neighbouring window blocks by an equi-join, their correlation from one aggregate over the calls,
-    and the greedy choice from one contig's pairs at a time.
+    Windows of `window` variants (or kilobases) begin at every multiple of `step`; a pair counts if some window holds both.
+    Calls meet in blocks of a window's length with the block that follows, dealt over tasks by sample, where matrix products give the
+    sums of all pairs; each call is sent to two blocks at most. The greedy choice sees one contig's linked pairs at a time.
     """
+    if window <= 0 or step <= 0:
+        raise ValueError("window and step must be positive")
     if unit not in ("variants", "kb"):
         raise ValueError("unit is variants or kb")
+    _rate(r2, "r2")
     order = F.row_number().over(Window.partitionBy("contig").orderBy("position", "variant_idx"))
     at = geno.variants.select("variant_idx", "contig", (order - 1 if unit == "variants" else F.col("position")).cast("long").alias("at"))
-    width = window if unit == "variants" else window * 1000
-    block = at.withColumn("b", F.floor(F.col("at") / width))
-    left = block.select("contig", F.col("variant_idx").alias("i"), F.col("at").alias("ai"), F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"))
-    pairs = left.join(block.select("contig", F.col("variant_idx").alias("j"), F.col("at").alias("aj"), "b"), ["contig", "b"])
-    near = (F.col("aj") - F.col("ai")).between(0, width - 1 if unit == "variants" else width) & ((F.col("ai") < F.col("aj")) | (F.col("i") < F.col("j"))) & (F.col("i") != F.col("j"))
-    pairs = pairs.where(near).select("contig", "i", "j", "ai", "aj")
+    scale = 1 if unit == "variants" else 1000
+    width = window * scale
+    block = F.floor(F.col("at") / width).cast("long")
+    placed = at.select("variant_idx", "contig", "at", F.inline(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own")))))
     calls = geno.calls.select("variant_idx", "sample_id", strict_dosage(F.col("gt")).alias("d")).where("d is not null")
-    joint = pairs.join(calls.select(F.col("variant_idx").alias("i"), "sample_id", F.col("d").alias("x")), "i").join(calls.select(F.col("variant_idx").alias("j"), "sample_id", F.col("d").alias("y")), ["j", "sample_id"])
-    linked = joint.groupBy("contig", "i", "j", "ai", "aj").agg(corr(F.col("x"), F.col("y")).alias("r")).where(F.col("r") * F.col("r") > r2)
+    chunks = max(1, -(-geno.calls.select("sample_id").distinct().count() // LD_SAMPLES))
+    dealt = calls.join(placed, "variant_idx").withColumn("chunk", F.pmod(F.xxhash64("sample_id"), F.lit(chunks)))
+    sums = "n double, sx double, sy double, sxx double, syy double, sxy double"
+    parts = dealt.groupBy("contig", "block", "chunk").applyInPandas(_pair_sums(width, step * scale), f"contig string, i long, j long, ai long, aj long, {sums}")
+    whole = parts.groupBy("contig", "i", "j", "ai", "aj").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    cov, vx, vy = (F.col(c) * F.col("n") - F.col(a) * F.col(b) for c, a, b in (("sxy", "sx", "sy"), ("sxx", "sx", "sx"), ("syy", "sy", "sy")))
+    linked = whole.where((vx > 0) & (vy > 0) & (cov * cov > r2 * vx * vy))
 
     def greedy(pdf):
         import pandas as pd
@@ -174,6 +222,6 @@ def prune_ld(geno: Genotypes, window: int = 50, step: int = 5, r2: float = 0.5,
                 gone.add(j)
         return pd.DataFrame({"variant_idx": sorted(gone)}, dtype="int64")
 
-    gone = linked.groupBy("contig").applyInPandas(greedy, "variant_idx long")
+    gone = linked.select("contig", "i", "j", "ai", "aj").groupBy("contig").applyInPandas(greedy, "variant_idx long")
     left = geno.variants.join(gone, "variant_idx", "left_anti")
     return replace(geno, variants=left, calls=geno.calls.join(left.select("variant_idx"), "variant_idx", "left_semi"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -254,6 +255,8 @@ def association_study(phen: Phenotypes, outcomes: list[str] | None = None, regre
         raise ValueError("no outcome")
     if use_survey and not phen.weights:
         raise ValueError("a survey design needs a weights column")
+    if use_survey and phen.strata:
+        warnings.warn("strata don't enter the variance: weights and clusters alone do", UserWarning, stacklevel=2)
     engine = resolve_engine(regression_kind)
     df = phen.df
     if bad := [c for c in covariates if not is_numeric(df, c)]:
@@ -314,16 +317,23 @@ def ewas(phen: Phenotypes, outcome: str, exposures: list[str] | None = None, cov
     return RegressionResults(r.df.select("variable", "n", "beta", "se", "ci_low", "ci_high", F.col("beta_pvalue").alias("p_value")), r.metadata)
 
 
-def gwas(geno: Genotypes, phen: Phenotypes, outcome: str, covariates: list[str] | None = None, family: str = "linear") -> RegressionResults:
+def gwas(geno: Genotypes, phen: Phenotypes, outcome: str, covariates: list[str] | None = None, family: str | None = None) -> RegressionResults:
     """Every variant's dosage against a numeric outcome by least squares with a t-test; n is the number of aligned samples.
 
+    The family is inferred unless given: a yes-or-no outcome asks for a logistic model, which there is none of here.
+
     Samples need the outcome and the covariates. A variant is fitted on its called samples, so a missing
     call doesn't cost the variant. Sums of products are all that leaves the calls.
     """
-    if family != "linear":
-        raise NotImplementedError("only linear models")
     covariates = list(phen.covariates if covariates is None else covariates)
     df = phen.df
+    if missing := [c for c in (outcome, *covariates) if c not in df.columns]:
+        raise ValueError(f"columns not in the table: {missing}")
+    family = family or infer_family(df, [outcome])[outcome]
+    if family not in ("linear", "logistic"):
+        raise ValueError(f"unknown family {family!r}")
+    if family == "logistic":
+        raise NotImplementedError("genome-wide studies are linear; association_study fits logistic models")
     rows = df.select(F.col(f"`{phen.sample_id}`").cast("string").alias("sid"), _vector(df, covariates).alias("cov"), number(df, outcome).alias("y")).where(F.col("y").isNotNull() & F.forall("cov", lambda c: c.isNotNull()))
     rows = rows.join(geno.calls.select(F.col("sample_id").cast("string").alias("sid")).distinct(), "sid", "left_semi")
     n, k = rows.count(), len(covariates)

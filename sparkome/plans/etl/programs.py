@@ -174,7 +174,7 @@ def pathway_reactome(spark: SparkSession, pathways: str, hierarchy: str, gmt: st
     up = up.join(human.withColumnRenamed("pathway_id", "parent"), "parent", "left_semi").join(human.withColumnRenamed("pathway_id", "child"), "child", "left_semi")
     up = up.select(F.col("child").alias("source_id"), F.col("parent").alias("target_id"), F.lit("Pathways").alias("target_type"), F.lit("part_of").alias("relation"))
     parts = F.split("value", "\t")
-    genes = spark.read.text(gmt).select(parts[1].alias("pathway_id"), F.explode(F.slice(parts, 3, 1 << 20)).alias("target_id")).where("target_id != ''")
+    genes = spark.read.text(gmt).select(parts[1].alias("pathway_id"), F.explode(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0)))).alias("target_id")).where("target_id != ''")
     ids = ["target_id", "pathway_id", "url", "pathway", "evidence", "organism"]
     ens = tsv(spark, ensembl, ids).where("organism = 'Homo sapiens'").withColumn("target_type", F.when(F.col("target_id").startswith("ENSG"), "Genes").when(F.col("target_id").startswith("ENSP"), "Proteins")).where("target_type is not null")
     uni = tsv(spark, uniprot, ids).where("organism = 'Homo sapiens'").withColumn("target_type", F.lit("Proteins"))

@@ -24,6 +24,20 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 1, part: s
     return out.withColumnRenamed("__part", part) if part else out.drop("__part")
 
 
+def in_order(df: DataFrame, name: str) -> DataFrame:
+    """df with consecutive numbers from 0 in the order in which it is read: rows before a partition's are counted first, and no row is moved."""
+    part, line = F.spark_partition_id(), F.monotonically_increasing_id()
+    sizes = sorted(df.select(part.alias("p")).groupBy("p").agg(F.count(F.lit(1))).collect())  # a row for each partition
+    before, total = {}, 0
+    for p, n in sizes:
+        before[p] = total
+        total += n
+    shifts = F.lit(None).cast("long")
+    if before:
+        shifts = F.element_at(F.array(*[F.lit(before.get(p, 0)).cast("long") for p in range(max(before) + 1)]), part + 1)
+    return df.withColumn(name, shifts + line.bitwiseAND(F.lit((1 << 33) - 1)))
+
+
 def running(df: DataFrame, value: str, out: str, *, rank: str, part: str, largest: bool) -> DataFrame:
     """df with a running extreme of `value` along `rank`: the largest up to a row, or the smallest from a row on.
 

@@ -314,9 +314,28 @@ def f9_heterozygosity_outliers(spark, sf):
     return G.filter_heterozygosity_outliers(genotypes(spark, sf), 1.5).calls.select("sample_id").distinct()
 
 
-@query()
+def _prune_sql(width: int, step: int, r2: float, at: str) -> str:
+    """Variants one after the other along a contig: one stays unless it is linked with one that has stayed."""
+    return f"""WITH RECURSIVE {_GENO}, o AS (SELECT variant_idx, variant_id, contig, {at} AS at, row_number() OVER (PARTITION BY contig ORDER BY position, variant_idx) AS k FROM v),
+        d AS (SELECT variant_idx, sample_id, (a1 + a2)::DOUBLE AS d FROM c WHERE a1 >= 0 AND a2 >= 0),
+        pairs AS (SELECT a.contig, a.k AS i, b.k AS j, a.variant_idx AS vi, b.variant_idx AS vj FROM o a JOIN o b ON a.contig = b.contig AND a.k < b.k AND b.at - a.at // {step} * {step} < {width}),
+        linked AS (SELECT contig, i, j FROM pairs JOIN d x ON x.variant_idx = vi JOIN d y ON y.variant_idx = vj AND y.sample_id = x.sample_id GROUP BY ALL
+          HAVING var_pop(x.d) > 1e-12 AND var_pop(y.d) > 1e-12 AND pow(covar_pop(x.d, y.d), 2) > {r2} * var_pop(x.d) * var_pop(y.d) + 1e-12),
+        near AS (SELECT contig, j, list(i) AS before FROM linked GROUP BY ALL),
+        run AS (SELECT DISTINCT contig, 0::BIGINT AS k, []::BIGINT[] AS kept FROM o
+          UNION ALL SELECT run.contig, o.k, CASE WHEN before IS NULL OR len(list_intersect(before, kept)) = 0 THEN list_append(kept, o.k) ELSE kept END FROM run JOIN o ON o.contig = run.contig AND o.k = run.k + 1 LEFT JOIN near ON near.contig = o.contig AND near.j = o.k),
+        last AS (SELECT contig, unnest(kept) AS k FROM (SELECT contig, arg_max(kept, k) AS kept FROM run GROUP BY contig))
+        SELECT variant_id FROM o JOIN last USING (contig, k)"""
+
+
+@query(_prune_sql(50, 5, 0.2, "row_number() OVER (PARTITION BY contig ORDER BY position, variant_idx) - 1"))
 def f10_prune_ld(spark, sf):
-    return G.prune_ld(genotypes(spark, sf), window=50, r2=0.2).variants.select("variant_id")
+    return G.prune_ld(genotypes(spark, sf), window=50, step=5, r2=0.2).variants.select("variant_id")
+
+
+@query(_prune_sql(300_000, 70_000, 0.4, "position"))
+def f10_prune_ld_kb(spark, sf):
+    return G.prune_ld(genotypes(spark, sf), window=300, step=70, r2=0.4, unit="kb").variants.select("variant_id")
 
 
 @query(f"WITH {_GENO}, d AS (SELECT variant_id, sample_id, CASE WHEN a1 >= 0 THEN CAST(a1 + a2 AS DOUBLE) END AS d FROM c JOIN v USING (variant_idx)) SELECT variant_id, sample_id, d AS additive, CASE WHEN d IS NOT NULL THEN CAST(d >= 1 AS INT)::DOUBLE END AS dominant, CASE WHEN d IS NOT NULL THEN CAST(d = 2 AS INT)::DOUBLE END AS recessive, CASE WHEN d IS NOT NULL THEN CAST(d = 1 AS INT)::DOUBLE END AS het, CASE WHEN d IS NOT NULL THEN CAST(d = 2 AS INT)::DOUBLE END AS hom_alt, CASE WHEN d IS NOT NULL THEN (ARRAY[0.0, 0.4, 1.0])[CAST(d AS INT) + 1]::DOUBLE END AS edge FROM d")

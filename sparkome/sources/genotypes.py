@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.ids import numbered
+from ..plans.ids import in_order
 from ..types import Genotypes
 
 
@@ -26,8 +26,8 @@ def read_genotypes(spark: SparkSession, path: str) -> Genotypes:
 def read_plink(spark: SparkSession, prefix: str, *, block: int = 4096) -> Genotypes:
     """bed, bim and fam. Alleles are (A2, A1), so a call counts A1. The bed file is read in ranges of variants by the tasks themselves."""
     bim = spark.read.text(f"{prefix}.bim").select(F.split(F.trim("value"), r"\s+").alias("p"))
-    rows = bim.select(F.monotonically_increasing_id().alias("__line"), F.col("p")[0].alias("contig"), F.col("p")[1].alias("variant_id"), F.col("p")[3].cast("long").alias("position"), F.array(F.col("p")[5], F.col("p")[4]).alias("alleles"))
-    variants = numbered(rows, ["__line"], "variant_idx", 0).select(F.col("variant_idx").cast("long"), "variant_id", "contig", "position", "alleles")
+    rows = in_order(bim, "variant_idx").select("variant_idx", F.col("p")[0].alias("contig"), F.col("p")[1].alias("variant_id"), F.col("p")[3].cast("long").alias("position"), F.array(F.col("p")[5], F.col("p")[4]).alias("alleles"))
+    variants = rows.select(F.col("variant_idx").cast("long"), "variant_id", "contig", "position", "alleles")
     samples = [r[0] for r in spark.read.text(f"{prefix}.fam").select(F.split(F.trim("value"), r"\s+")[1].alias("s")).collect()]  # a row for each sample
     ids = spark.sparkContext.broadcast(samples)
     n, count = len(samples), variants.count()
@@ -71,13 +71,12 @@ def read_vcf(spark: SparkSession, path: str, store: str | None = None, force: bo
         raise ValueError("no header line of columns")
     samples = head[0][0].split("\t")[9:]
     p = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.monotonically_increasing_id().alias("__line"), p.alias("p"))
-    rows = numbered(rows, ["__line"], "variant_idx", 0)
+    rows = in_order(lines.where(~F.col("value").startswith("#") & (F.col("value") != "")), "variant_idx").select("variant_idx", p.alias("p"))
     name = F.when(F.col("p")[2] != ".", F.col("p")[2]).otherwise(F.concat_ws(":", F.col("p")[0], F.col("p")[1], F.col("p")[3], F.col("p")[4]))
     variants = rows.select(F.col("variant_idx").cast("long"), name.alias("variant_id"), F.col("p")[0].alias("contig"), F.col("p")[1].cast("long").alias("position"), F.concat(F.array(F.col("p")[3]), F.split(F.col("p")[4], ",")).alias("alleles"))
     names = F.broadcast(spark.createDataFrame(list(enumerate(samples)) or [(-1, "")], "k int, sample_id string"))  # a row for each name of the header line
     at = F.array_position(F.split(F.col("p")[8], ":"), "GT").cast("int")
-    cells = rows.select(F.col("variant_idx").cast("long").alias("variant_idx"), at.alias("at"), F.posexplode(F.slice("p", 10, 1 << 20)).alias("k", "c")).join(names, "k")
+    cells = rows.select(F.col("variant_idx").cast("long").alias("variant_idx"), at.alias("at"), F.posexplode(F.slice("p", F.lit(10), F.greatest(F.size("p") - 9, F.lit(0)))).alias("k", "c")).join(names, "k")
     gt = F.when(F.col("at") > 0, F.get(F.split("c", ":"), F.col("at") - 1))
     slots = F.transform(F.split(F.coalesce(gt, F.lit("./.")), r"[/|]"), lambda a: F.coalesce(a.try_cast("int"), F.lit(-1)))
     calls = cells.select("variant_idx", "sample_id", F.when(F.size(slots) == 1, F.array_repeat(slots[0], 2)).otherwise(slots).alias("gt"))

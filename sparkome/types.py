@@ -79,7 +79,7 @@ class Genotypes:
     calls: DataFrame
 
     def listing(self) -> DataFrame:
-        return self.variants.select("variant_id", "contig", "position", F.get("alleles", F.lit(0)).alias("ref"), F.concat_ws(",", F.slice("alleles", 2, 1 << 20)).alias("alt"))
+        return self.variants.select("variant_id", "contig", "position", F.get("alleles", F.lit(0)).alias("ref"), F.concat_ws(",", F.slice("alleles", F.lit(2), F.greatest(F.size("alleles") - 1, F.lit(0)))).alias("alt"))
 
     def select(self, samples: DataFrame | None = None, variants: DataFrame | None = None, keep: bool = True) -> Genotypes:
         """Membership by id (first column of each frame); keep=False removes what is named."""
