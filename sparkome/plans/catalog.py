@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import file_queries, graph_queries, load_queries, phenotype_queries, plot_queries
+from . import file_queries, graph_queries, load_queries, phenotype_queries, plot_queries, surface_queries
 
-_MODULES = (phenotype_queries, graph_queries, plot_queries, load_queries, file_queries)
+_MODULES = (phenotype_queries, graph_queries, plot_queries, load_queries, file_queries, surface_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

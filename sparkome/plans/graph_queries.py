@@ -110,25 +110,57 @@ def r3_go_annotations(spark, sf):
     return out.select("input_value", "input_matched_alias", "entity_id", "namespace", "namespace_label", "go_parent_count", "go_child_count", "entity_relationships_by_group", "total_entity_relationships", "other_aliases", "status", "note")
 
 
-@query()
+_NONE = ", ".join(f"NULL::VARCHAR AS {c}" for c in ("description", "mondo_id", "omim_id", "mesh_id", "icd10", "orphanet_id"))
+
+
+@query(f"""WITH {_A}, {_E}, {_NAMES}, {_ROLL} SELECT n_name AS input_value, n_name AS input_matched_alias, (n_nationkey + 2000000)::BIGINT AS entity_id, n_name AS disease_id, n_name AS label, {_NONE}, 'Rare; r' || n_regionkey AS disease_groups,
+    0::BIGINT AS disease_parent_count, 0::BIGINT AS disease_child_count, by_group AS entity_relationships_by_group, coalesce(total, 0) AS total_entity_relationships, 'R-HSA-' || n_nationkey AS other_aliases, 'found' AS status, NULL::VARCHAR AS note
+    FROM nation LEFT JOIN roll ON id = n_nationkey + 2000000 WHERE n_regionkey > 0""")
 def r2_disease_annotations(spark, sf):
-    g = graph(spark, sf)
-    n = g.aliases.where("type_id = 6 and is_primary")
-    master = n.select("entity_id", F.col("alias_value").alias("disease_id"), F.col("alias_value").alias("label"), *[F.lit(None).cast("string").alias(c) for c in ("description", "mondo_id", "omim_id", "mesh_id", "icd10", "orphanet_id")], F.array(F.lit("Rare")).alias("groups"))
+    """All entities of the type, those of one group; nations stand in for diseases."""
+    g, n = graph(spark, sf), table(spark, sf, "nation")
+    groups = F.when(F.col("n_regionkey") > 0, F.array(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.lit("Rare"))).otherwise(F.array(F.lit("r0")))
+    none = [F.lit(None).cast("string").alias(c) for c in ("description", "mondo_id", "omim_id", "mesh_id", "icd10", "orphanet_id")]
+    master = n.select((F.col("n_nationkey") + 2000000).cast("long").alias("entity_id"), F.col("n_name").alias("disease_id"), F.col("n_name").alias("label"), *none, groups.alias("groups"))
     g = K.KnowledgeGraph(g.entity_types, g.entities, g.aliases.withColumn("type_id", F.when(F.col("type_id") == 6, 8).otherwise(F.col("type_id"))), g.relationships, g.locations)
     return K.run_report(g, "disease_annotations", None, master=master, group_filter="rare")
 
 
-@query()
+@query("""SELECT 'n' || n_nationkey AS input_value, (SELECT count(*) FROM (SELECT n_nationkey AS c, n_nationkey // 2 AS p, 1 AS k FROM nation WHERE n_nationkey > 0 UNION ALL SELECT n_nationkey, n_nationkey // 3, 2 FROM nation WHERE n_nationkey > 0) e WHERE e.c = n.n_nationkey) AS disease_parent_count,
+    (SELECT count(*) FROM (SELECT n_nationkey AS c, n_nationkey // 2 AS p, 1 AS k FROM nation WHERE n_nationkey > 0 UNION ALL SELECT n_nationkey, n_nationkey // 3, 2 FROM nation WHERE n_nationkey > 0) e WHERE e.p = n.n_nationkey) AS disease_child_count FROM nation n""")
+def r2_disease_parents(spark, sf):
+    """Parents and children by the direction of is_a and part_of edges between diseases; edges keep the order that they were made in."""
+    n, e = table(spark, sf, "nation"), K.KnowledgeGraph.empty(spark)
+    name = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    key = F.col("n_nationkey").cast("long")
+    const = {"alias_type": F.lit("preferred"), "xref_source": F.lit("MONDO"), "is_primary": F.lit(True), "is_active": F.lit(True), "source": F.lit("t"), "package_id": F.lit(1).cast("long")}
+    a = n.select(key.alias("alias_id"), key.alias("entity_id"), F.lit(8).alias("type_id"), name.alias("alias_value"), name.alias("alias_norm")).withColumns(const)
+    up = lambda k, relation: n.where("n_nationkey > 0").select(key.alias("entity_1_id"), F.lit(8).alias("entity_1_type_id"), F.floor(F.col("n_nationkey") / k).cast("long").alias("entity_2_id"), F.lit(8).alias("entity_2_type_id"), F.lit(relation).alias("relation"))
+    edges = up(2, "is_a").unionByName(up(3, "part_of")).withColumns({"relationship_id": F.lit(1).cast("long"), "source": F.lit("t"), "evidence_count": F.lit(1).cast("long"), "confidence": F.lit(1.0), "package_id": F.lit(1).cast("long"), "is_active": F.lit(True)})
+    g = K.KnowledgeGraph(e.entity_types, e.entities, a.select(*e.aliases.columns), edges.select(*e.relationships.columns), e.locations)
+    master = n.select(key.alias("entity_id"), name.alias("disease_id"), name.alias("label"), *[F.lit(None).cast("string").alias(c) for c in ("description", "mondo_id", "omim_id", "mesh_id", "icd10", "orphanet_id")], F.array().cast("array<string>").alias("groups"))
+    return K.run_report(g, "disease_annotations", n.select(name.alias("v")), columns=["input_value", "disease_parent_count", "disease_child_count"], master=master)
+
+
+_PFAM = "f AS (SELECT *, row_number() OVER (PARTITION BY m, t ORDER BY id) AS r FROM (SELECT DISTINCT l_suppkey AS m, l_returnflag AS t, 'PF' || (l_partkey % 20) AS id FROM lineitem)), pt AS (SELECT m, t, count(*) AS n, string_agg(id, ',' ORDER BY id) FILTER (r <= 4) AS ids FROM f GROUP BY ALL), pf AS (SELECT m, sum(n)::BIGINT AS total, string_agg(t || ':' || n, '; ' ORDER BY t) AS counts, string_agg(t || ':' || ids, '; ' ORDER BY t) AS ids FROM pt GROUP BY m)"
+
+
+@query(f"""WITH {_PFAM}, s AS (SELECT s_suppkey AS k, s_name, CASE WHEN s_suppkey % 5 IN (1, 2) THEN s_suppkey - s_suppkey % 5 ELSE s_suppkey END AS c FROM supplier)
+    SELECT s.s_name AS input_value, (k + 1000000)::BIGINT AS entity_id, (c + 1000000)::BIGINT AS canonical_entity_id, m.s_suppkey::BIGINT AS protein_master_id, m.s_name AS protein_id, k <> c AS input_is_isoform, CASE WHEN k <> c THEN s.s_name END AS input_isoform_accession,
+      CASE WHEN c % 5 = 0 THEN (SELECT count(*) FROM supplier x WHERE x.s_suppkey % 5 IN (1, 2) AND x.s_suppkey - x.s_suppkey % 5 = c) ELSE 0 END::BIGINT AS isoform_count, CASE WHEN m.s_suppkey IS NOT NULL THEN 'f' END AS function,
+      coalesce(total, 0)::BIGINT AS pfam_total_count, counts AS pfam_count_by_type, ids AS pfam_ids_by_type, CASE WHEN m.s_suppkey IS NULL THEN 'error' ELSE 'found' END AS status
+    FROM s LEFT JOIN supplier m ON m.s_suppkey = c AND m.s_suppkey % 5 = 0 LEFT JOIN pf ON pf.m = m.s_suppkey""")
 def r5_protein_annotations(spark, sf):
+    """Every fifth supplier is a master protein, the two after it are its isoforms, the others have no master row."""
     g = graph(spark, sf)
     g = K.KnowledgeGraph(g.entity_types, g.entities, g.aliases.withColumn("type_id", F.when(F.col("type_id") == 2, 3).otherwise(F.col("type_id"))), g.relationships, g.locations)
     s = table(spark, sf, "supplier")
-    e = (F.col("s_suppkey") + 1000000).alias("entity_id")
-    master = s.where("s_suppkey % 5 = 0").select(e, F.col("s_suppkey").alias("protein_master_id"), F.col("s_name").alias("protein_id"), *[F.lit("f").alias(c) for c in ("function", "location", "tissue_expression", "protein_source_system", "protein_data_source")])
+    master = s.where("s_suppkey % 5 = 0").select((F.col("s_suppkey") + 1000000).alias("entity_id"), F.col("s_suppkey").alias("protein_master_id"), F.col("s_name").alias("protein_id"), *[F.lit("f").alias(c) for c in ("function", "location", "tissue_expression", "protein_source_system", "protein_data_source")])
     iso = s.where("s_suppkey % 5 in (1, 2)").select((F.col("s_suppkey") + 1000000).alias("isoform_entity_id"), (F.col("s_suppkey") - F.col("s_suppkey") % 5 + 1000000).alias("canonical_entity_id"), F.col("s_name").alias("accession"))
-    pfam = table(spark, sf, "lineitem").where("l_suppkey % 5 = 0").select(F.col("l_suppkey").alias("protein_master_id"), F.concat(F.lit("PF"), (F.col("l_partkey") % 20).cast("string")).alias("pfam_id"), F.col("l_returnflag").alias("pfam_type"))
-    return K.run_report(g, "protein_annotations", s.select("s_name"), master=master, isoforms=iso, pfam=pfam)
+    pfam = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("protein_master_id"), F.concat(F.lit("PF"), (F.col("l_partkey") % 20).cast("string")).alias("pfam_id"), F.col("l_returnflag").alias("pfam_type"))
+    out = K.run_report(g, "protein_annotations", s.select("s_name"), master=master, isoforms=iso, pfam=pfam, max_pfam=4)
+    longs = [F.col(c).cast("long").alias(c) for c in ("entity_id", "canonical_entity_id", "protein_master_id", "isoform_count", "pfam_total_count")]
+    return out.select("input_value", *longs, "protein_id", "input_is_isoform", "input_isoform_accession", "function", "pfam_count_by_type", "pfam_ids_by_type", "status")
 
 
 @query(f"WITH {_A}, {_E}, {_NAMES}, {_ROLL} SELECT CASE WHEN id IS NULL THEN 'not_found' ELSE 'found' END AS status, count(*) AS rows FROM (SELECT DISTINCT trim(v) AS v FROM (SELECT unnest(string_split(v, ',')) AS v FROM ({_PATH_IN.replace('STRING', 'VARCHAR')}))) LEFT JOIN (SELECT DISTINCT alias_norm AS id FROM a WHERE type_id = 6) ON id = trim(regexp_replace(lower(v), '[-_/\\s]+', ' ', 'g')) GROUP BY 1")
@@ -149,12 +181,12 @@ def u1_get_or_create(spark, sf):
     return g.aliases.select("entity_id", "alias_value", "alias_norm")
 
 
-@query(f"WITH {_A}, n AS (SELECT s_suppkey + 1000000 AS entity_id, s_name || '-x' AS v FROM supplier UNION ALL SELECT s_suppkey + 1000000, 'ENSG-' || s_suppkey FROM supplier) SELECT entity_id, v AS alias_value FROM n WHERE (entity_id, v) NOT IN (SELECT entity_id, alias_value FROM a WHERE alias_type = 'code')")
+@query("SELECT (s_suppkey + 1000000)::BIGINT AS entity_id, upper(s_name) || ' x' AS alias_value, lower(s_name) || ' x' AS alias_norm, false AS is_primary, 'new' AS source FROM supplier")
 def u2_add_aliases(spark, sf):
+    """Of values with one normal form the least is taken (capitals come first), and a value that the entity has is left out."""
     g, s = graph(spark, sf), table(spark, sf, "supplier")
     new = s.select((F.col("s_suppkey") + 1000000).alias("entity_id"), F.lit(2).alias("type_id"), F.explode(F.array(F.concat("s_name", F.lit("-x")), F.concat(F.upper("s_name"), F.lit(" x")), F.concat(F.lit("ENSG-"), F.col("s_suppkey").cast("string")))).alias("alias_value"), F.lit("code").alias("alias_type"), F.lit("ENSEMBL").alias("xref_source"))
-    out = K.add_aliases(g, new, source="new").aliases.where("source = 'new'")
-    return out.select("entity_id", F.regexp_replace("alias_value", "^SUPPLIER(.*) x$", "Supplier$1-x").alias("alias_value"))
+    return K.add_aliases(g, new, source="new").aliases.where("source = 'new'").select(F.col("entity_id").cast("long").alias("entity_id"), "alias_value", "alias_norm", "is_primary", "source")
 
 
 @query("SELECT c_custkey AS entity_id, 'A' AS assembly, CASE WHEN c_acctbal < 0 THEN c_custkey * 2 ELSE c_custkey END AS start_position FROM customer")
