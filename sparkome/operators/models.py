@@ -19,9 +19,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.special import chi2_sf, norm_sf, t_two_sided
 from ..types import ASSOCIATION, INTERACTION, INTERACTION_TERMS, Genotypes, Phenotypes, RegressionResults, broadcast_if_small, is_numeric, number
+from .cells import cell_key, cells_of_keys, combined, design, linear_sums, logistic
 from .genotypes import dosage, encode
 
 MIN_N = 200
+#: Up to so many rows of a test are fitted in one task where sums over cells would take a pass for each step; beyond it none are.
+LOCAL_ROWS = 500_000
 
 
 @dataclass
@@ -201,40 +204,56 @@ def _vector(df: DataFrame, cols: list[str]) -> Column:
     return F.array(*[number(df, c) for c in cols]) if cols else F.array().cast("array<double>")
 
 
-def _solve_sums(k: int, min_n: int, positions: list[str]):
-    """From sums of products of z = (1, covariates, x, y): both fits of a linear test."""
+def _interval(b: float, se: float) -> dict:
+    return dict(beta=b, se=_ok(se), ci_low=_ok(b - 1.959963984540054 * se), ci_high=_ok(b + 1.959963984540054 * se))
+
+
+def _association_rows(outcome: str, variable: str, rows: int, kind: str, levels: list[str], full: Fit, null: Fit, report: bool) -> list[dict]:
+    """The rows of a test from its two fits: the tested columns are the last ones."""
+    df = len(full.beta) - len(null.beta)
+    shared = dict(outcome=outcome, n=rows, lrt_pvalue=_ok(_lrt(full, null, df)[1]), diff_aic=_ok(full.aic - null.aic), converged=bool(full.converged and null.converged))
+    term = lambda j, name, kind_: _row(**shared, variable=name, variable_type=kind_, **_interval(float(full.beta[j]), float(full.se[j])), beta_pvalue=_ok(full.p(j)))
+    if df == 1:
+        return [term(len(null.beta), variable, kind)]
+    out = [_row(**shared, variable=variable, variable_type=kind)]
+    return out + [term(len(null.beta) + j, f"{variable}_{v}", f"{kind}_dummy") for j, v in enumerate(levels)] if report else out
+
+
+def _sized(rows: int, min_n: int, columns: int) -> None:
+    if rows < min_n or rows < columns + 1:
+        raise ValueError(f"{rows} complete rows are too few")
+
+
+def _linear_fits(pdf: pd.DataFrame, maps: list[np.ndarray], small: int, width: int) -> tuple[Fit, Fit]:
+    """Both least-squares fits of a test from its cells' sums."""
+    xx, xy = combined(pdf, maps, width)
+    yy, n, fits = float(pdf["yy"].sum()), xx[0, 0], []
+    scale = np.sqrt(np.diag(xx))
+    if (scale <= 0).any() or np.linalg.cond(xx / np.outer(scale, scale)) > 1e13:
+        raise ValueError("the design matrix is singular")
+    for size in (len(xx), small):
+        d = np.outer(scale[:size], scale[:size])
+        inv = np.linalg.inv(xx[:size, :size] / d) / d
+        beta = inv @ xy[:size]
+        rss = max(0.0, float(yy - beta @ xy[:size]))
+        if n <= size:
+            raise ValueError("no degrees of freedom are left")
+        fits.append(Fit(beta, inv * rss / (n - size), _gaussian_llf(rss, n), n))
+    return fits[0], fits[1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                try:
-                    m = np.zeros((k + 3, k + 3))
-                    m[np.triu_indices(k + 3)] = r.m
-                    m = m + np.triu(m, 1).T
-                    n, rows_n = m[0, 0], int(r.rows)
-                    if rows_n < min_n or rows_n < k + 3:
-                        raise ValueError(f"{rows_n} complete rows are too few")
-                    xx, xy, yy = m[: k + 2, : k + 2], m[: k + 2, k + 2], m[k + 2, k + 2]
-                    if r.levels < 2:
-                        raise ValueError("the variable doesn't vary")
-                    d = np.sqrt(np.diag(xx))
-                    if (d <= 0).any() or np.linalg.cond(xx / np.outer(d, d)) > 1e13:
-                        raise ValueError("the design matrix is singular")
-                    inv = np.linalg.inv(xx / np.outer(d, d)) / np.outer(d, d)
-                    beta = inv @ xy
-                    rss = max(0.0, float(yy - beta @ xy))
-                    inv0 = np.linalg.inv(xx[: k + 1, : k + 1])
-                    rss0 = max(0.0, float(yy - xy[: k + 1] @ inv0 @ xy[: k + 1]))
-                    full = Fit(beta, inv * rss / (n - k - 2), _gaussian_llf(rss, n), n)
-                    null = Fit(beta[: k + 1], inv0, _gaussian_llf(rss0, n), n)
-                    b, s = float(beta[-1]), float(full.se[-1])
-                    rows.append(_row(outcome=r.outcome, variable=r.variable, variable_type="binary" if r.levels == 2 else "continuous", n=rows_n, beta=b, se=_ok(s), ci_low=_ok(b - 1.959963984540054 * s), ci_high=_ok(b + 1.959963984540054 * s), beta_pvalue=_ok(full.p(k + 1)), lrt_pvalue=_ok(_lrt(full, null, 1)[1]), diff_aic=_ok(full.aic - null.aic), converged=True))
-                except Exception as e:  # noqa: BLE001
-                    rows.append(_row(outcome=r.outcome, variable=r.variable, n=int(r.rows), error=f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=positions)
-
-    return run
+
+def _kind(pdf: pd.DataFrame, numeric: bool, levels: list[str]) -> str:
+    """binary, continuous or categorical; a variable that doesn't vary is an error. A number is binary if nothing lies between its ends."""
+    if not numeric:
+        if not levels:
+            raise ValueError("the variable doesn't vary")
+        return "binary" if len(levels) == 1 else "categorical"
+    lo, hi = pdf["lo"].min(), pdf["hi"].max()
+    if not lo < hi:
+        raise ValueError("the variable doesn't vary")
+    n, sx, sxx = (float(pdf[c].sum()) for c in ("rows", "sx", "sxx"))
+    between = (lo + hi) * sx - sxx - n * lo * hi  # the sum of (x - lo) (hi - x)
+    return "binary" if between <= 1e-9 * n * (hi - lo) ** 2 + 1e-12 * n * max(abs(lo), abs(hi)) ** 2 else "continuous"
 
 
 def sums_of_products(rows: DataFrame, keys: list[str], z: list[Column], weight: Column | None = None) -> DataFrame:
@@ -288,21 +307,23 @@ def association_study(phen: Phenotypes, outcomes: list[str] | None = None, regre
     long = long.where(F.col("y").isNotNull() & ~F.isnan("y")).withColumn("x", F.when(F.col("x") != "NaN", F.col("x")))
     k = len(covariates)
     names = [c.split()[0] for c in ASSOCIATION.split(", ")]
+    variables = list(regression_variables or phen.exposures)
+    numbers = dict.fromkeys(variables, numeric) if geno is not None else numeric_texts(df, variables)
+    by_cells = engine is fit_glm and not standardize_data and not (use_survey and phen.cluster)
+    small = base.limit(LOCAL_ROWS + 1).count() <= LOCAL_ROWS
+    cells_of = [o for o in outcomes if by_cells and (fam[o] == "linear" or not small)]
     parts = []
-    linear = [o for o in outcomes if fam[o] == "linear"]
-    by_sums = linear if numeric and engine is fit_glm and not standardize_data and not (use_survey and phen.cluster) else []
-    if by_sums:
-        rows = long.where(F.col("outcome").isin(by_sums) & F.col("x").isNotNull())
-        z = [F.lit(1.0), *[F.col("cov")[j] for j in range(k)], F.col("x").cast("double"), F.col("y")]
-        sums = sums_of_products(rows, ["outcome", "variable"], z, F.col("w") if use_survey else None)
-        # two distinct values tell a binary variable: the least, the greatest, and whether any lies between
-        x = F.col("x").cast("double")
-        ends = rows.groupBy("outcome", "variable").agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-        mid = rows.join(ends, ["outcome", "variable"]).groupBy("outcome", "variable").agg((1 + F.max((F.col("lo") < F.col("hi")).cast("int")) + F.max(((x > F.col("lo")) & (x < F.col("hi"))).cast("int"))).alias("levels"))
-        parts.append(sums.join(mid, ["outcome", "variable"]).mapInPandas(_solve_sums(k, min_n, names), ASSOCIATION))
-        tests = long.where(F.col("outcome").isin(by_sums)).groupBy("outcome", "variable").agg(F.count("x").alias("n")).where("n = 0")
+    if cells_of:
+        is_number = F.lit(numeric) if geno is not None else F.col("variable").isin([v for v, n in numbers.items() if n])
+        x = F.when(is_number, F.col("x").try_cast("double")).otherwise(0.0)
+        u = F.concat(F.array(F.lit(1.0)), F.col("cov"), F.array(x, F.lit(0.0), F.lit(0.0)))
+        rows = long.where(F.col("outcome").isin(cells_of) & F.col("x").isNotNull())
+        rows = rows.select("outcome", "variable", "y", "w", u.alias("u"), cell_key(is_number, F.col("x")).alias("a"), F.lit("").alias("b"))
+        of = lambda variable: numbers.get(variable, numeric)
+        parts += _association_cells(rows, [o for o in cells_of if fam[o] == "linear"], [o for o in cells_of if fam[o] != "linear"], k, of, min_n, use_survey, report_categorical_betas, names)
+        tests = long.where(F.col("outcome").isin(cells_of)).groupBy("outcome", "variable").agg(F.count("x").alias("n")).where("n = 0")
         parts.append(tests.select(*[F.col(c) if c in ("outcome", "variable", "n") else F.lit("ValueError: no complete rows").alias(c) if c == "error" else F.lit(False).alias(c) if c == "converged" else F.lit(None).alias(c) for c in names]))
-    if rest := [o for o in outcomes if o not in by_sums]:
+    if rest := [o for o in outcomes if o not in cells_of]:
         fit = lambda pdf: _fit_group(pdf, k, min_n, engine, standardize_data, report_categorical_betas)[names]
         parts.append(long.where(F.col("outcome").isin(rest)).groupBy("outcome", "variable").applyInPandas(fit, ASSOCIATION))
     out = parts[0]
@@ -311,6 +332,72 @@ def association_study(phen: Phenotypes, outcomes: list[str] | None = None, regre
     return RegressionResults(out, {"family": fam, "covariates": covariates, "min_n": min_n, "use_survey": use_survey})
 
 
+def numeric_texts(df: DataFrame, cols: list[str]) -> dict[str, bool]:
+    """For each column whether all its values are numbers, written as such or as texts."""
+    texts = [c for c in cols if not is_numeric(df, c)]
+    value = lambda c: F.col(f"`{c}`").cast("string")
+    row = df.agg(*[F.count_if(value(c).isNotNull() & value(c).try_cast("double").isNull()) for c in texts]).first() if texts else ()
+    return {c: True for c in cols} | {c: n == 0 for c, n in zip(texts, row, strict=True)}
+
+
+def _association_cells(rows: DataFrame, linear: list[str], logistic_: list[str], k: int, is_number: Callable[[str], bool], min_n: int, weighted: bool, report: bool, names: list[str]) -> list[DataFrame]:
+    """Results of tests from sums over cells, never from a test's rows in one place."""
+    width, out = k + 4, []
+
+    def plan(pdf: pd.DataFrame) -> tuple:
+        cells = cells_of_keys(pdf)
+        maps, small, levels = design(cells, k, is_number(pdf["variable"].iloc[0]))
+        kind = _kind(pdf, is_number(pdf["variable"].iloc[0]), levels[0])
+        _sized(int(pdf["rows"].sum()), min_n, len(maps[0]))
+        return maps, small, levels[0], kind
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        outcome, variable, n = pdf["outcome"].iloc[0], pdf["variable"].iloc[0], int(pdf["rows"].sum())
+        try:
+            maps, small, levels, kind = plan(pdf)
+            found = _association_rows(outcome, variable, n, kind, levels, *_linear_fits(pdf, maps, small, width), report)
+        except Exception as e:  # noqa: BLE001
+            found = [_row(outcome=outcome, variable=variable, n=n, error=f"{type(e).__name__}: {e}")]
+        return pd.DataFrame(found, columns=names)
+
+    if linear:
+        sums = linear_sums(rows.where(F.col("outcome").isin(linear)), ["outcome", "variable"], width, weighted)
+        out.append(sums.groupBy("outcome", "variable").applyInPandas(solve, ASSOCIATION))
+    if logistic_:
+        mine = rows.where(F.col("outcome").isin(logistic_))
+        fits = logistic(mine, "outcome string, variable string", width, lambda key, cells: design(cells, k, is_number(key["variable"]))[:2], weighted=weighted)
+        sums = linear_sums(mine, ["outcome", "variable"], width, weighted)
+
+        def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            outcome, variable, n = left["outcome"].iloc[0], left["variable"].iloc[0], int(left["rows"].sum())
+            try:
+                _, _, levels, kind = plan(left)
+                found = _association_rows(outcome, variable, n, kind, levels, *_settled(right), report)
+            except Exception as e:  # noqa: BLE001
+                found = [_row(outcome=outcome, variable=variable, n=n, error=str(e) if isinstance(e, _Failed) else f"{type(e).__name__}: {e}")]
+            return pd.DataFrame(found, columns=names)
+
+        keys = ["outcome", "variable"]
+        out.append(sums.groupBy(*keys).cogroup(fits.groupBy(*keys)).applyInPandas(finish, ASSOCIATION))
+    return out
+
+
+class _Failed(Exception):
+    """What a distributed fit says has gone wrong."""
+
+
+def _settled(fits: pd.DataFrame) -> tuple[Fit, Fit]:
+    """The full and the null fit from the rows of cells.logistic."""
+    out = []
+    for model in ("full", "null"):
+        r = fits[fits["model"] == model].iloc[0]
+        if r["status"] not in ("done", "unsettled"):
+            raise _Failed(r["status"])
+        beta = np.asarray(r["beta"], float)
+        out.append(Fit(beta, np.asarray(r["cov"], float).reshape(len(beta), -1), float(r["ll"]), float(r["n"]), r["status"] == "done"))
+    return out[0], out[1]
+
+
 def ewas(phen: Phenotypes, outcome: str, exposures: list[str] | None = None, covariates: list[str] | None = None, **options) -> RegressionResults:
     """One outcome against all exposures, in the older schema."""
     r = association_study(phen, [outcome], exposures, covariates=covariates, min_n=options.pop("min_n", 1), **options)
@@ -402,6 +489,19 @@ def lrt(phen: Phenotypes, outcome: str, full: list[str], nested: list[str], fami
 
         return sums_of_products(rows, [], z).mapInPandas(solve, schema)
 
+    if rows.limit(LOCAL_ROWS + 1).count() > LOCAL_ROWS:
+        u = F.concat(F.array(F.lit(1.0)), F.col("x"))
+        unit = np.eye(k + 1)
+        fits = logistic(rows.select("one", "y", u.alias("u"), F.lit("").alias("a"), F.lit("").alias("b")), "one int", k + 1, lambda _, cells: ([unit] * len(cells), k0 + 1))
+
+        def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+            a, b = _settled(pdf)
+            chi2, p = _lrt(a, b, k - k0)
+            check(int(a.n), chi2)
+            return pd.DataFrame([(chi2, k - k0, p, a.llf, b.llf, int(a.n))], columns=["chi2", "df", "p_value", "ll_full", "ll_nested", "n"])
+
+        return fits.groupBy("one").applyInPandas(settle, schema)
+
     def both(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.hstack([np.ones((len(pdf), 1)), np.array(pdf["x"].tolist(), float)])
         y = pdf["y"].to_numpy(float)
@@ -441,6 +541,15 @@ def interaction_study(phen: Phenotypes, outcomes: list[str] | None = None, inter
     long = rows.select("cov", F.inline("o"), "p").select("cov", "outcome", "family", "y", F.inline("p")).where(F.col("y").isNotNull() & ~F.isnan("y"))
     schema = INTERACTION_TERMS if report_betas else INTERACTION
     names = [c.split()[0] for c in schema.split(", ")]
+    small = rows.limit(LOCAL_ROWS + 1).count() <= LOCAL_ROWS
+    by_cells = [c for c in outcomes if fam[c] == "linear" or not small]
+    parts = []
+    if by_cells:
+        parts = _interaction_cells(long.where(F.col("outcome").isin(by_cells) & F.col("a").isNotNull() & F.col("b").isNotNull()), {c: fam[c] for c in by_cells}, k, numeric_texts(df, sorted({v for p in pairs for v in p})), min_n, names, schema, report_betas)
+        empty = long.where(F.col("outcome").isin(by_cells)).groupBy("outcome", "term1", "term2").agg(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("n")).where("n = 0")
+        told = {"error": F.lit("ValueError: 0 complete rows are too few"), "converged": F.lit(False)}
+        parts.append(empty.select(*[F.col(c) if c in empty.columns else told.get(c, F.lit(None)).alias(c) for c in names]))
+    local = [c for c in outcomes if c not in by_cells]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         base = dict.fromkeys(names) | {"outcome": pdf["outcome"].iloc[0], "term1": pdf["term1"].iloc[0], "term2": pdf["term2"].iloc[0], "converged": False}
@@ -468,4 +577,52 @@ def interaction_study(phen: Phenotypes, outcomes: list[str] | None = None, inter
             base |= {"n": int(len(pdf)), "error": f"{type(e).__name__}: {e}"}
         return pd.DataFrame([base], columns=names)
 
-    return RegressionResults(long.groupBy("outcome", "term1", "term2").applyInPandas(fit, schema), {"family": fam, "covariates": covariates})
+    if local:
+        parts.append(long.where(F.col("outcome").isin(local)).groupBy("outcome", "term1", "term2").applyInPandas(fit, schema))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return RegressionResults(out, {"family": fam, "covariates": covariates})
+
+
+def _interaction_cells(long: DataFrame, fam: dict[str, str], k: int, numbers: dict[str, bool], min_n: int, names: list[str], schema: str, report: bool) -> list[DataFrame]:
+    """Results of pairs from sums over cells of their levels."""
+    width, keys = k + 4, ["outcome", "term1", "term2"]
+    number = lambda term: F.col(term).isin([v for v, n in numbers.items() if n])
+    value = lambda c, term: F.when(number(term), F.col(c).try_cast("double")).otherwise(0.0)
+    u = F.concat(F.array(F.lit(1.0)), F.col("cov"), F.array(value("a", "term1"), value("b", "term2"), value("a", "term1") * value("b", "term2")))
+    level = lambda c, term: cell_key(number(term), F.col(c)).alias(c)
+    rows = long.select(*keys, "y", u.alias("u"), level("a", "term1"), level("b", "term2"))
+
+    def plan(one: str, two: str, cells: list) -> tuple:
+        return design(cells, k, numbers[one], numbers[two])
+
+    def answer(pdf: pd.DataFrame, fits: Callable) -> pd.DataFrame:
+        n = int(pdf["rows"].sum())
+        base = dict.fromkeys(names) | {c: pdf[c].iloc[0] for c in keys} | {"converged": False, "n": n}
+        try:
+            _sized(n, max(min_n, 1), 0)
+            maps, small, levels = plan(base["term1"], base["term2"], cells_of_keys(pdf))
+            _sized(n, 1, len(maps[0]))
+            full, null = fits(maps, small)
+            df = len(full.beta) - len(null.beta)
+            chi2, p = _lrt(full, null, df)
+            base |= {"lrt_chi2": _ok(chi2), "lrt_df": df, "lrt_pvalue": _ok(p), "diff_aic": _ok(full.aic - null.aic), "converged": bool(full.converged and null.converged)}
+            if report:
+                sides = [[t] if numbers[t] else [f"{t}_{v}" for v in lv] for t, lv in zip((base["term1"], base["term2"]), levels, strict=True)]
+                terms = [f"{x}:{y}" for x in sides[0] for y in sides[1]]
+                return pd.DataFrame([base | {"term": t, "term_beta": float(full.beta[small + j]), "term_se": _ok(full.se[small + j]), "term_beta_pvalue": _ok(full.p(small + j))} for j, t in enumerate(terms)], columns=names)
+        except Exception as e:  # noqa: BLE001
+            base |= {"error": str(e) if isinstance(e, _Failed) else f"{type(e).__name__}: {e}"}
+        return pd.DataFrame([base], columns=names)
+
+    out = []
+    if linear := [c for c, f in fam.items() if f == "linear"]:
+        sums = linear_sums(rows.where(F.col("outcome").isin(linear)), keys, width, False)
+        out.append(sums.groupBy(*keys).applyInPandas(lambda pdf: answer(pdf, lambda maps, small: _linear_fits(pdf, maps, small, width)), schema))
+    if others := [c for c, f in fam.items() if f != "linear"]:
+        mine = rows.where(F.col("outcome").isin(others))
+        fits = logistic(mine, "outcome string, term1 string, term2 string", width, lambda key, cells: plan(key["term1"], key["term2"], cells)[:2])
+        sums = linear_sums(mine, keys, width, False)
+        out.append(sums.groupBy(*keys).cogroup(fits.groupBy(*keys)).applyInPandas(lambda left, right: answer(left, lambda maps, small: _settled(right)), schema))
+    return out

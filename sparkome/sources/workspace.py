@@ -31,3 +31,10 @@ def write_lines(df: DataFrame, path: str) -> str:
     """The first column as lines of text."""
     df.select(df.columns[0]).write.text(path)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: df as a Parquet table in the shared folder, read back."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

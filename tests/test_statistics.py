@@ -183,3 +183,35 @@ def test_quantiles_and_transforms(spark):
         with pytest.raises(ValueError):
             call()
     assert M.transform(phen, "x", func=lambda s: s * 2).df.where("x = 0.5").first().x_transformed == 1.0
+
+
+def test_fits_over_cells_equal_fits_of_rows(spark, monkeypatch):
+    """Logistic studies, interactions and likelihood ratios by Newton steps over all rows, against each test's rows in one place."""
+    r = np.random.default_rng(3)
+    n = 1200
+    x, z, g, h = r.normal(size=n), r.normal(size=n), r.choice(["", "a", "b"], n), r.choice(["u", "v"], n)
+    y = (r.random(n) < 1 / (1 + np.exp(-(0.4 * x - 0.3 * z + 0.5 * (g == "b") + 0.3 * x * (h == "v"))))).astype(int)
+    rows = [(k, int(y[k]), float(x[k]), None if k % 50 == 0 else float(z[k]), g[k], h[k], float(k % 2), 1.0 + k % 3, 1.0) for k in range(n)]
+    df = spark.createDataFrame(rows, "sample_id int, y int, x double, z double, g string, h string, bin double, w double, one double")
+    p = Phenotypes(df, outcomes=["y"], covariates=["z"], exposures=["x", "g", "bin", "one"], weights="w")
+    pairs = [("x", "bin"), ("x", "g"), ("g", "x"), ("g", "h")]
+    calls = [
+        lambda: A.association_study(p, min_n=20, report_categorical_betas=True).df,
+        lambda: A.association_study(p, min_n=20, use_survey=True).df,
+        lambda: A.interaction_study(p, interactions=pairs, min_n=20, report_betas=True).df,
+        lambda: A.interaction_study(p, interactions=pairs, min_n=20, family="linear").df,
+        lambda: A.lrt(p, "y", ["x", "z", "bin"], ["z"]),
+    ]
+    local = [sorted(c().collect(), key=str) for c in calls]
+    monkeypatch.setattr(A, "LOCAL_ROWS", 0)
+    for call, want in zip(calls, local, strict=True):
+        got = sorted(call().collect(), key=str)
+        assert len(got) == len(want) > 0
+        for a, b in zip(got, want, strict=True):
+            for c in a.asDict():
+                if isinstance(b[c], float):
+                    assert a[c] == pytest.approx(b[c], rel=1e-5, abs=1e-6), c
+                elif c != "error":
+                    assert a[c] == b[c], c
+            assert ("error" not in a.asDict()) or (a["error"] is None) == (b["error"] is None)
+    assert {x["variable"] for x in local[0] if x["error"]} == {"one"}
