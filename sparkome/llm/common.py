@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -38,13 +41,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a Parquet table in the shared folder and read it back."""
+    """Cut the lineage: write df as a Parquet table in the shared folder and read it back. Within scratch() it is removed at the end."""
     path = new_path(df.sparkSession, name)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within are removed when it ends, whether it ends well or not."""
+    before = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get() or []
+        _made.reset(before)
+        for path in made:
+            remove(spark, path)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives as a written table, without the tables that it was made from."""
+    with scratch(spark):
+        df = make()
+        path = new_path(spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Rows of ids that are sent to every task; more of them are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import col, held_out, small, stratified, uniform, written
+from .common import col, held_out, scratch, small, stratified, uniform, written
 from .toxicity import logistic
 
 #: Buckets of hashed words' endings and of hashed sources.
@@ -360,6 +360,11 @@ def fit(rows: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col
     quarter, and a third only calibrates. All rows without a label are the pool that the views hand over from. Labels other than 0 and
     1, and null ids, are left out; an id with both labels teaches both.
     """
+    with scratch(rows.sparkSession):
+        return _fit(rows, labels, id_col, label_col, max_rows, options)
+
+
+def _fit(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_rows: int, options: dict) -> Model:
     known = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull()).select(col(id_col).cast("long").alias("doc_id"), col(label_col).cast("int").alias("__y")).distinct()
     train = known.where(~held_out(F.col("doc_id")))
     many = {r[0]: r[1] for r in train.groupBy("__y").count().collect()}

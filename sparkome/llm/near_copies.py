@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import col, release, small, written
+from .common import col, release, settled, small, written
 from .simhash import components, keep_one
 
 BANDS, ROWS = 32, 5
@@ -181,7 +181,11 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float,
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """doc_id, node, root of every row: rows with equal roots are one component."""
+    """doc_id, node, root of every row, as a written table: rows with equal roots are one component."""
+    return settled(docs.sparkSession, "grouped", lambda: _grouped(docs, id_col, text_col, shingle, similarity, block_nodes))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, block_nodes: int) -> DataFrame:
     texts = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     named = texts.select("doc_id", F.xxhash64("text").alias("hash"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
     rows = written(named.mapInArrow(_describe(shingle), "doc_id long, hash long, node long, bands array<long>, size long"), "bands")
@@ -201,7 +205,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     copies of each other. A null id is no component's id unless all ids of its component are null. Repeated rows are
     in one component; an empty table gives an empty one; other columns are not read.
     """
-    found = written(grouped(docs, id_col, text_col, shingle, similarity, block_nodes), "grouped")
+    found = grouped(docs, id_col, text_col, shingle, similarity, block_nodes)
     ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return found.join(ids, "root").select("doc_id", "component_id")
 
@@ -213,5 +217,5 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     has the smallest hash, so that a repeated id never costs a text that has no copy. Rows equal in both count
     once. Null and empty texts are copies of each other; an empty table gives an empty one.
     """
-    found = written(grouped(docs, id_col, text_col, shingle, similarity, block_nodes), "grouped")
+    found = grouped(docs, id_col, text_col, shingle, similarity, block_nodes)
     return keep_one(docs, found, lambda text: node_of(shingles(text, shingle)), id_col=id_col, text_col=text_col)

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import col, new_path, packed, remove, small, written
+from .common import col, packed, remove, settled, small, written
 
 BLOCKS = ((0, 23), (23, 23), (46, 18))
 #: The generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the Golay code.
@@ -268,13 +268,11 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        path = new_path(spark, "links")
-        small.write.option("compression", "zstd").parquet(path)
-        after = spark.read.schema(now.schema).parquet(path)
+        after = written(small, "links")
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if kept:
             remove(spark, kept[0].rpartition("/")[0])
-        now, kept = after, [f"{path}/x"]
+        now, kept = after, after.inputFiles()[:1]
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
@@ -299,7 +297,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Null and empty texts have fingerprint 0 and link like any other. A null id is no component's
     id unless all ids of its component are null. Repeated rows are in one component; an empty table gives an empty one; other columns are not read.
     """
-    found = written(_grouped(docs, id_col, text_col, threshold, shingle), "grouped")
+    found = settled(docs.sparkSession, "grouped", lambda: _grouped(docs, id_col, text_col, threshold, shingle))
     ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return found.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -341,5 +339,5 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     smallest fingerprint, so that a repeated id never costs a text that has no near-duplicate. Rows equal in both count
     once. Null and empty texts are copies of each other; an empty table gives an empty one.
     """
-    found = written(_grouped(docs, id_col, text_col, threshold, shingle), "grouped")
+    found = settled(docs.sparkSession, "grouped", lambda: _grouped(docs, id_col, text_col, threshold, shingle))
     return keep_one(docs, found, lambda text: int(np.uint64(fingerprint(text, shingle)).astype(np.int64)), id_col=id_col, text_col=text_col)

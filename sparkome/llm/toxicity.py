@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import col, held_out, small, stratified, written
+from .common import col, held_out, scratch, small, stratified, written
 from .near_copies import grouped
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -187,6 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     the weights that classes have among all such rows. Labels other than 0 and 1, and null ids, are left out; a null text
     has no token. No toxic or no clean text, or nothing that tells them apart: a model that scores all about 0.
     """
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, id_col, text_col, label_col, max_rows, prior, least_z, least_texts, gap, vocabulary)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, prior: float, least_z: float, least_texts: int, gap: int, vocabulary: int) -> Model:
     known = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull() & ~held_out(col(id_col))).select(col(id_col).cast("long").alias("id"), col(label_col).cast("int").alias("y")).distinct()
     known = written(known, "toxic-labels")
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
