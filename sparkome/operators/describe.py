@@ -7,9 +7,12 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.special import kendall_tau_b, norm_sf
+from ..plans.ids import average_ranks
 from ..types import Phenotypes, corr, is_numeric, number
 
 CV_LIMIT, ZERO_MEAN_STD, FENCE = 1e-3, 1e-9, 1.5
+#: Cells that a crosstab may have.
+MAX_CELLS = 1_000_000
 
 
 def resolve(phen: Phenotypes, cols: list[str] | None, *, with_id: bool = False) -> list[str]:
@@ -137,15 +140,11 @@ def missing_report(phen: Phenotypes, cols: list[str] | None = None) -> DataFrame
     return out.select("column", "n_missing", F.bround(100.0 * F.col("n_missing") / F.col("n"), 2).alias("missing_pct")).orderBy(F.desc("missing_pct"), "column")
 
 
-def _average_rank(col: str, partition: list[str]) -> Column:
-    return F.rank().over(Window.partitionBy(*partition).orderBy(col)) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, col)) - 1) / 2
-
-
 def correlations(phen: Phenotypes, cols: list[str] | None = None, method: str = "pearson") -> DataFrame:
     """var1, var2, n, score of every pair of numeric columns, each over the rows where both are present.
 
-    Pearson is one aggregate for all pairs. Ranks (spearman, kendall) depend on the pair's complete rows, so the
-    pairs are laid out as groups.
+    Pearson is one aggregate for all pairs. Ranks depend on the pair's complete rows, so pairs are laid out as
+    groups: spearman ranks them over range partitions; kendall counts exchanges of a pair's rows in one task.
     """
     names = [c for c in resolve(phen, cols) if is_numeric(phen.df, c)]
     pairs = list(itertools.combinations(names, 2))
@@ -157,7 +156,7 @@ def correlations(phen: Phenotypes, cols: list[str] | None = None, method: str =
     long = phen.df.select(F.inline(F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), number(phen.df, a).alias("x"), number(phen.df, b).alias("y")) for a, b in pairs]))).where("x is not null and y is not null")
     keys = ["var1", "var2"]
     if method == "spearman":
-        ranked = long.withColumn("rx", _average_rank("x", keys)).withColumn("ry", _average_rank("y", keys))
+        ranked = long.join(average_ranks(long, keys, "x", "rx"), [*keys, "x"]).join(average_ranks(long, keys, "y", "ry"), [*keys, "y"])
         return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), corr(F.col("rx"), F.col("ry")).alias("score"))
     if method != "kendall":
         raise ValueError(f"unknown method {method!r}")
@@ -190,7 +189,10 @@ def crosstab(phen: Phenotypes, var1: str, var2: str, *, normalize: bool | str =
     if dropna:
         df = df.na.drop()
     counts = df.groupBy("var1", "var2").agg(F.count(F.lit(1)).alias("count"))
-    # a pair of levels that doesn't occur counts 0: levels are few, rows many
+    # a pair of levels that doesn't occur counts 0, so levels must be few
+    n_one, n_two = counts.agg(F.count_distinct("var1"), F.count_distinct("var2")).first()
+    if n_one * n_two > MAX_CELLS:
+        raise ValueError(f"{n_one} times {n_two} levels are more than {MAX_CELLS} cells")
     one, two = counts.select(F.col("var1").alias("a")).distinct(), counts.select(F.col("var2").alias("b")).distinct()
     grid = one.join(F.broadcast(two))
     counts = grid.join(counts, F.col("a").eqNullSafe(F.col("var1")) & F.col("b").eqNullSafe(F.col("var2")), "left").select(F.col("a").alias("var1"), F.col("b").alias("var2"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))

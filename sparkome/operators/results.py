@@ -53,17 +53,28 @@ def corrected(df: DataFrame, p: str, method: str = "fdr_bh", by: list[str] | Non
 
 
 def _corrected_all(df: DataFrame, p: str, method: str, out: str) -> DataFrame:
-    """All rows as one family: ranks and running extremes over range partitions, so that no task holds them all."""
-    m = float(df.agg(F.count(p)).first()[0])
-    x = F.col(p)
-    if method in ("bonferroni", "sidak"):
-        return df.withColumn(out, F.when(x.isNotNull(), F.least(F.lit(1.0), x * m) if method == "bonferroni" else 1 - F.pow(1 - x, F.lit(m))))
-    rows = numbered(df.where(x.isNotNull()), [p], "__rank", part="__range")
-    scale = sum(1.0 / k for k in range(1, int(m) + 1)) if method == "fdr_by" else 1.0
-    value = x * (m - F.col("__rank") + 1) if method == "holm" else x * m / F.col("__rank") * scale
-    rows = running(rows.withColumn("__v", value), "__v", out, rank="__rank", part="__range", largest=method == "holm")
-    rows = rows.withColumn(out, F.least(F.lit(1.0), F.col(out))).drop("__rank", "__range", "__v")
-    return rows.select(*df.columns, out).unionByName(df.where(x.isNull()).withColumn(out, F.lit(None).cast("double")))
+    return corrections(df, p, {method: out})
+
+
+def corrections(df: DataFrame, p: str, names: dict[str, str]) -> DataFrame:
+    """df with a column for each method of names, over all rows as one family: the p-values are ranked once, by
+    range partitions, and running extremes cross partitions by one number each, so that no task holds all rows. Missing ones stay missing.
+    """
+    if unknown := [m for m in names if m not in METHODS or m == "hommel"]:
+        raise ValueError(f"not for one family of all rows: {unknown}")
+    x, m = F.col(p), float(df.agg(F.count(p)).first()[0])
+    made = {"bonferroni": F.least(F.lit(1.0), x * m), "sidak": 1 - F.pow(1 - x, F.lit(m))}
+    rows = df.where(x.isNotNull())
+    if {"fdr_bh", "fdr_by", "holm"} & set(names):
+        rows = numbered(rows, [p], "__rank", part="__range")
+        if {"fdr_bh", "fdr_by"} & set(names):
+            rows = running(rows.withColumn("__v", x * m / F.col("__rank")), "__v", "__step_up", rank="__rank", part="__range", largest=False)
+        if "holm" in names:
+            rows = running(rows.withColumn("__v", x * (m - F.col("__rank") + 1)), "__v", "__step_down", rank="__rank", part="__range", largest=True)
+        # the factor of fdr_by is one for all ranks
+        made |= {"fdr_bh": F.least(F.lit(1.0), F.col("__step_up")), "fdr_by": F.least(F.lit(1.0), F.col("__step_up") * sum(1.0 / k for k in range(1, int(m) + 1))), "holm": F.least(F.lit(1.0), F.col("__step_down"))}
+    found = rows.select(*[F.col(f"`{c}`") for c in df.columns], *[made[method].alias(out) for method, out in names.items()])
+    return found.unionByName(df.where(x.isNull()).select("*", *[F.lit(None).cast("double").alias(out) for out in names.values()]))
 
 
 def with_correction(results: RegressionResults, method: str = "fdr_bh", groupby: list[str] | None = None) -> RegressionResults:

@@ -248,7 +248,7 @@ def n1_normalize(spark, sf):
     SELECT CAST(doc_id AS VARCHAR) AS record_id, w AS matched, count(*) AS mentions, CASE WHEN length(w) % 5 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN length(w) % 5 = 0 THEN 'pending' ELSE 'auto' END AS review_status FROM d JOIN t USING (w) GROUP BY ALL""")
 def n4_n7_best_match(spark, sf):
     docs = table(spark, sf, "documents")
-    m = N.resolve_mentions(docs, _token_graph(spark, sf), id_col="doc_id", text_col="text", stopwords=frozenset(), min_length=4)
+    m = N.resolve_mentions(docs, _token_graph(spark, sf), id_col="doc_id", text_col="text", stopwords=frozenset(), min_length=4, context=None)
     return m.groupBy("record_id", "matched").agg(F.count(F.lit(1)).alias("mentions"), F.max("confidence").alias("confidence"), F.max("review_status").alias("review_status"))
 
 

@@ -53,3 +53,23 @@ def running(df: DataFrame, value: str, out: str, *, rank: str, part: str, larges
     w = Window.partitionBy(part).orderBy(F.asc(rank) if largest else F.desc(rank)).rowsBetween(Window.unboundedPreceding, 0)
     best = (F.greatest if largest else F.least)(f(value).over(w), F.col("__beyond"))
     return df.join(beyond, part).withColumn(out, best).drop("__beyond")
+
+
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys, value, name: the average rank of each distinct value among the rows of its keys.
+
+    Counts of values are sorted by range over all tasks, and sums cross ranges by a number for each key and range, so that no task holds a key's rows.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counts.repartitionByRange(parts, *keys, value).withColumn("__part", F.spark_partition_id()).persist()
+    before, total = [], {}
+    for *key, part, n in sorted(ranged.groupBy(*keys, "__part").agg(F.sum("__c")).collect(), key=lambda r: (r["__part"], *map(str, r))):
+        before.append((*key, part, total.get(tuple(key), 0)))
+        total[tuple(key)] = total.get(tuple(key), 0) + n
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in ranged.dtypes if k in keys), "__part int", "__before long"])
+    if not before:
+        return counts.select(*keys, value, F.lit(None).cast("double").alias(name))
+    run = F.sum("__c").over(Window.partitionBy(*keys, "__part").orderBy(value)) - F.col("__c")
+    ranks = ranged.withColumn("__less", run).join(F.broadcast(df.sparkSession.createDataFrame(before, schema)), [*keys, "__part"])
+    return ranks.select(*keys, value, (F.col("__before") + F.col("__less") + (F.col("__c") + 1) / 2).alias(name))

@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import normalized, normalized_ascii
+from ..sources.workspace import written
+from ..types import broadcast_if_small
 from .ids import numbered
 
 # The entity types and their domains.
@@ -207,10 +209,11 @@ def directed(kg: KnowledgeGraph) -> DataFrame:
     return out.unionByName(back)
 
 
-def rollup(kg: KnowledgeGraph) -> DataFrame:
-    """entity_id, entity_relationships_by_group ("Type:count; ..." by type), total_entity_relationships."""
+def rollup(kg: KnowledgeGraph, ids: DataFrame | None = None) -> DataFrame:
+    """entity_id, entity_relationships_by_group ("Type:count; ..." by type), total_entity_relationships; of the entities in ids alone if given."""
     types = F.broadcast(kg.entity_types.select(F.col("type_id").alias("other_type_id"), "name"))
-    n = directed(kg).join(types, "other_type_id", "left").groupBy("entity_id", F.coalesce("name", F.lit("Unknown")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    edges = directed(kg) if ids is None else directed(kg).join(ids, "entity_id", "left_semi")
+    n = edges.join(types, "other_type_id", "left").groupBy("entity_id", F.coalesce("name", F.lit("Unknown")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     text = F.transform(F.array_sort(F.collect_list(F.struct("name", "n"))), lambda x: F.concat(x["name"], F.lit(":"), x["n"].cast("string")))
     return n.groupBy("entity_id").agg(F.array_join(text, "; ").alias("entity_relationships_by_group"), F.sum("n").alias("total_entity_relationships"))
 
@@ -241,16 +244,16 @@ _TAIL = ("entity_relationships_by_group", "total_entity_relationships", "other_a
 _HEAD = ("input_value", "input_matched_alias", "entity_id")
 
 
-def first_xref(kg: KnowledgeGraph, source: str, name: str) -> DataFrame:
-    a = kg.aliases.where((F.col("xref_source") == source) & F.col("is_active"))
-    return a.groupBy("entity_id").agg(F.min_by("alias_value", "alias_id").alias(name))
+def first_xrefs(kg: KnowledgeGraph, names: dict[str, str]) -> DataFrame:
+    """entity_id and, for each source of names, its first alias by id: one pass over the aliases."""
+    a = kg.aliases.where(F.col("xref_source").isin(list(names)) & F.col("is_active"))
+    return a.groupBy("entity_id").agg(*[F.min_by(F.when(F.col("xref_source") == source, F.col("alias_value")), F.when(F.col("xref_source") == source, F.col("alias_id"))).alias(name) for source, name in names.items()])
 
 
 def _genes(kg: KnowledgeGraph, rows: DataFrame, o: dict) -> DataFrame:
     m = o["master"].select("entity_id", F.col("symbol").alias("gene_symbol"), "hgnc_status", F.col("locus_group").alias("gene_locus_group"), F.col("locus_type").alias("gene_locus_type"), F.array_join(F.array_sort("groups"), "; ").alias("gene_groups"))
     rows = rows.join(m, "entity_id", "left")
-    for source, name in (("HGNC", "hgnc_id"), ("ENSEMBL", "ensembl_id"), ("NCBI", "entrez_id")):
-        rows = rows.join(first_xref(kg, source, name), "entity_id", "left")
+    rows = rows.join(first_xrefs(kg, {"HGNC": "hgnc_id", "ENSEMBL": "ensembl_id", "NCBI": "entrez_id"}), "entity_id", "left")
     place = kg.locations.where(F.col("assembly") == o.get("assembly", "GRCh38.p14")).select("entity_id", "assembly", F.col("chromosome").cast("string").alias("chromosome"), "start_position", "end_position", "strand")
     return rows.join(place, "entity_id", "left")
 
@@ -338,7 +341,7 @@ def run_report(kg: KnowledgeGraph, name: str, inputs: DataFrame | None = None, *
     """
     if name not in REPORTS:
         raise ValueError(f"unknown report {name!r}; there are {list_reports()}")
-    spec = REPORTS[name]
+    spec, ids = REPORTS[name], None
     wanted = list(columns or spec.columns)
     if bad := [c for c in wanted if c not in spec.columns]:
         raise ValueError(f"{name} has no columns {bad}")
@@ -350,9 +353,13 @@ def run_report(kg: KnowledgeGraph, name: str, inputs: DataFrame | None = None, *
         norm = F.lower("input_value") if strict else normalized_ascii(F.col("input_value")) if ascii_inputs else normalized(F.col("input_value"))
         first = mine.groupBy(F.col("alias_norm").alias("__norm")).agg(F.min(F.struct("alias_id", "entity_id", "alias_value")).alias("a"))
         rows = values.withColumn("__norm", norm).join(first, "__norm", "left").select("input_value", F.col("a.alias_value").alias("input_matched_alias"), F.col("a.entity_id").alias("entity_id"))
+        # what follows needs the edges and aliases of the entities that were found alone
+        rows = written(rows, "report-rows")
+        ids = broadcast_if_small(rows.select("entity_id").where("entity_id is not null").distinct())
+        kg = replace(kg, aliases=kg.aliases.join(ids, "entity_id", "left_semi"))
     rows = spec.fill(kg, rows, options)
     if include_relationships:
-        rows = _zero(rows.join(rollup(kg), "entity_id", "left"), ("total_entity_relationships",))
+        rows = _zero(rows.join(rollup(kg, ids), "entity_id", "left"), ("total_entity_relationships",))
     if include_aliases:
         known = [c for c in ("input_matched_alias", "gene_symbol", "hgnc_id", "ensembl_id", "entrez_id", "disease_id", "mondo_id", "omim_id", "mesh_id", "label", "go_id", "go_name", "pathway_id", "pathway_name", "protein_id") if c in rows.columns]
         rows = other_aliases(rows, kg, known)

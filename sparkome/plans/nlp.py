@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import normalize
+from ..sources.snapshot import exists
+from ..sources.workspace import folder, written
 from ..types import broadcast_if_small
 from .kg import KnowledgeGraph, add_relationships, canonical
 
 # Names too common in text to be mentions.
-STOPWORDS = frozenset(
-    "disease factor protein gene cell human type system patient study level case group role form site size name code value data set "
-    "test result rate time year day age sex model method process function pathway complex the and with for from into this that "
-    "these those any all such more most less very many some than then out off".split()
-)
+STOPWORDS = frozenset((
+    "disease", "factor", "protein", "gene", "cell", "human", "type", "system", "patient", "study", "level", "case", "group", "role", "form", "site", "size", "name", "code", "value", "data", "set",
+    "test", "result", "rate", "time", "year", "day", "age", "sex", "model", "method", "process", "function", "pathway", "complex", "the", "and", "with", "for", "from", "into", "this", "that",
+    "these", "those", "any", "all", "such", "more", "most", "less", "very", "many", "some", "than", "then", "out", "off",
+))
 MIN_LENGTH, AUTO, MAX_ENTITIES = 3, 0.9, 20
-#: The dictionary is sent to executors only up to so many names; beyond it, names are joined to the words of texts.
-MAX_BROADCAST = 5_000_000
+#: Bytes of names that one automaton holds; a larger dictionary is cut into as many parts, each of which reads the texts once.
+PART_BYTES = 64 << 20
 MATCHES = "record_id string, field string, start int, stop int, matched string, context string, alias_id long, alias_value string, entity_id long, type_id int, is_primary boolean, alias_type string"
 
 
@@ -83,64 +87,77 @@ def _spans(text: str, automaton) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def scan(records: DataFrame, names: DataFrame, *, id_col: str, text_col: str, context: int = 50) -> DataFrame:
-    """record_id, start, stop, matched, context: every occurrence of a name in the normalized text.
+@functools.lru_cache(maxsize=1)
+def _automaton(path: str):
+    """The automaton of the names in a Parquet folder, built once in each worker; None without names."""
+    import ahocorasick
+    import pyarrow.dataset as ds
+    import pyarrow.fs as pafs
+
+    fs, place = pafs.FileSystem.from_uri(path if "://" in path else re.sub("^(file:)?/+", "file:///", path))
+    names = ds.dataset(place, filesystem=fs, format="parquet").to_table(columns=["alias_norm"]).column(0).to_pylist()
+    automaton = ahocorasick.Automaton()
+    for n in names:
+        automaton.add_word(n, n)
+    automaton.make_automaton()
+    return automaton if names else None
+
+
+def _scan(path: str, context: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows if automaton else 0, 512):
+                records, starts, stops, names, around = [], [], [], [], []
+                part = batch.slice(at, 512)
+                for record, raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    text = normalize(raw)
+                    for a, b, name in _spans(text, automaton):
+                        records.append(record)
+                        starts.append(a)
+                        stops.append(b)
+                        names.append(name)
+                        if context is not None:
+                            around.append(text[max(0, a - context) : b + 1 + context])
+                cols = [pa.array(records, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(names, pa.string())]
+                cols.append(pa.array(around, pa.string()) if context is not None else pa.nulls(len(records), pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, ["record_id", "start", "stop", "matched", "context"])
+
+    return run
+
 
-    Up to MAX_BROADCAST names an automaton in each worker reads a text once. More names than that are joined
-    to the words of the texts by the name's first word, then compared in place.
+def scan(records: DataFrame, names: DataFrame, *, id_col: str, text_col: str, context: int | None = 50) -> DataFrame:
+    """record_id, start, stop, matched, context: every occurrence of a name in the normalized text; context None leaves that column empty.
+
+    The names are written to the shared folder in parts of at most PART_BYTES, and each worker builds a part's automaton
+    once, so that neither the driver nor a task ever holds more of the dictionary; a text is read once for each part.
     """
     distinct = names.select("alias_norm").where("alias_norm != ''").distinct()
     spark = records.sparkSession
+    size = distinct.agg(F.sum(F.octet_length("alias_norm"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    path = folder(spark, "names")
+    distinct.withColumn("part", F.pmod(F.xxhash64("alias_norm"), F.lit(parts)).cast("int")).repartition(parts, "part").write.partitionBy("part").parquet(path)
     if records.rdd.getNumPartitions() < 2 * spark.sparkContext.defaultParallelism:
         records = records.repartition(2 * spark.sparkContext.defaultParallelism)  # a few large files: the scan is worth a shuffle
     rows = records.select(F.col(f"`{id_col}`").cast("string").alias("record_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("trim(text) != ''")
     schema = "record_id string, start int, stop int, matched string, context string"
-    if distinct.count() <= MAX_BROADCAST:
-        shared = spark.sparkContext.broadcast([r[0] for r in distinct.collect()])
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for n in shared.value:
-                automaton.add_word(n, n)
-            if shared.value:
-                automaton.make_automaton()
-            for pdf in batches:
-                out = []
-                for record, raw in pdf.itertuples(index=False):
-                    text = normalize(raw)
-                    for a, b, name in _spans(text, automaton) if shared.value else ():
-                        out.append((record, a, b, name, text[max(0, a - context) : b + 1 + context]))
-                yield pd.DataFrame(out, columns=["record_id", "start", "stop", "matched", "context"])
-
-        return rows.mapInPandas(run, schema)
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        for pdf in batches:
-            out = []
-            for record, raw in pdf.itertuples(index=False):
-                text = normalize(raw)
-                out += [(record, m.start(), m.group().lower(), text[m.start() : m.start() + 1000], text[max(0, m.start() - context) : m.start()], text[m.start() - 1] if m.start() else " ") for m in re.finditer(r"\w+|[^\w\s]", text)]
-            yield pd.DataFrame(out, columns=["record_id", "start", "word", "tail", "before", "left"])
-
-    begun = rows.mapInPandas(words, "record_id string, start int, word string, tail string, before string, left string")
-    keyed = distinct.withColumn("word", F.regexp_extract("alias_norm", r"^([\p{L}\p{N}_]+|.)", 1))
-    hit = begun.join(keyed, "word").where(F.expr("startswith(tail, alias_norm)"))
-    edge = F.substring(F.col("tail"), F.length("alias_norm") + 1, F.lit(1))
-    hit = hit.where(~edge.rlike(r"^[\p{L}\p{N}]") & ~F.col("left").rlike(r"^[\p{L}\p{N}]"))
-    return hit.select("record_id", "start", (F.col("start") + F.length("alias_norm") - 1).alias("stop"), F.col("alias_norm").alias("matched"), F.concat("before", F.substring(F.col("tail"), F.lit(1), F.length("alias_norm") + context)).alias("context"))
+    out = None
+    for k in range(parts):
+        place = f"{path}/part={k}"
+        if exists(spark, place):
+            one = rows.mapInArrow(_scan(place, context), schema)
+            out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
-def resolve_mentions(records: DataFrame, kg: KnowledgeGraph, *, id_col: str = "record_id", text_col: str = "text", mode: str = "best_match", threshold: float = AUTO, names: DataFrame | None = None, **options) -> DataFrame:
+def resolve_mentions(records: DataFrame, kg: KnowledgeGraph, *, id_col: str = "record_id", text_col: str = "text", mode: str = "best_match", threshold: float = AUTO, names: DataFrame | None = None, context: int | None = 50, **options) -> DataFrame:
     """One row for each span and entity: confidence is one over the entities that share the name; best aliases are preferred names, then synonyms, then codes.
 
     The names are those of `names`, a dictionary that was kept, or of the graph as the options say. best_match keeps the first entity of a span, all_candidates all, smart the first where its confidence reaches the threshold.
     """
-    names = (names if names is not None else dictionary(kg, **options)).persist()
-    spans = scan(records, names, id_col=id_col, text_col=text_col)
+    names = names if names is not None else written(dictionary(kg, **options), "dictionary")
+    spans = scan(records, names, id_col=id_col, text_col=text_col, context=context)
     priority: Column = F.when(F.col("alias_type") == "preferred", 0).when(F.col("alias_type") == "synonym", 1).when(F.col("alias_type") == "code", 2).otherwise(3)
     best = names.withColumn("__p", priority).groupBy("alias_norm", "entity_id").agg(F.min(F.struct("__p", "alias_id", "alias_value", "alias_type", "type_id", "primary_name")).alias("a"))
     shared = best.groupBy("alias_norm").agg(F.count(F.lit(1)).alias("__n"))

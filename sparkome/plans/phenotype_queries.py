@@ -478,9 +478,7 @@ _PV = f"pv AS ({PVALUES.replace('STRING', 'VARCHAR')})"
       round(least(1.0, min(p_value * m / k * (SELECT sum(1.0 / i)::DOUBLE FROM range(1, (SELECT count(p_value) FROM pv) + 1) t(i))) OVER (ORDER BY k DESC)), 8) AS fdr_by, round(least(1.0, max(p_value * (m - k + 1)) OVER (ORDER BY k)), 8) AS holm FROM r
     UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL FROM pv WHERE p_value IS NULL""")
 def a11_corrections(spark, sf):
-    df = p_values(spark, sf)
-    for m in ("bonferroni", "sidak", "fdr_bh", "fdr_by", "holm"):
-        df = R.corrected(df, "p_value", m, out=m)
+    df = R.corrections(p_values(spark, sf), "p_value", {m: m for m in ("bonferroni", "sidak", "fdr_bh", "fdr_by", "holm")})
     return _rounded(df.select("id", "bonferroni", "sidak", "fdr_bh", "fdr_by", "holm"), 8)
 
 

@@ -76,10 +76,10 @@ def test_reports(spark, graph):
             call()
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("limit", [10**6, 5])
 def test_mentions(spark, graph, limit, monkeypatch):
-    """By automaton and by joined first words alike."""
-    monkeypatch.setattr(N, "MAX_BROADCAST", limit)
+    """By one automaton and by many alike."""
+    monkeypatch.setattr(N, "PART_BYTES", limit)
     docs = spark.createDataFrame([("a", "BRCA1 and brca1a; Shared-NAME. naive fever!"), ("b", ""), ("c", None), ("d", "the shared name aspirin")], "record_id string, text string")
     every = N.resolve_mentions(docs, graph, mode="all_candidates")
     assert rows(every, "record_id", "matched", "entity_id", "confidence") == [("a", "brca1", 10, 1.0), ("a", "naive fever", 30, 1.0), ("a", "shared name", 11, 0.5), ("a", "shared name", 20, 0.5), ("d", "aspirin", 20, 1.0), ("d", "shared name", 11, 0.5), ("d", "shared name", 20, 0.5)]
