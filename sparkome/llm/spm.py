@@ -24,7 +24,9 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+from .common import col
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -455,7 +457,7 @@ def _rows(f: Callable[[str | None], tuple], names: list[str], kinds: list[pa.Dat
 
 
 def _in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -473,7 +475,7 @@ def decode(encoded: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_c
     def one(ids: list[int] | None) -> tuple:
         return (None if ids is None else pieces(model_path).decode(ids),)
 
-    rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    rows = encoded.select(col(id_col).cast("long").alias("doc_id"), col(ids_col).cast("array<int>").alias("ids"))
     return rows.mapInArrow(_rows(one, ["text"], [pa.string()]), "doc_id long, text string")
 
 

@@ -67,6 +67,25 @@ def test_word_ids_are_the_tokenizers(tokenizer, texts):
         assert np.frombuffer(enc.ids(t), enc.dtype).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_tokenizers_that_span_white_space_encode_whole_texts(tmp_path):
+    """A pattern that takes a leading space along must not be cut into words."""
+    from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
+
+    chars = packing._byte_chars()
+    vocab = {c: k for k, c in enumerate(dict.fromkeys(chars))}
+    space = chars[32]
+    vocab |= {f"{space}a": len(vocab), "ab": len(vocab) + 1}
+    for pattern, by_word in ((r"\s?\p{L}+|[^\s\p{L}]+|\s+", False), (r"\p{L}+|[^\s\p{L}]+", True)):
+        t = Tokenizer(models.BPE(vocab=vocab, merges=[(space, "a"), ("a", "b")]))
+        t.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex("\u0000"), " "), normalizers.Lowercase()])
+        t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "removed", invert=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        t.save(str(tmp_path / f"{by_word}.json"))
+        enc = packing.WordEncoder(str(tmp_path / f"{by_word}.json"))
+        assert enc.by_word == by_word
+        for text in ("ab ab a", "a, ab. A\n\nb x", ""):
+            assert np.frombuffer(enc.ids(text), enc.dtype).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_is_whole_and_gapless(docs, tokenizer, texts):
     rows = packing.pack(docs, vocabulary("word_bpe_49k.json"), window=256, shard_units=16).collect()
     ids = {k: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
@@ -230,6 +249,8 @@ def test_vocabulary_without_byte_fallback_joins_unknowns():
 
 def test_sentencepiece_frames(docs, empty, texts):
     path = vocabulary("piece_bpe_32k.model")
+    dotted = docs.select(F.col("doc_id").alias("doc.id"), F.col("text").alias("the text"))
+    assert token_counts.token_counts(dotted, path, id_col="doc.id", text_col="the text").count() == docs.count()
     rows = spm.round_trip(docs, path).collect()
     assert len(rows) == len(texts) + 1 and all(r.decoded_same for r in rows)
     counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, path).collect()}
