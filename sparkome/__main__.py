@@ -1,4 +1,4 @@
-"""Command line: list and explain reports, run one over a snapshot, verify and describe a snapshot, run a query of the catalog."""
+"""Command line: list and explain reports, run one over a snapshot; verify, describe and copy a snapshot, keep its dictionary of names; states of loads; run a query of the catalog."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .plans import catalog, kg
+from .plans import catalog, kg, nlp
+from .plans.etl import framework
 from .sources import snapshot, tables
 
 
@@ -17,6 +18,13 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("explain").add_argument("name")
     sub.add_parser("verify").add_argument("path")
     sub.add_parser("info").add_argument("path")
+    copy = sub.add_parser("download")
+    copy.add_argument("path")
+    copy.add_argument("target")
+    names = sub.add_parser("dictionary")
+    names.add_argument("path")
+    names.add_argument("--overwrite", action="store_true")
+    sub.add_parser("status").add_argument("folder", help="the folder of a manager of loads")
     rep = sub.add_parser("report")
     rep.add_argument("name")
     rep.add_argument("path", help="a snapshot with the graph's tables and the report's own (master, isoforms, pfam, go_relations)")
@@ -44,6 +52,17 @@ def main(argv: list[str] | None = None) -> int:
         for name, df in snapshot.open_snapshot(spark, a.path).items():
             print(f"{name}\t{df.count()}\t{', '.join(df.columns)}")
         return 0
+    if a.command == "download":
+        print(f"{snapshot.download(spark, a.path, a.target)} files copied")
+        return 0
+    if a.command == "dictionary":
+        t = snapshot.open_snapshot(spark, a.path)
+        graph = kg.KnowledgeGraph(*[t[n] for n in ("entity_types", "entities", "aliases", "relationships", "locations")])
+        nlp.save_dictionary(spark, a.path, nlp.dictionary(graph), nlp.version(graph), a.overwrite)
+        return 0
+    if a.command == "status":
+        framework.Manager(spark, a.folder).status().show(200, truncate=False)
+        return 0
     if a.command == "report":
         t = snapshot.open_snapshot(spark, a.path)
         graph = kg.KnowledgeGraph(*[t[n] for n in ("entity_types", "entities", "aliases", "relationships", "locations")])

@@ -9,6 +9,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.special import norm_ppf
+from ..sources.workspace import written
 from ..types import Genotypes, Phenotypes, is_numeric, number
 from .describe import exact_quantiles, long_form, resolve
 
@@ -100,7 +101,7 @@ def rank_int(df: DataFrame, x: Column, target: str) -> DataFrame:
     values = df.select(x.alias("__x")).where("__x is not null").groupBy("__x").agg(F.count(F.lit(1)).alias("__c"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = values.repartitionByRange(parts, "__x").withColumn("__p", F.spark_partition_id())
-    ranged = ranged.sortWithinPartitions("__x").persist()
+    ranged = written(ranged.sortWithinPartitions("__x"), "ranged")
     sums = {r[0]: r[1] for r in ranged.groupBy("__p").agg(F.sum("__c")).collect()}  # a row for each partition
     before, total = [], 0
     for p in sorted(sums):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ...functions.text import chromosome, chromosome_label, normalized_ascii
+from ...sources.workspace import written
 from .formats import attribute, edges_of, obo, text, texts, tsv, xml
 
 Frames = dict[str, DataFrame]
@@ -46,7 +47,7 @@ UNICHEM_WANTED = (7, 18, 33, 2, 34, 4, 14, 38, 49)
 UNICHEM_NAMES = {1: "ChEMBL", 2: "DrugBank", 3: "RCSB-PDB", 4: "GtoPdb", 5: "PDBe", 7: "ChEBI", 14: "FDA-SRS", 15: "SureChEMBL", 18: "HMDB", 22: "PubChem", 24: "NMRShiftDB", 28: "MolPort", 31: "BindingDB", 32: "CompTox", 33: "LipidMaps", 34: "DrugCentral", 37: "Brenda", 38: "Rhea", 41: "SwissLipids", 46: "ClinicalTrials", 49: "ProbesAndDrugs", 50: "CCDC"}
 # Which alias sources put a chemical in a group, and amino acids by name.
 GROUP_SOURCES = {"Lipid": ("LipidMaps", "LIPID MAPS", "SwissLipids"), "Drug": ("DrugBank", "DrugCentral", "GtoPdb", "ProbesAndDrugs", "FDA-SRS"), "Pollutant": ("CompTox",), "Metabolite": ("HMDB",)}
-AMINO_ACIDS = "alanine,arginine,asparagine,aspartic acid,cysteine,glutamic acid,glutamine,glycine,histidine,isoleucine,leucine,lysine,methionine,phenylalanine,proline,serine,threonine,tryptophan,tyrosine,valine".split(",")
+AMINO_ACIDS = ("alanine", "arginine", "asparagine", "aspartic acid", "cysteine", "glutamic acid", "glutamine", "glycine", "histidine", "isoleucine", "leucine", "lysine", "methionine", "phenylalanine", "proline", "serine", "threonine", "tryptophan", "tyrosine", "valine")
 # Roots of the role classes.
 ROLE_ROOTS = {"Hormone": 24621, "Toxin": 27026, "Nutrient": 33284, "Vitamin": 33229}
 GO_RELATIONS = ("part_of", "regulates", "positively_regulates", "negatively_regulates")
@@ -103,7 +104,8 @@ def protein_uniprot(spark: SparkSession, path: str) -> Frames:
     d = xml(spark, path, "entry").where(F.expr("xpath_boolean(x, 'entry/organism/dbReference[@type=\"NCBI Taxonomy\" and @id=\"9606\"]')"))
     comment = lambda kind: F.concat_ws(" ", texts(f'entry/comment[@type="{kind}"]/text'))
     refs = lambda kind: F.expr(f"xpath(x, 'entry/dbReference[@type=\"{kind}\"]/@id')")
-    d = d.select(text("entry/accession").alias("protein_id"), texts("entry/accession").alias("accessions"), text("entry/name").alias("name"), text("entry/protein/recommendedName/fullName").alias("full_name"), comment("function").alias("function"), F.concat_ws("; ", texts('entry/comment[@type="subcellular location"]/subcellularLocation/location')).alias("location"), comment("tissue specificity").alias("tissue_expression"), texts("entry/comment/isoform/id").alias("isoforms"), refs("Pfam").alias("pfam_ids"), *[refs(k).alias(k) for k in ("HGNC", "GO", "KEGG", "RefSeq")]).persist()
+    d = d.select(text("entry/accession").alias("protein_id"), texts("entry/accession").alias("accessions"), text("entry/name").alias("name"), text("entry/protein/recommendedName/fullName").alias("full_name"), comment("function").alias("function"), F.concat_ws("; ", texts('entry/comment[@type="subcellular location"]/subcellularLocation/location')).alias("location"), comment("tissue specificity").alias("tissue_expression"), texts("entry/comment/isoform/id").alias("isoforms"), refs("Pfam").alias("pfam_ids"), *[refs(k).alias(k) for k in ("HGNC", "GO", "KEGG", "RefSeq")])
+    d = written(d, "proteins")
     kinds = (("HGNC", "encodes", "Genes"), ("GO", "part_of", "Gene Ontology"), ("KEGG", "in_pathway", "Pathways"), ("RefSeq", "has_transcript", "Transcriptomics"))
 
     def target(relation: str, kind: str):
@@ -161,7 +163,7 @@ def disease_mesh(spark: SparkSession, path: str) -> Frames:
 
 @program
 def go(spark: SparkSession, path: str) -> Frames:
-    t = obo(spark, path).where("id is not null").persist()
+    t = written(obo(spark, path).where("id is not null"), "terms")
     master = t.select(F.col("id").alias("go_id"), "name", _map(F.col("namespace"), GO_NAMESPACES, F.col("namespace")).alias("namespace"), "definition", "synonyms", "alt_ids")
     return {"master": master, "relations": edges_of(t, GO_RELATIONS)}
 
@@ -191,7 +193,7 @@ def pathway_kegg(spark: SparkSession, path: str) -> Frames:
 
 @program
 def phenotype_hpo(spark: SparkSession, path: str, root: str = "HP:0000001") -> Frames:
-    t = obo(spark, path).where(F.col("id").startswith("HP:") & (F.col("id") != root)).persist()
+    t = written(obo(spark, path).where(F.col("id").startswith("HP:") & (F.col("id") != root)), "terms")
     e = edges_of(t, ("part_of",)).where(F.col("parent").startswith("HP:") & (F.col("parent") != root))
     return {"master": t.select(F.col("id").alias("hpo_id"), "name", "definition", "synonyms", "alt_ids", "xrefs"), "relations": e}
 
@@ -313,7 +315,7 @@ ABSTRACT_SUBSETS = ("upper_level", "non_informative", "early_development")
 
 @program
 def anatomy_uberon(spark: SparkSession, path: str, level_subsets: dict[str, str] | None = None) -> Frames:
-    t = obo(spark, path).where(F.col("id").startswith("UBERON:") & ~F.arrays_overlap("subsets", F.array(*[F.lit(s) for s in ABSTRACT_SUBSETS]))).persist()
+    t = written(obo(spark, path).where(F.col("id").startswith("UBERON:") & ~F.arrays_overlap("subsets", F.array(*[F.lit(s) for s in ABSTRACT_SUBSETS]))), "terms")
     name = F.lower("name")
     level = None
     for s, v in (level_subsets or LEVEL_SUBSETS).items():

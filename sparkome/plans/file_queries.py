@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import struct
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import code
 from ..operators import genotypes as G
-from ..sources import genotypes as GF, snapshot, tables
+from ..sources import arrays, genotypes as GF, snapshot, tables
 from ..sources.workspace import folder, write_lines, write_tsv
 from . import kg as K, nlp as N
 from .domain import braced, sql, table
@@ -140,9 +143,46 @@ def s5_read_vcf(spark, sf):
     return G.encode(GF.read_vcf(spark, _vcf(spark, sf), f"{folder(spark, 'vcf')}-store")).select("variant_id", "sample_id", "x")
 
 
+def _zarr(spark: SparkSession, n: int, r: int) -> str:
+    """A store in the layout of VCF Zarr: genotypes by Zstandard in chunks that don't divide the table, texts by zlib or as they are."""
+    import zlib
+
+    import zstandard
+
+    path = folder(spark, "zarr")
+
+    def put(name: str, a: np.ndarray, chunks: tuple[int, ...], codec: str | None = None) -> None:
+        words = a.dtype == object
+        meta = {"zarr_format": 2, "shape": a.shape, "chunks": chunks, "dtype": "|O" if words else a.dtype.str, "order": "C", "fill_value": "" if words else 0, "compressor": {"id": codec} if codec else None, "filters": [{"id": "vlen-utf8"}] if words else None}
+        _put(spark, f"{path}/{name}/.zarray", json.dumps(meta).encode())
+        for at in itertools.product(*[range(-(-size // c)) for size, c in zip(a.shape, chunks, strict=True)]):
+            part = np.full(chunks, meta["fill_value"], a.dtype)
+            piece = a[tuple(slice(k * c, (k + 1) * c) for k, c in zip(at, chunks, strict=True))]
+            part[tuple(slice(0, size) for size in piece.shape)] = piece
+            raw = len(part.ravel()).to_bytes(4, "little") + b"".join(len(x.encode()).to_bytes(4, "little") + x.encode() for x in part.ravel()) if words else part.tobytes()
+            _put(spark, f"{path}/{name}/{'.'.join(map(str, at))}", zstandard.compress(raw) if codec == "zstd" else zlib.compress(raw) if codec else raw)
+
+    dose = (np.arange(n)[:, None] * 3 + np.arange(r)[None, :] * 5) % 4
+    alleles = np.array([[0, 0], [0, 1], [1, 1], [-1, -1]], np.int8)
+    put("call_genotype", alleles[dose], (7, 2, 2), "zstd")
+    put("variant_position", np.arange(n, dtype=np.int32) * 10, (7,), "zlib")
+    put("variant_contig", (np.arange(n) % 22).astype(np.int8), (7,))
+    put("variant_id", np.array([f"rs{k}" for k in range(n)], object), (7,), "zlib")
+    put("variant_allele", np.array([["A", "G", ""]] * n, object), (7, 3))
+    put("contig_id", np.array([str(k + 1) for k in range(22)], object), (22,))
+    put("sample_id", np.array([f"S{k}" for k in range(r)], "<U8"), (r,))
+    return path
+
+
+@query(f"SELECT d.*, (n_nationkey % 22 + 1)::VARCHAR AS contig, (n_nationkey * 10)::BIGINT AS position, 'G' AS alt FROM ({_READ}) d JOIN nation ON variant_id = 'rs' || n_nationkey")
+def s6_read_zarr(spark, sf):
+    g = arrays.read_zarr(spark, _zarr(spark, *(table(spark, sf, t).count() for t in ("nation", "region"))))
+    return G.encode(g).join(g.listing(), "variant_id").select("variant_id", "sample_id", "x", "contig", "position", "alt")
+
+
 @query("SELECT 'rs' || n_nationkey AS variant_id, (n_nationkey % 22 + 1)::VARCHAR AS contig, (n_nationkey * 10)::BIGINT AS position, 'A' AS ref, 'G' AS alt FROM nation")
 def s6_genotype_store(spark, sf):
-    """The store that stands in for dense arrays: written from a VCF, opened again, its listing of variants."""
+    """The Parquet store: written from a VCF, opened again, its listing of variants."""
     path = folder(spark, "store")
     GF.write_genotypes(GF.read_vcf(spark, _vcf(spark, sf)), path)
     return GF.read_genotypes(spark, path).listing()

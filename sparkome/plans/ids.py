@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.workspace import written
+
 
 def numbered(df: DataFrame, order: list[str], name: str, start: int = 1, part: str | None = None) -> DataFrame:
     """df with consecutive numbers from `start` in the order of `order` (which must tell rows apart for the numbers to be reproducible).
 
-    Rows are dealt by range; each range is numbered by itself and shifted by the sizes before it, so no task sorts all rows. With `part`, the number of the range stays as a column of that name.
+    Rows are dealt by range; each range is numbered by itself and shifted by the sizes before it, so no task sorts all rows; the ranges are a written table, so that they are the same if an executor is lost. With `part`, the number of the range stays as a column of that name.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).persist()
+    ranged = written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranged")
     sizes = sorted(ranged.groupBy("__part").agg(F.count(F.lit(1))).collect())
     shifts, total = [], start - 1
     for at, n in sizes:
@@ -62,7 +64,7 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> Data
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(parts, *keys, value).withColumn("__part", F.spark_partition_id()).persist()
+    ranged = written(counts.repartitionByRange(parts, *keys, value).withColumn("__part", F.spark_partition_id()), "ranged")
     before, total = [], {}
     for *key, part, n in sorted(ranged.groupBy(*keys, "__part").agg(F.sum("__c")).collect(), key=lambda r: (r["__part"], *map(str, r))):
         before.append((*key, part, total.get(tuple(key), 0)))

@@ -188,10 +188,10 @@ def descendants(edges: DataFrame, roots: DataFrame, most_rounds: int = 100) -> D
     spark = edges.sparkSession
     found = roots.select(F.col("root"), F.col("root").alias("node")).distinct()
     new = found
-    down = edges.select(F.col("parent").alias("node"), F.col("child")).distinct().persist()
+    down = written(edges.select(F.col("parent").alias("node"), F.col("child")).distinct(), "edges")
     for _ in range(most_rounds):
         step = new.join(down, "node").select("root", F.col("child").alias("node")).distinct()
-        new = step.join(found, ["root", "node"], "left_anti").checkpoint() if spark.sparkContext.getCheckpointDir() else step.join(found, ["root", "node"], "left_anti").persist()
+        new = written(step.join(found, ["root", "node"], "left_anti"), "level")
         if new.isEmpty():
             return found
         found = found.unionByName(new)

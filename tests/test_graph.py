@@ -283,4 +283,7 @@ def test_command_line(spark, tmp_path, graph, capsys):
     assert rows(spark.read.option("header", True).csv(str(tmp_path / "out")), "input_value", "status") == [("TP53", "found"), ("brca1", "found")]
     assert main(["reports"]) == 0 and main(["explain", "go_annotations"]) == 0 and main(["verify", str(tmp_path / "s")]) == 0 and main(["info", str(tmp_path / "s")]) == 0
     assert "gene_annotations" in capsys.readouterr().out
+    assert main(["download", str(tmp_path / "s"), str(tmp_path / "copy")]) == 0 and main(["verify", str(tmp_path / "copy")]) == 0
+    assert main(["dictionary", str(tmp_path / "copy")]) == 0 and N.load_dictionary(spark, str(tmp_path / "copy"), graph).count() > 0
+    assert main(["status", str(tmp_path / "loads")]) == 0
     assert main(["query", "d3_missing_report", "/root/testdata/sf0.001"]) == 0
