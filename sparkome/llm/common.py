@@ -96,11 +96,9 @@ def remove(spark: SparkSession, path: str) -> None:
 def release() -> None:
     """Give back what earlier tasks of a reused worker have freed: allocators keep it otherwise, and stages add up."""
     import ctypes
-    import gc
 
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
