@@ -158,7 +158,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     asked = of(queries).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     sample = np.array([r[1] for r in sampled(rows, "id", sample_rows).collect()], np.float64)
     if centroids is None:
-        centroids = max(32, min(1 << round(math.log2(max(2, sizes_of[0][1])) / 2 - 2), len(sample) // 16))
+        centroids = max(32, min(1 << max(0, round(math.log2(sizes_of[0][1]) / 2 - 2)), len(sample) // 16))
     index = learn(sample, centroids=centroids, recall=recall, neighbours=neighbours)
     shared = spark.sparkContext.broadcast(index)
 
