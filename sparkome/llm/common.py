@@ -93,12 +93,23 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_released = [-1]
+
+
 def release() -> None:
-    """Give back what earlier tasks of a reused worker have freed: allocators keep it otherwise, and stages add up."""
+    """Give back what earlier stages have left in a reused worker, once in each stage: allocators keep it otherwise, and stages add up."""
     import ctypes
+    import gc
 
     import pyarrow as pa
-
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    stage = context.stageId() if context else -1
+    if stage == _released[0]:
+        return
+    _released[0] = stage
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
