@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -34,7 +34,10 @@ def write_lines(df: DataFrame, path: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: df as a Parquet table in the shared folder, read back."""
+    """Cut the lineage: df as a Parquet table in the shared folder, read back. Columns without a type, which files can't hold, are put back as they were."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    kept = [c for c, t in df.dtypes if t != "void"]
+    df.select(*[named(c) for c in kept]).write.parquet(path)
+    back = df.sparkSession.read.schema(df.select(*[named(c) for c in kept]).schema).parquet(path)
+    return back.select(*[named(c) if t != "void" else F.lit(None).alias(c) for c, t in df.dtypes]) if len(kept) < len(df.columns) else back

@@ -215,3 +215,9 @@ def test_fits_over_cells_equal_fits_of_rows(spark, monkeypatch):
                     assert a[c] == b[c], c
             assert ("error" not in a.asDict()) or (a["error"] is None) == (b["error"] is None)
     assert {x["variable"] for x in local[0] if x["error"]} == {"one"}
+
+
+def test_corrections_of_tables_with_untyped_columns(spark):
+    df = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, None)], "id int, p double").withColumns({"none": F.lit(None), "a b": F.lit(1)})
+    got = {r.id: r.q for r in R.corrected(df, "p", "fdr_bh", out="q").collect()}
+    assert got == {1: pytest.approx(0.02), 2: pytest.approx(0.04), 3: None}
