@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles have a similarity of 0.8 or more: that with the smallest id, null ids last.
 
-    It goes by rows, not ids: texts that share an id are told apart, and rows equal in id and shingles count once.
+    Operator 5 proposes candidates, MinHash bands those beyond its reach, and exact sets decide. It goes by rows, not ids: texts that share an id are told apart, and rows equal in id and shingles count once.
     """
     return near_copies.keep_first(docs, shingle=5, similarity=0.8)
 

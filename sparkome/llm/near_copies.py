@@ -1,10 +1,9 @@
-"""Near-copies of whole texts for the pipeline's near-dedup: shingles of five words, candidates by banded MinHash, then the exact similarity of the shingle sets.
+"""Near-copies of whole texts for the pipeline's near-dedup: operator 5 on shingles of five words, helped by banded MinHash, then the exact similarity of the shingle sets.
 
-SimHash fingerprints can't tell these links (texts of similarity 0.8 differ in about 10 of 64 bits, where
-covering anchors meet nearly everything), so the stage takes MinHash for candidates; README has the figures.
-
-Texts with equal sets are one node. A node has 32 bands of 5 MinHash values; nodes that share a band may be
-near, and a pair of similarity 0.8 shares none with a probability of (1 - 0.8^5)^32, 3 in a million. What bands connect
+Texts with equal sets are one node. Candidates are, first, what operator 5 links: SimHash fingerprints of the sets that its
+covering anchors bring together. Fingerprints can't tell the rest (texts of similarity 0.8 differ in about 10 of 64 bits, where
+anchors would meet nearly everything; README has the figures), so nodes also have 32 bands of 5 MinHash values, and those that share a
+band may be near: a pair of similarity 0.8 shares none with a probability of (1 - 0.8^5)^32, 3 in a million. What candidates connect
 is a cluster. A cluster's texts meet in blocks of bounded size, where each pair of near sketches that isn't
 connected yet has its sets compared, so that a group of copies gives a spanning forest and never its pairs. Clusters of more
 than a block are compared block by block: first each with itself, then the nodes that still share a band with
@@ -21,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import col, release, settled, small, written
-from .simhash import components, keep_one
+from .simhash import components, keep_one, links as anchor_links, majority
 
 BANDS, ROWS = 32, 5
 #: MinHash values of 160 that must agree before sets are compared: at similarity 0.8, 128 are expected with a deviation of 5, so 104 is over four of them below.
@@ -70,7 +69,8 @@ def _describe(shingle: int):
                 low = np.array([minima(s) for s in sets]).reshape(-1, BANDS, ROWS)
                 bands = np.array([[xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(x)] for x in low], np.uint64)
                 listed = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([node_of(s) for s in sets], pa.int64()), listed, part.column(3)], ["doc_id", "hash", "node", "bands", "size"])
+                fp = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([node_of(s) for s in sets], pa.int64()), fp, listed, part.column(3)], ["doc_id", "hash", "node", "fp", "bands", "size"])
 
     return run
 
@@ -152,13 +152,22 @@ def _blocks(placed: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return dealt.mapInArrow(_compare(shingle, similarity), "a long, b long")
 
 
+def _anchored(nodes: DataFrame, threshold: int = 2) -> DataFrame:
+    """a, b: candidates that operator 5 gives, a tree for each group: nodes of one fingerprint, and fingerprints that differ in at most `threshold` bits."""
+    first = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = nodes.select("node", "fp").join(first, "fp").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    one, two = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in ("a", "b"))
+    near = anchor_links(first.select("fp"), threshold=threshold).join(one, "a").join(two, "b")
+    return same.unionByName(near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+
+
 def _links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, block_nodes: int) -> DataFrame:
-    """Links that connect all pairs of nodes (columns node, least, hash, size, bands) that are near."""
+    """Links that connect all pairs of nodes (columns node, least, hash, size, fp, bands) that are near."""
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(shared.select("bucket", "first"), "shared")
     stars = buckets.join(small(shared), "bucket").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    star = components(stars)
+    star = components(stars.unionByName(_anchored(nodes)))
     cluster = star.select("node", F.col("root").alias("cluster")).unionByName(star.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
     placed = cluster.join(nodes.select("node", "least", "hash", "size"), "node")
     deal = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_nodes), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("parts"))
@@ -188,10 +197,10 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, simil
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, block_nodes: int) -> DataFrame:
     texts = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     named = texts.select("doc_id", F.xxhash64("text").alias("hash"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    rows = written(named.mapInArrow(_describe(shingle), "doc_id long, hash long, node long, bands array<long>, size long"), "bands")
+    rows = written(named.mapInArrow(_describe(shingle), "doc_id long, hash long, node long, fp long, bands array<long>, size long"), "bands")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("hash")))
-    nodes = rows.groupBy("node").agg(first.alias("f"), F.max("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = written(nodes.select("node", F.col("f.doc_id").alias("least"), F.col("f.hash").alias("hash"), "size", "bands"), "nodes")
+    nodes = rows.groupBy("node").agg(first.alias("f"), F.max("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select("node", F.col("f.doc_id").alias("least"), F.col("f.hash").alias("hash"), "size", "fp", "bands"), "nodes")
     stars = components(_links(nodes, texts, shingle, similarity, block_nodes))
     found = nodes.select("node").join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return rows.select("doc_id", "node").join(found, "node")

@@ -44,12 +44,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     else:
         start, stop = start[:1], stop[-1:]
     h = xxhash.xxh64_intdigest
-    count, n = np.zeros(64, np.int64), len(start)
-    for at in range(0, n, 1 << 15):
-        spans = zip(start[at : at + (1 << 15)].tolist(), stop[at : at + (1 << 15)].tolist(), strict=True)
-        hashes = np.array([h(joined[a:b], seed) for a, b in spans], "<u8")
-        count += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << k for k in np.flatnonzero(2 * count > n).tolist()))
+    return majority(np.array([h(joined[a:b], seed) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        count += np.unpackbits(hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(sum(1 << k for k in np.flatnonzero(2 * count > len(hashes)).tolist()))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
