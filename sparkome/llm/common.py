@@ -44,12 +44,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 _made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back. Within scratch() it is removed at the end."""
     path = new_path(df.sparkSession, name)
     if (made := _made.get()) is not None:
         made.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
