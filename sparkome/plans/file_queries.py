@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import itertools
 import json
+import os
+import shutil
 import struct
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import code
@@ -218,13 +223,37 @@ def k4_snapshot_download(spark, sf):
     return df.select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("value"), F.lit(not snapshot.verify(spark, target)).alias("verified"), F.lit(first > 0).alias("copied"), F.lit(again).cast("long").alias("copied_again"))
 
 
+def _derby(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """URL of a Derby database whose only table is df, a key and a text. It lies in the shared folder as an archive: such a database is read only, and driver and executors may open it at once."""
+    jvm = spark._jvm
+    connect = lambda url: jvm.org.apache.derby.iapi.jdbc.AutoloadedDriver().connect(url, jvm.java.util.Properties())
+    shared = jvm.org.apache.hadoop.fs.Path(f"{folder(spark, 'db')}.jar")
+    if shared.toUri().getScheme() not in (None, "file"):
+        raise ValueError(f"Derby opens files only, not {shared.toString()}")
+    key, text = df.columns
+    with tempfile.TemporaryDirectory() as made:
+        own = os.path.realpath(made)
+        db = connect(f"jdbc:derby:{own}/db;create=true")
+        with open(f"{own}/rows.csv", "w", encoding="utf-8", newline="") as f:
+            csv.writer(f, quoting=csv.QUOTE_NOTNULL).writerows(df.toLocalIterator())
+        db.createStatement().execute(f'CREATE TABLE {name} ("{key}" BIGINT, "{text}" CLOB)')
+        db.createStatement().execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{name.upper()}', '{own}/rows.csv', NULL, NULL, 'UTF-8', 0)")
+        db.close()
+        try:
+            connect(f"jdbc:derby:{own}/db;shutdown=true")
+        except Py4JJavaError as closed:
+            if closed.java_exception.getSQLState() != "08006":  # how Derby says that it has shut down
+                raise
+        with open(shutil.make_archive(f"{own}/db", "zip", own, "db"), "rb") as f:
+            _put(spark, shared.toString(), f.read())
+    return f"jdbc:derby:jar:({shared.toUri().getPath()})db"
+
+
 @query("SELECT n_nationkey::BIGINT AS key, n_name AS name FROM nation")
 def s9_sql_source(spark, sf):
     """Through JDBC, by the database that comes with Spark."""
-    url = f"jdbc:derby:memory:{folder(spark, 'db').rpartition('/')[2]};create=true"
-    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    table(spark, sf, "nation").select("n_nationkey", "n_name").write.format("jdbc").option("url", url).option("dbtable", "nation").options(**driver).save()
-    return tables.read_sql(spark, url, "nation", key="n_nationkey", parts=3, **driver).select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"))
+    url = _derby(spark, table(spark, sf, "nation").select("n_nationkey", "n_name"), "nation")
+    return tables.read_sql(spark, url, "nation", key="n_nationkey", parts=3, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"))
 
 
 @query("SELECT s_name AS id FROM supplier")

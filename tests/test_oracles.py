@@ -25,6 +25,28 @@ def test_query(spark, con, name):
     assert (diff := oracle.difference(con, SQL[name], QUERIES[name](spark, SF))) is None, diff
 
 
+def test_sql_source_with_executors_of_their_own(con, tmp_path):
+    """In a cluster, the driver's memory isn't the executors'."""
+    import pyspark
+
+    home = tmp_path / "home"  # executors work below it
+    home.mkdir()
+    for p in Path(pyspark.__file__).parent.iterdir():
+        (home / p.name).symlink_to(p)
+    code = f"""
+from pyspark.sql import SparkSession
+from sparkome.plans import catalog
+conf = {{"spark.master": "local-cluster[2,1,512]", "spark.executor.memory": "512m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": "file://{tmp_path}/shared"}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+catalog.queries()["s9_sql_source"](spark, "{SF}").write.parquet("{tmp_path}/out")
+"""
+    env = {**os.environ, "PYTHONPATH": str(Path(__file__).resolve().parent.parent), "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env, timeout=300)
+    assert out.returncode == 0, out.stderr[-4000:]
+    got = con.execute(f"SELECT key, name FROM '{tmp_path}/out/*.parquet' ORDER BY ALL").fetchall()
+    assert got == con.execute(f"SELECT * FROM ({SQL['s9_sql_source']}) ORDER BY ALL").fetchall() != []
+
+
 @pytest.mark.parametrize("gone", [("sparkome/llm",), ("sparkome/llm", "corpus_pipeline.py")])
 def test_entry_points_without_the_optional_parts(gone, tmp_path):
     """A copy of the repository without them still loads, with the library's own queries."""
