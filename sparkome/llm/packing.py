@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import col, release, sampled, written
+from .common import col, release, written
 
 #: Words whose ids a worker keeps; beyond that the table starts anew. Bounds memory, not results.
 CACHE_WORDS = 500_000
@@ -130,45 +130,48 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _tokenize(path: str, end_id: int, idf: np.ndarray, mean_length: float, k1: float, b: float):
-    """Ids, and a key by which documents of like content sort near each other: two terms of 20 bits, then 22 bits of the id's hash, which split what has equal terms."""
+def _tokenize(path: str, end_id: int):
+    """Ids of whole texts and, for each task, how many documents and tokens there are and in how many documents each token is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         enc = encoder(path)
-        variates = _variates(len(idf))
         end = np.array([end_id], enc.dtype).tobytes()
-        df, docs, tokens, names = np.zeros(enc.size, np.int64), 0, 0, ["stat", "doc_id", "ids", "docs", "tokens", "route", "df"]
+        df, docs, tokens, names = np.zeros(enc.size, np.int64), 0, 0, ["stat", "doc_id", "ids", "docs", "tokens", "df"]
         for batch in batches:
             keys = batch.column(0)
             raw, step = batch.column(1).cast(pa.binary()), 2000
             for at in range(0, batch.num_rows, step):
                 ids = [enc.ids(t or b"") + end for t in raw.slice(at, step).to_pylist()]
-                route = []
-                for doc, x in zip(keys.slice(at, step).to_pylist(), ids, strict=True):
-                    terms, weight = weights(np.frombuffer(x, enc.dtype), idf, mean_length, k1, b)
-                    df[terms] += 1
-                    one, two = routes(terms, weight, variates)
-                    docs += 1
-                    route.append((one & 0xFFFFF) << 42 | (two & 0xFFFFF) << 22 | zlib.crc32(b"%d" % (docs if doc is None else doc)) >> 10)
+                for x in ids:
+                    df[np.unique(np.frombuffer(x, enc.dtype))] += 1
+                docs += len(ids)
                 tokens += sum(map(len, ids)) // enc.dtype.itemsize
-                yield pa.RecordBatch.from_arrays([pa.array([False] * len(ids)), keys.slice(at, step), pa.array(ids, pa.binary()), pa.array([0] * len(ids), pa.int64()), pa.array([0] * len(ids), pa.int64()), pa.array(route, pa.int64()), pa.nulls(len(ids), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([False] * len(ids)), keys.slice(at, step), pa.array(ids, pa.binary()), pa.array([0] * len(ids), pa.int64()), pa.array([0] * len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], names)
         seen = np.flatnonzero(df)
         packed = np.stack([seen, df[seen]]).astype("<i8").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), pa.array([None], pa.int64()), pa.array([packed], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), pa.array([packed], pa.binary())], names)
 
     return run
 
 
-def _estimate(docs: DataFrame, enc: WordEncoder, rows: int = 1000, chars: int = 4000) -> tuple[np.ndarray, float]:
-    """Weights of terms and a mean length for the routes alone, of the beginnings of a bounded sample of texts; BM25 itself has the whole corpus's."""
-    some = sampled(docs.where("text is not null"), "doc_id", rows).select(F.substring("text", 1, chars)).collect()
-    df, tokens = np.zeros(enc.size), 0
-    for (text,) in some:
-        x = np.frombuffer(enc.ids(text), enc.dtype)
-        df[np.unique(x)] += 1
-        tokens += len(x)
-    return np.log1p((len(some) - df + 0.5) / (df + 0.5)).astype(np.float32), max(1.0, tokens / max(1, len(some)))
+def _route(idf: np.ndarray, mean_length: float, width: str, k1: float, b: float):
+    """Adds a key by which documents of like content sort near each other: two terms of 20 bits, then 22 bits of the id's hash, which split what has equal terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # a reused worker's words, which no later stage needs
+        release()
+        variates, docs, step = _variates(len(idf)), 0, 2000
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part, route = batch.slice(at, step), []
+                for doc, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    one, two = routes(*weights(np.frombuffer(raw.as_buffer(), width), idf, mean_length, k1, b), variates)
+                    docs += 1
+                    route.append((one & 0xFFFFF) << 42 | (two & 0xFFFFF) << 22 | zlib.crc32(b"%d" % (docs if doc is None else doc)) >> 10)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(route, pa.int64())], ["doc_id", "ids", "route"])
+
+    return run
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,10 +343,10 @@ def _pack(idf: np.ndarray, mean_length: float, width: str, window: int, shard_un
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, shard_units: int = 512, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Pack all documents into sequences of at most `window` tokens.
 
-    Steps: (1) every whole text is tokenized once and the ids are written to the shared folder, with a route and each
+    Steps: (1) every whole text is tokenized once and the ids are written to the shared folder, with each
     task's document frequencies; (2) frequencies are summed over all documents (at most one row for each
     vocabulary entry reaches the driver); (3) documents are sorted, over all tasks, by their route, two terms that a MinHash by
-    BM25 weights (estimated from a sample) picks, so that a shard holds like documents wherever the table has them; (4) each task packs its shards of `shard_units` units: what a
+    these BM25 weights picks, so that a shard holds like documents wherever the table has them; (4) each task packs its shards of `shard_units` units: what a
     document has beyond whole windows is a unit, units are indexed by BM25, and each seed's window takes
     its best-scoring unused units; the one that overflows is cut and its rest stays in the pool.
     Units that are left pass to the task's next shard; only a task's last window can be short, and it is
@@ -357,8 +360,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     width = encoder(tokenizer_path).dtype.str
     size = encoder(tokenizer_path).size
     texts = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    run = _tokenize(tokenizer_path, end_id, *_estimate(texts, encoder(tokenizer_path)), k1, b)
-    table = written(texts.mapInArrow(run, "stat boolean, doc_id long, ids binary, docs long, tokens long, route long, df binary"), "packing-ids", "lz4")
+    table = written(texts.mapInArrow(_tokenize(tokenizer_path, end_id), "stat boolean, doc_id long, ids binary, docs long, tokens long, df binary"), "packing-ids", "lz4")
     stats = table.where("stat")
     n_docs, n_tokens = stats.agg(F.sum("docs"), F.sum("tokens")).first()
     n_docs, n_tokens = n_docs or 0, n_tokens or 0
@@ -368,5 +370,6 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean_length = max(1.0, n_tokens / max(1, n_docs))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = table.where(~F.col("stat")).select("doc_id", "ids", "route").repartitionByRange(parts, "route").sortWithinPartitions("route", "doc_id").select("doc_id", "ids")
+    routed = table.where(~F.col("stat")).select("doc_id", "ids").mapInArrow(_route(idf, mean_length, width, k1, b), "doc_id long, ids binary, route long")
+    rows = routed.repartitionByRange(parts, "route").sortWithinPartitions("route", "doc_id").select("doc_id", "ids")
     return rows.mapInArrow(_pack(idf, mean_length, width, window, shard_units, k1, b), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -136,6 +136,27 @@ def test_packing_finds_neighbours_far_apart_in_storage(spark):
     assert sum(bool(where[k] & where[200 + k]) for k in range(200)) >= 120
 
 
+@pytest.fixture(scope="module")
+def alike(spark):
+    """1200 texts of 400 topics, those of a topic apart in storage: 60 words that all have in any order, three of the topic, and 4000 characters of space before."""
+    r = random.Random(8)
+    word = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    common, topics = [word(4) for _ in range(60)], [" ".join(word(6) for _ in range(3)) for _ in range(400)]
+    return spark.createDataFrame([(k, " " * 4000 + " ".join(r.sample(common, 60)) + " " + topics[k % 400]) for k in range(1200)], "doc_id long, text string")
+
+
+def topics_met(rows):
+    """Topics whose first two texts have a sequence in common."""
+    where = defaultdict(set)
+    for x in rows:
+        where[x.doc_id].add(x.sequence_id)
+    return sum(bool(where[k] & where[400 + k]) for k in range(400))
+
+
+def test_packing_routes_by_frequencies_of_the_whole_corpus(alike):
+    assert topics_met(packing.pack(alike, vocabulary("word_bpe_49k.json"), window=256, shard_units=16).collect()) >= 300
+
+
 # 4 and 10 SentencePiece
 
 
