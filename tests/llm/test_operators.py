@@ -797,6 +797,17 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in kept.collect()}
 
 
+def test_pipeline_packs_by_frequencies_of_the_whole_corpus(spark, alike, sf_dir):
+    import corpus_pipeline
+
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")  # some 19 of the texts in each
+    try:
+        assert topics_met(corpus_pipeline.STAGES[-1][1](spark, alike, sf_dir).collect()) >= 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_pipeline_on_nulls_repeats_and_clashing_columns(spark, docs, sf_dir, tmp_path):
     """Every stage on a table with null and repeated ids, null texts, an empty table, and columns that are named like the operators' own."""
     import corpus_pipeline
