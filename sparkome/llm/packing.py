@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import col, release, written
 
-#: Words whose ids a worker keeps; beyond that the table starts anew. Bounds memory, not results.
+#: Words whose ids a worker keeps, half of them from before; when the newer half is full, the older one goes. Bounds memory, not results.
 CACHE_WORDS = 500_000
 
 
-#: Marks that may follow a word and are a part of their own.
-_TAILS = frozenset(b".,;:!?)")
+#: Marks that may follow a word, of which they are no part; a run of them is looked up by itself. Not the apostrophe.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 #: Texts with white space of every kind between words, marks and digits.
@@ -32,7 +32,8 @@ class WordEncoder(dict):
     That is so where probes are encoded like their words are, and the pattern that it splits by, if that is known, matches no white space. Else
     texts are encoded whole. A text is cut at ASCII white space and each distinct word is encoded by the tokenizer once; the
     concatenation is what the tokenizer gives for the whole text. Letters A-Z are lowered before, as the
-    tokenizer does, unless the text may hold a special token. As a dict it holds the ids of words it has seen.
+    tokenizer does, unless the text may hold a special token. As a dict it holds the ids of words it has seen lately,
+    and those of before beside it: a word that is seen again comes back from there.
     """
 
     def __init__(self, path: str):
@@ -41,13 +42,16 @@ class WordEncoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.before: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.bytes_of = [k.to_bytes(self.dtype.itemsize, "little") for k in range(self.size)]
         self.lowers = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
         self.split, self.model = self._splitter(path), self.tokenizer.model
         self.chars = _byte_chars()
+        self.letters = {k: "".join([self.chars[b] for b in low.encode()]) for k in range(0x300) if (c := chr(k)).isalpha() and len(low := c.lower()) == 1}
         whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_word = all(whole(t) == [k for w in t.split() for k in whole(w)] for t in _PROBES)
 
@@ -70,38 +74,42 @@ class WordEncoder(dict):
         if norm != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in pre] != ["Split", "ByteLevel"] or not pre[0].get("invert") or pre[1].get("add_prefix_space") or pre[1].get("use_regex"):
             return None
         find = regex.compile(pre[0]["pattern"]["Regex"]).findall
-        return find if all(m.split() == [m] for t in _PROBES for m in find(t)) else None
+        apart = all(find("a\u00e9" + m) == ["a\u00e9", *find(m)] for m in [*_MARKS.decode(), _MARKS.decode()])
+        return find if apart and all(m.split() == [m] for t in _PROBES for m in find(t)) else None
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
+    def mapped(self, part: str) -> bytes:
+        """Ids of what the pre-tokenizer gives as one part, in the characters that stand for its bytes."""
+        of = self.bytes_of
+        return b"".join([of[t.id] for t in self.model.tokenize(part)])
+
     def part(self, part: bytes) -> bytes:
-        """Ids of what the pre-tokenizer gives as one part."""
-        mapped = part.decode() if part.isascii() else "".join([self.chars[c] for c in part])
-        return self.packed([t.id for t in self.model.tokenize(mapped)])
+        return self.mapped(part.decode() if part.isascii() else "".join([self.chars[c] for c in part]))
 
-    @staticmethod
-    def _letters(word: bytes) -> bytes:
-        """The lower-case form of what is letters below U+0300 only, one part for the pre-tokenizer; else nothing."""
+    def _letters(self, word: bytes) -> str:
+        """What is letters below U+0300 only, one part for the pre-tokenizer, in lower case and mapped; else nothing."""
         text = word.decode()
-        if text.isalpha() and max(text) < "\u0300" and len(low := text.lower()) == len(text):
-            return low.encode()
-        return b""
+        return text.translate(self.letters) if text.isalpha() and max(text) < "\u0300" and "\u0130" not in text else ""
 
     def __missing__(self, raw: bytes) -> bytes:
         """A printable word below U+0300 (where NFC changes nothing) goes to the model by its parts; any other to the whole tokenizer."""
-        if self.split and raw.isalpha():  # of bytes: A-Z and a-z, one part
-            x = array(self.code, [t.id for t in self.model.tokenize(raw.lower().decode())]).tobytes()
-        elif self.split and raw[-1] in _TAILS and ((stem := raw[:-1]).isalpha() or not stem.isascii() and self._letters(stem)):
-            x = self[stem] + self[raw[-1:]]  # the mark is a part of its own
+        if (x := self.before.get(raw)) is not None:
+            pass
+        elif self.split and raw.isalpha():  # of bytes: A-Z and a-z, one part
+            x = self.mapped(raw.lower().decode())
+        elif self.split and len(stem := raw.rstrip(_MARKS)) < len(raw) and (stem.isalpha() or not stem.isascii() and self._letters(stem)):
+            x = self[stem] + self[raw[len(stem) :]]
         elif self.split and not raw.isascii() and (low := self._letters(raw)):
-            x = self.part(low)
+            x = self.mapped(low)
         elif self.split and b"<|" not in raw and (word := raw.decode()).isprintable() and (raw.isascii() or max(word) < "\u0300"):
             parts = [p.encode() for p in self.split(word.lower())]
             x = b"".join([self[p] for p in parts]) if len(parts) > 1 else self.part(parts[0]) if parts else b""
         else:
             x = self.packed(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids)
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS // 2:
+            self.before = dict(self)
             self.clear()
         self[raw] = x
         return x
@@ -142,12 +150,12 @@ def _tokenize(path: str, end_id: int):
             keys = batch.column(0)
             raw, step = batch.column(1).cast(pa.binary()), 2000
             for at in range(0, batch.num_rows, step):
-                ids = [enc.ids(t or b"") + end for t in raw.slice(at, step).to_pylist()]
-                for x in ids:
-                    df[np.unique(np.frombuffer(x, enc.dtype))] += 1
-                docs += len(ids)
-                tokens += sum(map(len, ids)) // enc.dtype.itemsize
-                yield pa.RecordBatch.from_arrays([pa.array([False] * len(ids)), keys.slice(at, step), pa.array(ids, pa.binary()), pa.array([0] * len(ids), pa.int64()), pa.array([0] * len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], names)
+                ids = pa.array([enc.ids(t or b"") + end for t in raw.slice(at, step).to_pylist()], pa.binary())
+                for flat, lengths in _runs(ids, enc.dtype):
+                    df += np.bincount(_distinct(flat, lengths, enc.size)[0], minlength=enc.size)
+                    docs += len(lengths)
+                    tokens += len(flat)
+                yield pa.RecordBatch.from_arrays([pa.array([False] * len(ids)), keys.slice(at, step), ids, pa.array([0] * len(ids), pa.int64()), pa.array([0] * len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], names)
         seen = np.flatnonzero(df)
         packed = np.stack([seen, df[seen]]).astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), pa.array([packed], pa.binary())], names)
@@ -164,12 +172,12 @@ def _route(idf: np.ndarray, mean_length: float, width: str, k1: float, b: float)
         variates, docs, step = _variates(len(idf)), 0, 2000
         for batch in batches:
             for at in range(0, batch.num_rows, step):
-                part, route = batch.slice(at, step), []
-                for doc, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    one, two = routes(*weights(np.frombuffer(raw.as_buffer(), width), idf, mean_length, k1, b), variates)
-                    docs += 1
-                    route.append((one & 0xFFFFF) << 42 | (two & 0xFFFFF) << 22 | zlib.crc32(b"%d" % (docs if doc is None else doc)) >> 10)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(route, pa.int64())], ["doc_id", "ids", "route"])
+                part = batch.slice(at, step)
+                terms = [routes(*weights(flat, lengths, idf, mean_length, k1, b), variates) for flat, lengths in _runs(part.column(1), width)]
+                one, two = (np.concatenate(x) & 0xFFFFF for x in zip(*terms, strict=True))
+                ids = [zlib.crc32(b"%d" % (docs + k if doc is None else doc)) >> 10 for k, doc in enumerate(part.column(0).to_pylist(), 1)]
+                docs += len(ids)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(one << 42 | two << 22 | np.array(ids))], ["doc_id", "ids", "route"])
 
     return run
 
@@ -181,10 +189,37 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["token", "n"])
 
 
-def weights(ids: np.ndarray, idf: np.ndarray, mean_length: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct terms of a text and their BM25 weights."""
-    t, n = np.unique(ids, return_counts=True)
-    return t, n * (k1 + 1) / (n + k1 * (1 - b + b * len(ids) / mean_length)) * idf[t]
+#: Ids that are counted at a time; a longer text is one run. Bounds memory, not results.
+RUN_IDS = 1 << 18
+
+
+def _runs(column: pa.Array, width: str | np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All rows of a binary column of ids, a run of whole texts at a time: their ids one after the other, and how many each has."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // np.dtype(width).itemsize
+    ids = np.frombuffer(column.buffers()[2], width, int(ends[-1]))
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN_IDS, "right")) - 1)
+        yield ids[ends[at] : ends[stop]], np.diff(ends[at : stop + 1])
+        at = stop
+
+
+def _distinct(ids: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of each of some texts, text by text and ascending, how often each is there, and its text's number."""
+    bits = max(1, int(size - 1).bit_length())
+    key = np.repeat(np.arange(len(lengths), dtype=np.uint32 if len(lengths) << bits <= 1 << 32 else np.uint64) << bits, lengths)
+    key |= ids.astype(key.dtype, copy=False)
+    key.sort()
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    key, n = key[first], np.diff(first, append=len(key))
+    return (key & ((1 << bits) - 1)).astype(np.uint16 if bits <= 16 else np.uint32), n, (key >> bits).astype(np.int64)
+
+
+def weights(ids: np.ndarray, lengths: np.ndarray, idf: np.ndarray, mean_length: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of each of some texts, which follow each other in ids, their BM25 weights and their texts' numbers."""
+    term, n, text = _distinct(ids, lengths, len(idf))
+    return term, n * (k1 + 1) / (n + (k1 * (1 - b + b * lengths / mean_length))[text]) * idf[term], text
 
 
 def _variates(size: int) -> list[np.ndarray]:
@@ -192,31 +227,27 @@ def _variates(size: int) -> list[np.ndarray]:
     return [np.random.default_rng(seed).exponential(size=size) for seed in range(2)]
 
 
-def routes(terms: np.ndarray, weight: np.ndarray, variates: list[np.ndarray]) -> list[int]:
-    """A term for each of the variates, by weighted MinHash: two texts get the same one as often as their weights overlap."""
-    return [int(terms[np.argmin(v[terms] / np.maximum(weight, 1e-9))]) if len(terms) else -1 for v in variates]
+def routes(terms: np.ndarray, weight: np.ndarray, text: np.ndarray, variates: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of the variates a term of each text, none of which is without terms, by weighted MinHash: two texts get the same one as often as their weights overlap."""
+    weight, start = np.maximum(weight, 1e-9), np.flatnonzero(np.diff(text, prepend=-1))
+    out = []
+    for v in variates:
+        rank = v[terms] / weight
+        least = np.flatnonzero(rank == np.minimum.reduceat(rank, start)[text])
+        out.append(terms[least[np.flatnonzero(np.diff(text[least], prepend=-1))]].astype(np.int64))  # of equal ones the smallest term
+    return out
 
 
 class Shard:
     """A BM25 inverted index over the units of one shard, with the corpus's document frequencies."""
 
     def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean_length: float, k1: float, b: float):
-        self._index([weights(ids, idf, mean_length, k1, b) for ids in units], len(idf))
-
-    @classmethod
-    def of_weights(cls, weighted: list[tuple[np.ndarray, np.ndarray]], size: int) -> Shard:
-        shard = cls.__new__(cls)
-        shard._index(weighted, size)
-        return shard
-
-    def _index(self, weighted: list[tuple[np.ndarray, np.ndarray]], size: int) -> None:
-        terms, weight = [t for t, _ in weighted], [w for _, w in weighted]
-        unit = [np.full(len(t), k, np.int32) for k, t in enumerate(terms)]
-        self.of, self.n = terms, len(terms)
-        term = np.concatenate(terms)
+        term, weight, unit = weights(np.concatenate(units), np.array([len(ids) for ids in units]), idf, mean_length, k1, b)
+        self.n = len(units)
+        self.of = np.split(term, np.searchsorted(unit, np.arange(1, self.n)))
         order = np.argsort(term, kind="stable")
-        self.unit, self.weight = np.concatenate(unit)[order], np.concatenate(weight)[order]
-        self.ends = np.searchsorted(term[order], np.arange(size + 1))
+        self.unit, self.weight = unit[order], weight[order]
+        self.ends = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(idf)))))
         often = np.diff(self.ends) >= max(8, self.n // 8)  # postings of a term that many units have are a row, added at once
         self.row = np.where(often, np.cumsum(often) - 1, -1)
         self.rows = np.zeros((int(often.sum()), self.n))
@@ -308,7 +339,7 @@ def _pack(idf: np.ndarray, mean_length: float, width: str, window: int, shard_un
 
         def close(last: bool) -> pa.RecordBatch:
             nonlocal pending
-            shard = Shard.of_weights([weights(docs[u[0]][1][u[1] : u[2]], idf, mean_length, k1, b) for u in pending], len(idf))
+            shard = Shard([docs[u[0]][1][u[1] : u[2]] for u in pending], idf, mean_length, k1, b)
             rows, pending = _fill(pending, shard, window, last)
             if last and rows and sum(x[2] for x in rows[-1]) < window:
                 rows[-1:] = powers(rows[-1], window)

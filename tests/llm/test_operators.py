@@ -157,6 +157,102 @@ def test_packing_routes_by_frequencies_of_the_whole_corpus(alike):
     assert topics_met(packing.pack(alike, vocabulary("word_bpe_49k.json"), window=256, shard_units=16).collect()) >= 300
 
 
+def one_by_one(texts, idf, mean_length):
+    """Documents of each token, and each text's two terms of the least variate a weight, by a loop over texts."""
+    df, terms, variates = np.zeros(len(idf), np.int64), [], packing._variates(len(idf))
+    for ids in texts:
+        t, n = np.unique(ids, return_counts=True)
+        df[t] += 1
+        w = n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ids) / mean_length)) * idf[t]
+        terms.append([int(t[np.argmin(v[t] / np.maximum(w, 1e-9))]) for v in variates])
+    return df, terms
+
+
+def test_packing_routes_many_texts_at_once(monkeypatch):
+    """What a loop over texts gives, in less than half its time; texts longer than a run, of one token and with equal weights, null ids."""
+    import time
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "RUN_IDS", 1 << 14, raising=False)
+    r = np.random.default_rng(3)
+    texts = [(r.zipf(1.3, n) % 49_408).astype("<u2") for n in [1, 40_000, 1, 2, *r.integers(1, 400, 4000)]]
+    idf = np.log1p(r.random(49_408) * 1000).astype(np.float32)
+    idf[:50] = 0
+    keys = [None if k % 7 == 0 else k - 5 for k in range(len(texts))]
+    whole = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in texts], pa.binary())], ["doc_id", "ids"])
+    run = packing._route(idf, 200.0, "<u2", 1.2, 0.75)
+    took = [math.inf, math.inf]
+    for _ in range(3):
+        began = time.process_time()
+        got = [x for part in run(iter([whole.slice(0, 0), whole.slice(0, 3), whole.slice(3)])) for x in part.column(2).to_pylist()]
+        took[0], began = min(took[0], time.process_time() - began), time.process_time()
+        _, want = one_by_one(texts, idf, 200.0)
+        took[1] = min(took[1], time.process_time() - began)
+    assert [[x >> 42, x >> 22 & 0xFFFFF] for x in got] == want
+    assert [x & 0x3FFFFF for x in got] == [zlib.crc32(b"%d" % (k + 1 if key is None else key)) >> 10 for k, key in enumerate(keys)]
+    assert took[0] < took[1] / 2
+
+
+def test_packing_counts_every_text(monkeypatch):
+    """Frequencies, documents and tokens are those of all texts, whatever the run's length."""
+    import pyarrow as pa
+
+    texts = [*("river stone " * k + "window" * (k % 3) for k in range(3000)), None, "", "quiet " * 9000]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(at, min(at + 700, len(texts)))), pa.array(texts[at : at + 700])], ["doc_id", "text"]) for at in range(0, len(texts), 700)]
+    path = vocabulary("word_bpe_49k.json")
+    enc = packing.encoder(path)
+    ids = [np.frombuffer(enc.ids(t or ""), enc.dtype).tolist() + [1] for t in texts]
+    for run_ids in (1, 5000, 1 << 18):
+        monkeypatch.setattr(packing, "RUN_IDS", run_ids, raising=False)
+        *parts, last = packing._tokenize(path, 1)(iter(batches))
+        assert [np.frombuffer(x, enc.dtype).tolist() for part in parts for x in part.column(2).to_pylist()] == ids
+        assert last.column(3).to_pylist() == [len(texts)] and last.column(4).to_pylist() == [sum(map(len, ids))]
+        token, n = np.frombuffer(last.column(5)[0].as_py(), "<i8").reshape(2, -1)
+        assert dict(zip(token.tolist(), n.tolist(), strict=True)) == Counter(t for x in ids for t in set(x))
+
+
+def test_words_that_recur_stay_known(monkeypatch, tokenizer):
+    """A word that is seen now and then is encoded once, however many others pass between; marks after it are looked up apart."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    enc = packing.WordEncoder(vocabulary("word_bpe_49k.json"))
+    seen, model = Counter(), enc.model
+
+    class Counting:
+        def tokenize(self, word):
+            seen[word] += 1
+            return model.tokenize(word)
+
+    enc.model = Counting()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for k in range(400):
+        text = f"river x{letters[k % 26]}{letters[k // 26]}!? river###"
+        assert np.frombuffer(enc.ids(text), enc.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert seen["river"] == 1 and len(enc) + len(enc.before) <= 40
+
+
+def test_letters_of_every_kind_are_the_tokenizers(tokenizer):
+    """Each character below U+0300 within a word, alone and with marks, against the library."""
+    enc = packing.WordEncoder(vocabulary("word_bpe_49k.json"))
+    for k in range(0x300):
+        text = f"x{chr(k)}y {chr(k)} é{chr(k)}, Ä{chr(k)}É##"
+        assert np.frombuffer(enc.ids(text), enc.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, hex(k)
+
+
+def test_marks_that_belong_to_words_stay_there(tmp_path):
+    """A pattern by which marks and letters are one part."""
+    from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
+
+    chars = packing._byte_chars()
+    t = Tokenizer(models.BPE(vocab={c: k for k, c in enumerate(chars)} | {"a.": 256}, merges=[("a", ".")]))
+    t.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex("\u0000"), " "), normalizers.Lowercase()])
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(r"\S+"), "removed", invert=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    t.save(str(tmp_path / "t.json"))
+    enc = packing.WordEncoder(str(tmp_path / "t.json"))
+    for text in ("a. ba.", "A.. \u00e9a.", "a"):
+        assert np.frombuffer(enc.ids(text), enc.dtype).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 # 4 and 10 SentencePiece
 
 
