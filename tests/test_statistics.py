@@ -221,6 +221,19 @@ def test_pruning_sends_links_only(spark):
     assert 0 < out.num_rows < n and 0 < len(out["before"].combine_chunks().flatten()) < 500  # of about 14,000 pairs
 
 
+@pytest.mark.parametrize("together", [10**6, 40])
+def test_pruning_by_distance_puts_many_small_blocks_in_a_tile(spark, monkeypatch, together):
+    monkeypatch.setattr(G, "LD_CALLS", together)
+    places, calls = _sparse_calls(4, 2, 120, 10)
+    places = [(i, c, p + 50_000 * (p > 40_000)) for i, c, p in places]  # a gap of several blocks
+    got = {r[0] for r in G.prune_ld(_pruning(spark, places, calls), window=6, step=4, r2=0.4, unit="kb").variants.select("variant_idx").collect()}
+    assert got == _pruned_by_hand(places, calls, 6000, 4000, 0.4, False) and 20 < len(got) < 235
+    counted = spark.createDataFrame([("1", b, 10) for b in range(1000) if b != 500], "contig string, block long, calls long")
+    tiles = {r.block: r for r in G._tiles(counted).collect()}
+    assert len({t.tile for t in tiles.values()}) == (1 if together > 40 else 250) and tiles[501].before is None
+    assert all(t.before == (tiles[b - 1].tile if b and b != 501 and tiles[b - 1].tile != t.tile else None) for b, t in tiles.items())
+
+
 def test_quantiles_and_transforms(spark):
     r = random.Random(4)
     values = [r.gauss(0, 1) for _ in range(3000)] + [0.5] * 500
