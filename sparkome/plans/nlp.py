@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -22,8 +23,8 @@ STOPWORDS = frozenset((
     "these", "those", "any", "all", "such", "more", "most", "less", "very", "many", "some", "than", "then", "out", "off",
 ))
 MIN_LENGTH, AUTO, MAX_ENTITIES = 3, 0.9, 20
-#: Bytes of names that one automaton holds; a larger dictionary is cut into as many parts, each of which reads the texts once.
-PART_BYTES = 64 << 20
+#: Bytes and words of names whose hashes a worker holds at once; a larger dictionary is cut into as many parts, each of which reads the texts once.
+PART_BYTES, PART_WORDS = 64 << 20, 8_000_000
 MATCHES = "record_id string, field string, start int, stop int, matched string, context string, alias_id long, alias_value string, entity_id long, type_id int, is_primary boolean, alias_type string"
 
 
@@ -77,65 +78,191 @@ def is_stale(kg: KnowledgeGraph, built_at: int) -> bool:
     return version(kg) != built_at
 
 
-def _spans(text: str, automaton) -> list[tuple[int, int, str]]:
-    """(start, last, name) of all occurrences that end and begin at word boundaries, overlapping ones included."""
-    out = []
-    for last, name in automaton.iter(text):
-        start = last - len(name) + 1
-        if (start == 0 or not text[start - 1].isalnum()) and (last + 1 == len(text) or not text[last + 1].isalnum()):
-            out.append((start, last, name))
-    return sorted(out)
+#: An odd multiplier of span hashes and its inverse, modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Code points that are hashed at once, beyond which a long text is cut with an overlap of the longest name.
+PIECE = 500_000
+
+
+@functools.cache
+def _alnum():
+    """Whether each code point is a letter or a digit, as str.isalnum says."""
+    import numpy as np
+
+    return np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
 @functools.lru_cache(maxsize=1)
-def _automaton(path: str):
-    """The automaton of the names in a Parquet folder, built once in each worker; None without names."""
-    import ahocorasick
+def _powers(n: int):
+    import numpy as np
+
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (_BASE, _INVERSE))
+
+
+def _hashes(codes):
+    """A function of first and last places in codes: 64-bit hashes of the spans, the same for equal spans anywhere."""
+    import numpy as np
+
+    power, inverse = _powers(1 << max(12, len(codes).bit_length()))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)])))
+    return lambda first, last: (sums[last + 1] - sums[first]) * inverse[first]
+
+
+def _joined(texts: list[str]):
+    """Code points of texts with a line break after each, where each begins, and whether each code point is a letter or digit."""
+    import numpy as np
+
+    codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return codes, begin, _alnum()[codes]
+
+
+@functools.lru_cache(maxsize=1)
+def _prefixes(path: str):
+    """Of the names in a Parquet folder: for each number of words, the sorted hashes of beginnings of so many words and which of them are whole names; and the longest name. Loaded once in each worker.
+
+    A word ends where no letter or digit follows. No name itself is kept: 9 bytes for each different beginning.
+    """
+    import numpy as np
     import pyarrow.dataset as ds
     import pyarrow.fs as pafs
 
     fs, place = pafs.FileSystem.from_uri(path if "://" in path else re.sub("^(file:)?/+", "file:///", path))
-    names = ds.dataset(place, filesystem=fs, format="parquet").to_table(columns=["alias_norm"]).column(0).to_pylist()
-    automaton = ahocorasick.Automaton()
-    for n in names:
-        automaton.add_word(n, n)
-    automaton.make_automaton()
-    return automaton if names else None
+    levels: list[list] = []
+    longest = 0
+    for batch in ds.dataset(place, filesystem=fs, format="parquet").to_batches(columns=["alias_norm"], batch_size=1 << 14):
+        for texts in _grouped(batch.column(0).to_pylist(), most=1 << 14):
+            longest = max(longest, *map(len, texts))
+            codes, begin, alnum = _joined(texts)
+            span = _hashes(codes)
+            end = np.flatnonzero(~alnum[1:])
+            name = np.searchsorted(begin, end, "right") - 1
+            inside = end < begin[name + 1] - 1
+            end, name = end[inside], name[inside]
+            k = np.arange(len(end)) - np.searchsorted(name, name)
+            h, whole = span(begin[name], end), end == begin[name + 1] - 2
+            order = np.argsort(k, kind="stable")
+            for n, cut in enumerate(np.split(order, np.cumsum(np.bincount(k))[:-1])):
+                if n == len(levels):
+                    levels.append([])
+                levels[n].append(_merged([(h[cut], whole[cut])]))
+                if len(levels[n]) > 64:
+                    levels[n] = [_merged(levels[n])]
+    for n, parts in enumerate(levels):
+        levels[n] = _merged(parts)
+    return levels, longest
+
+
+def _merged(parts: list):
+    """Distinct hashes in order, with whether any of the equal ones is of a whole name."""
+    import numpy as np
+
+    h, whole = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = np.argsort(h)
+    h, whole = h[order], whole[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first], np.logical_or.reduceat(whole, first)
+
+
+def _grouped(texts: Iterable, size: Callable = len, most: int = 512) -> Iterator[list]:
+    """Runs of at most PIECE code points together (or of one text)."""
+    out: list = []
+    total = 0
+    for t in texts:
+        if out and (total + size(t) > PIECE or len(out) == most):
+            yield out
+            out, total = [], 0
+        out.append(t)
+        total += size(t)
+    if out:
+        yield out
+
+
+def _pieces(rows: list[tuple[str, str]]) -> Iterator[tuple]:
+    """(record, text, from, to): where a name may begin in a text; of a long text, several."""
+    for record, text in rows:
+        for at in range(0, len(text), PIECE):
+            yield record, text, at, min(at + PIECE, len(text))
+
+
+def _spans(pieces: list[tuple], levels: list, longest: int) -> Iterator[tuple[int, int, int]]:
+    """(piece, start, last) of all occurrences that begin and end at word boundaries, overlapping ones included; hashes decide, so that one in 10**12 or fewer may be no name."""
+    import numpy as np
+
+    shift = [max(0, at - 1) for _, _, at, _ in pieces]
+    cut = [text[s : to + longest + 1] for (_, text, _, to), s in zip(pieces, shift, strict=True)]
+    codes, begin, alnum = _joined(cut)
+    span = _hashes(codes)
+    free = ~alnum
+    starts = np.flatnonzero(np.concatenate(([True], free[:-1])))
+    piece = np.searchsorted(begin, starts, "right") - 1
+    at, to, s = (np.array(x) for x in ([p[2] for p in pieces], [p[3] for p in pieces], shift))
+    place = starts - begin[np.minimum(piece, len(pieces) - 1)] + s[np.minimum(piece, len(pieces) - 1)]
+    ok = (piece < len(pieces)) & (codes[np.minimum(starts, len(codes) - 1)] != 10)
+    ok[ok] &= (place[ok] >= at[piece[ok]]) & (place[ok] < to[piece[ok]])
+    # in the middle of a text, the place after a cut's end isn't known: a name from here ends before it
+    starts, piece = starts[ok], piece[ok]
+    ends = np.flatnonzero(free[1:] & (codes[:-1] != 10))
+    stop = begin[piece + 1] - 2
+    first = np.searchsorted(ends, starts)
+    active = np.arange(len(starts))
+    found = []
+    for k, (hashes, whole) in enumerate(levels):
+        active = active[first[active] + k < len(ends)]
+        last = ends[first[active] + k]
+        inside = last <= stop[active]
+        active, last = active[inside], last[inside]
+        if not len(active):
+            break
+        h = span(starts[active], last)
+        where = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        hit = hashes[where] == h
+        active, last, where = active[hit], last[hit], where[hit]
+        name = whole[where]
+        found.append((active[name], last[name]))
+    if found:
+        which, last = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        p = piece[which]
+        off = s[p] - begin[p]
+        rows = np.stack([p, starts[which] + off, last + off])
+        yield from rows[:, np.lexsort(rows[::-1])].T.tolist()
 
 
 def _scan(path: str, context: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(path)
+        levels, longest = _prefixes(path)
         for batch in batches:
-            for at in range(0, batch.num_rows if automaton else 0, 512):
-                records, starts, stops, names, around = [], [], [], [], []
-                part = batch.slice(at, 512)
-                for record, raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    text = normalize(raw)
-                    for a, b, name in _spans(text, automaton):
+            for at in range(0, batch.num_rows if levels else 0, 512):
+                rows = [(record, normalize(raw)) for record, raw in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True)]
+                for pieces in _grouped(_pieces(rows), lambda p: p[3] - p[2] + longest):
+                    records, starts, stops, names, around = [], [], [], [], []
+                    for k, a, b in _spans(pieces, levels, longest):
+                        record, text = pieces[k][:2]
                         records.append(record)
                         starts.append(a)
                         stops.append(b)
-                        names.append(name)
+                        names.append(text[a : b + 1])
                         if context is not None:
                             around.append(text[max(0, a - context) : b + 1 + context])
-                cols = [pa.array(records, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(names, pa.string())]
-                cols.append(pa.array(around, pa.string()) if context is not None else pa.nulls(len(records), pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, ["record_id", "start", "stop", "matched", "context"])
+                    cols = [pa.array(records, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(names, pa.string())]
+                    cols.append(pa.array(around, pa.string()) if context is not None else pa.nulls(len(records), pa.string()))
+                    yield pa.RecordBatch.from_arrays(cols, ["record_id", "start", "stop", "matched", "context"])
 
     return run
 
 
-def scan(records: DataFrame, names: DataFrame, *, id_col: str, text_col: str, context: int | None = 50) -> DataFrame:
-    """record_id, start, stop, matched, context: every occurrence of a name in the normalized text; context None leaves that column empty.
+def _candidates(records: DataFrame, names: DataFrame, *, id_col: str, text_col: str, context: int | None = 50) -> DataFrame:
+    """record_id, start, stop, matched, context of every occurrence of a name, and possibly of a text whose hash is a name's: a join by `matched` leaves names only.
 
-    The names are written to the shared folder in parts of at most PART_BYTES, and each worker builds a part's automaton
-    once, so that neither the driver nor a task ever holds more of the dictionary; a text is read once for each part.
+    The names are written to the shared folder in parts of at most about PART_BYTES and PART_WORDS, and each worker loads the hashes of a part's
+    beginnings once, so that neither the driver nor a task ever holds more of the dictionary; a text is read once for each part.
     """
     distinct = names.select("alias_norm").where("alias_norm != ''").distinct()
     spark = records.sparkSession
-    size = distinct.agg(F.sum(F.octet_length("alias_norm"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
+    words = F.length(F.regexp_replace("alias_norm", r"[\p{L}\p{N}]", "")) + 1
+    size, count = (x or 0 for x in distinct.agg(F.sum(F.octet_length("alias_norm")), F.sum(words)).first())
+    parts = max(1, -(-size // PART_BYTES), -(-count // PART_WORDS))
     path = folder(spark, "names")
     distinct.withColumn("part", F.pmod(F.xxhash64("alias_norm"), F.lit(parts)).cast("int")).repartition(parts, "part").write.partitionBy("part").parquet(path)
     if records.rdd.getNumPartitions() < 2 * spark.sparkContext.defaultParallelism:
@@ -151,13 +278,19 @@ def scan(records: DataFrame, names: DataFrame, *, id_col: str, text_col: str, co
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def scan(records: DataFrame, names: DataFrame, *, id_col: str, text_col: str, context: int | None = 50) -> DataFrame:
+    """record_id, start, stop, matched, context: every occurrence of a name in the normalized text; context None leaves that column empty."""
+    known = names.select(F.col("alias_norm").alias("matched"))
+    return _candidates(records, names, id_col=id_col, text_col=text_col, context=context).join(known, "matched", "left_semi").select("record_id", "start", "stop", "matched", "context")
+
+
 def resolve_mentions(records: DataFrame, kg: KnowledgeGraph, *, id_col: str = "record_id", text_col: str = "text", mode: str = "best_match", threshold: float = AUTO, names: DataFrame | None = None, context: int | None = 50, **options) -> DataFrame:
     """One row for each span and entity: confidence is one over the entities that share the name; best aliases are preferred names, then synonyms, then codes.
 
     The names are those of `names`, a dictionary that was kept, or of the graph as the options say. best_match keeps the first entity of a span, all_candidates all, smart the first where its confidence reaches the threshold.
     """
     names = names if names is not None else written(dictionary(kg, **options), "dictionary")
-    spans = scan(records, names, id_col=id_col, text_col=text_col, context=context)
+    spans = _candidates(records, names, id_col=id_col, text_col=text_col, context=context)
     priority: Column = F.when(F.col("alias_type") == "preferred", 0).when(F.col("alias_type") == "synonym", 1).when(F.col("alias_type") == "code", 2).otherwise(3)
     best = names.withColumn("__p", priority).groupBy("alias_norm", "entity_id").agg(F.min(F.struct("__p", "alias_id", "alias_value", "alias_type", "type_id", "primary_name")).alias("a"))
     shared = best.groupBy("alias_norm").agg(F.count(F.lit(1)).alias("__n"))

@@ -90,6 +90,35 @@ def test_mentions(spark, graph, limit, monkeypatch):
     assert (first.start, first.stop) == (0, 4) and first.context.startswith("brca1 and brca1a")
 
 
+@pytest.mark.parametrize("piece", [500_000, 4])
+def test_hashed_beginnings_find_what_a_search_by_hand_finds(spark, tmp_path, monkeypatch, piece):
+    """All names between word boundaries, overlapping ones and ones of marks and spaces included; texts cut into pieces alike."""
+    import random
+
+    monkeypatch.setattr(N, "PIECE", piece)
+    r = random.Random(7)
+    word = lambda most: "".join(r.choice("ab#, é") for _ in range(r.randrange(1, most)))
+    names = sorted({word(7) for _ in range(60)})
+    spark.createDataFrame([(n,) for n in names], "alias_norm string").write.parquet(f"file://{tmp_path}/names")
+    levels, longest = N._prefixes(f"file://{tmp_path}/names")
+    texts = [word(60) for _ in range(150)]
+    got = []
+    for pieces in N._grouped(N._pieces(list(enumerate(texts))), lambda p: p[3] - p[2] + longest):
+        got += [(pieces[k][0], a, b) for k, a, b in N._spans(pieces, levels, longest)]
+    edge = lambda t, k: not 0 <= k < len(t) or not t[k].isalnum()
+    known = set(names)
+    want = [(k, a, b) for k, t in enumerate(texts) for a in range(len(t)) for b in range(a, min(len(t), a + 6)) if t[a : b + 1] in known and edge(t, a - 1) and edge(t, b + 1)]
+    assert sorted(got) == want and len(want) > 300
+
+
+def test_a_worker_holds_hashes_of_names_only(spark, tmp_path):
+    """100,000 names of three words that share their beginnings: 9 bytes for each different one; 2.6 million such names took an automaton 567 MB."""
+    spark.range(100_000).select(F.concat_ws(" ", F.lit("large"), F.concat(F.lit("ring"), F.col("id") % 100), "id").alias("alias_norm")).write.parquet(f"file://{tmp_path}/names")
+    levels, longest = N._prefixes(f"file://{tmp_path}/names")
+    assert [len(h) for h, _ in levels] == [1, 100, 100_000] and longest == len("large ring99 99999")
+    assert sum(h.nbytes + w.nbytes for h, w in levels) == 9 * 100_101
+
+
 def test_co_occurrence_edges(spark, graph):
     m = N.resolve_mentions(spark.createDataFrame([("1", "brca1 aspirin"), ("2", "aspirin brca1 brca1"), ("3", "tp53")], "record_id string, text string"), graph)
     e = N.co_occurrences(m)
